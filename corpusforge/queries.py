@@ -1,0 +1,4 @@
+"""Registered queries and the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+SQL: dict = {}
