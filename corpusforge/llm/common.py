@@ -91,3 +91,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             old.drop()
         now = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+#: Most ids that are broadcast; 8 bytes each and the hash table stay within some 64 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id is among ids (one column, any name; null equals null).
+
+    The ids are counted: few are broadcast, so that no text moves, more are joined by a shuffle.
+    """
+    gone = stored(ids.toDF("_gone").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer's file is; every node has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.langid import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"), 4, 2)
+    model = train(docs.where(~F.coalesce(apart, F.lit(False))))
+    known = identify(docs.select("doc_id", "text"), model)
+    return known.select("doc_id", F.coalesce(apart, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusforge.llm.simhash import simhash_groups
 
@@ -21,7 +38,30 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.token_file import tokenize
+
+    return tokenize(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.mixing import schedule
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return schedule(docs).select("doc_id", "source", "slot", "place", "epoch", "block_no")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op5_token_file": op5_token_file,
+    "op6_source_mix": op6_source_mix,
+    "op8_decontamination": op8_decontamination,
     "op2_simhash": op2_simhash,
     "op4_exact_dedup": op4_exact_dedup,
 }

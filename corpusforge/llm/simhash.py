@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import arrow_rows, components, stored
+from corpusforge.llm.common import arrow_rows, components, stored, without
 
 RADIUS = 3
 SEED = 42
@@ -192,5 +192,4 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least doc_id; all columns of docs."""
-    stay = simhash_groups(docs, radius).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(stay.withColumnRenamed("doc_id", "_stay"), F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    return without(docs, simhash_groups(docs, radius).where("NOT doc_id <=> component_id").select("doc_id"))
