@@ -48,23 +48,37 @@ def template(parts):
     return F.transform(parts, lambda w: F.when(w < "\u0005", F.substring(w, 1, 1)).otherwise(w))
 
 
-def _slice(parts, at, size: int):
-    return F.slice(parts, at + 1, size)
+def _window(parts, at, size: int) -> list:
+    """The words of a window, each by its place: slicing would copy the whole text for every window."""
+    return [F.get(parts, at + k) for k in range(size)]
+
+
+def _slots(words_: list):
+    return F.filter(F.array(*words_), lambda w: w < "\u0005")
 
 
 def _literals(parts):
     return F.size(F.filter(parts, lambda w: w >= "\u0005"))
 
 
+def _hashed(size: int):
+    def each(i):
+        values = F.when(F.col("filled"), _slots(_window("w", i, size)))
+        return F.struct(i.alias("i"), F.xxhash64(*_window("t", i, size)).alias("h"), values.alias("values"))
+
+    return each
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, j (place), size, h (hash), shape (template), filled (words), n (windows of the item) to search for."""
+    """item_id, j (place), size, h (hash of the template), slots (values), n (windows of the item) to search for."""
     rows = benchmark.select("item_id", words("text").alias("w")).withColumn("t", template("w"))
     rows = rows.where(_literals("t") >= MIN_WORDS).withColumn("size", F.least(F.lit(window), F.size("t")))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))))
     rows = rows.select("item_id", "j", "size", F.slice("t", F.col("j") + 1, F.col("size")).alias("shape"), F.slice("w", F.col("j") + 1, F.col("size")).alias("filled"))
     rows = rows.where(_literals("shape") >= F.least(F.lit(MIN_LITERAL), F.ceil(F.col("size") / 2)))
     items = rows.groupBy(F.col("item_id").alias("_item")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.withColumn("h", F.xxhash64("shape")).join(items, F.expr("item_id <=> _item")).drop("_item")
+    rows = rows.withColumn("h", F.xxhash64(*_window("shape", F.lit(0), window)))  # nulls beyond a short item leave the hash as it is
+    return rows.select("item_id", "j", "size", "h", F.filter("filled", lambda w: w < "\u0005").alias("slots")).join(items, F.expr("item_id <=> _item")).drop("_item")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST) -> DataFrame:
@@ -77,12 +91,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
     texts = docs.select("doc_id", words("text").alias("w")).withColumn("t", template("w"))
     hits = None
     for size in sorted(r["size"] for r in facts):
-        hashes = F.transform(F.sequence(F.lit(0), F.size("t") - size), lambda i, size=size: F.xxhash64(_slice("t", i, size)))
-        each = texts.where(F.size("t") >= size).select("doc_id", "w", F.posexplode(hashes).alias("i", "h"))
+        windows = F.transform(F.sequence(F.lit(0), F.size("t") - size), _hashed(size))
+        rows = texts.where(F.size("t") >= size).withColumn("filled", F.exists("t", lambda w: w < "\u0005"))
+        rows = rows.select("doc_id", F.explode(windows).alias("x")).select("doc_id", "x.i", "x.h", "x.values")
         these = known.where(F.col("size") == size).drop("size")
-        got = each.join(F.broadcast(these) if small else these, "h")
-        got = got.withColumn("here", _slice("w", F.col("i"), size)).where(template("here") == F.col("shape"))
-        pair = F.filter(F.zip_with("filled", "here", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"] < "\u0005")
+        got = rows.join(F.broadcast(these) if small else these, "h")
+        pair = F.zip_with("slots", F.coalesce("values", F.array().cast("array<string>")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         got = got.select("doc_id", "item_id", "j", "n", (F.col("i") - F.col("j")).alias("diagonal"), pair.alias("pairs"))
         hits = got if hits is None else hits.unionByName(got)
     lines = hits.groupBy("doc_id", "item_id", "diagonal", "n").agg(F.collect_set("j").alias("js"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("p"))
