@@ -69,7 +69,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.pii import find_pii
+
+    rows = find_pii(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {
+    "op9_pii": op9_pii,
     "op3_chat_format": op3_chat_format,
     "op1_language_id": op1_language_id,
     "op5_token_file": op5_token_file,

@@ -36,6 +36,8 @@ STRIDE = 512
 #: Entries of a worker's cache of encoded words.
 CACHE = 400_000
 _HEAD = "<4sIQI"
+#: Marks that are taken off the end of a word.
+MARKS = ".,;:!?"
 
 
 def pack_levels(ids: np.ndarray) -> bytes:
@@ -152,6 +154,16 @@ class WordEncoder:
         for w in words:
             # Up to U+024F lower-casing is by character and composed letters stay as they are.
             (plain if w.isprintable() and "<" not in w and (w.isascii() or (max(w) < "ɐ" and unicodedata.is_normalized("NFC", w))) else odd).append(w)
+        # A word of letters and the marks behind it are always apart, so words are encoded without their marks.
+        ends, cores = [], []
+        for w in plain:
+            core = w.rstrip(MARKS)
+            if core and len(core) < len(w) and core.isalpha():
+                ends.append((w, core.lower(), w[len(core) :]))
+        for w, core, mark in ends:
+            cores += [x for x in (core, mark) if x not in self.cache]
+        apart = {w for w, _, _ in ends}
+        plain = list(dict.fromkeys([*cores, *(w for w in plain if w not in apart)]))
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             e = self.bare.encode([w.lower() for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -160,6 +172,8 @@ class WordEncoder:
             cut = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
             for i, w in enumerate(part):
                 self.cache[w] = ids[cut[i] : cut[i + 1]].tobytes()
+        for w, core, mark in ends:
+            self.cache[w] = self.cache[core] + self.cache[mark]
         if odd:
             self.cache.update(zip(odd, self._library(odd)))
 
