@@ -1,4 +1,737 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Doubles are rounded to six places on both sides: the last bit of a sum or a root depends on the order of adding.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusforge.functions import text as X
+from corpusforge.functions import vectors as V
+from corpusforge.operators import evaluation, feed, lexical, lifecycle, quality, representations, search, semantic
+from corpusforge.plans.query import Filters
+from corpusforge.sources import ingest
+from corpusforge.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: The views of the corpus model in SQL.
+FEED = """
+WITH messages AS (
+  SELECT concat(conv_id, '-', turn) AS message_id, conv_id AS thread_id, turn, role AS author, text AS content,
+         CASE WHEN turn > 0 THEN concat(conv_id, '-', turn - 1) END AS reference_id FROM conversations),
+resources AS (SELECT doc_id AS id, lang AS kind, source, left(split_part(text, '.', 1), 80) AS title, text AS body FROM documents),
+distillations AS (
+  SELECT item_id AS id, left(text, 100) AS question, text AS answer, list_extract(['approved', 'pending', 'rejected', 'superseded'], CAST(item_id % 4 + 1 AS INT)) AS status,
+         CASE WHEN item_id % 4 = 3 THEN item_id - 3 END AS supersedes_id FROM benchmark),
+feed AS (
+  SELECT 'message' AS kind, 'conversations' AS source, message_id AS item_id, CAST(NULL AS VARCHAR) AS title, content AS body, author, CAST(thread_id AS VARCHAR) AS context, concat('/threads/', thread_id, '/', turn) AS url, 'message' AS entity_type FROM messages
+  UNION ALL SELECT kind, source, CAST(id AS VARCHAR), title, body, NULL, NULL, NULL, 'resource' FROM resources
+  UNION ALL SELECT 'distillation', 'benchmark', CAST(id AS VARCHAR), question, answer, NULL, NULL, NULL, 'distillation' FROM distillations WHERE status IN ('pending', 'approved')),
+d AS (SELECT * FROM documents)
+"""
+#: Compact and token forms in SQL; the list of blanks is that of the Unicode \s class.
+COMPACT = r"""regexp_replace(lower({0}), '[\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}.\-_/\\,:;(){{}}\[\]@"''`]', '', 'g')"""
+TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+QUERY, PHRASE = "the stupid", "of the"
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _feed(spark, d):
+    return feed.typed(feed.unified_feed(spark, d))
+
+
+def _six(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# Corpus model ---------------------------------------------------------------------------------------------------------
+
+
+@query("feed_union", FEED + "SELECT kind, source, item_id, title, md5(coalesce(body, '')) AS body_md5, author, context, url FROM feed")
+def _(s, d):
+    return feed.unified_feed(s, d).select("kind", "source", "item_id", "title", F.md5(F.coalesce("body", F.lit(""))).alias("body_md5"), "author", "context", "url")
+
+
+@query("feed_by_kind_count", FEED + "SELECT kind, entity_type, count(*) AS n FROM feed GROUP BY ALL")
+def _(s, d):
+    return _feed(s, d).groupBy("kind", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _members(s, d):
+    c = feed.read(s, d, "customer")
+    return c.select(F.col("c_custkey").alias("member_id"), F.col("c_name").alias("author_name"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 7 != 0).alias("allow_sharing"), (F.col("c_custkey") % 11 == 0).alias("bot"), (F.col("c_custkey") % 13 == 0).alias("system"))
+
+
+def _events(s, d):
+    e = feed.read(s, d, "events")
+    return e.select(F.col("event_id").alias("message_id"), F.col("user_id").alias("author_id"), F.col("event_type").alias("channel_name"), F.col("ts").alias("created_at"), "value", "props")
+
+
+MEMBERS = "m AS (SELECT c_custkey AS member_id, c_name AS author_name, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 7 <> 0 END AS allow_sharing, c_custkey % 11 = 0 AS bot, c_custkey % 13 = 0 AS system FROM customer)"
+
+
+@query("message_feed_enriched", f"""WITH {MEMBERS}, r AS (SELECT l_orderkey AS message_id, string_agg(concat(l_shipmode, ':', l_partkey), ',' ORDER BY l_shipmode, l_partkey) AS reactions
+    FROM (SELECT l_orderkey, l_returnflag AS l_shipmode, l_partkey FROM lineitem WHERE l_linestatus = 'O') GROUP BY 1)
+    SELECT event_id AS message_id, user_id AS author_id, author_name, event_type AS channel_name, ts AS created_at, reactions FROM events LEFT JOIN m ON user_id = member_id LEFT JOIN r ON r.message_id = event_id""")
+def _(s, d):
+    li = feed.read(s, d, "lineitem")
+    r = li.select(F.col("l_orderkey").alias("message_id"), F.col("l_returnflag").alias("emoji"), F.col("l_partkey").alias("user_id"), F.when(F.col("l_linestatus") != "O", F.col("l_shipdate")).alias("removed_at"))
+    out = feed.message_feed(_events(s, d), _members(s, d), r)
+    said = F.array_join(F.transform("reactions", lambda x: F.concat_ws(":", x["emoji"], x["user_id"].cast("string"))), ",")
+    return out.select("message_id", "author_id", "author_name", "channel_name", "created_at", said.alias("reactions"))
+
+
+@query("filter_since_channel_author", "SELECT event_id AS message_id, user_id AS author_id, event_type AS channel_name, ts AS created_at FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_type IN ('click', 'error') AND user_id < 50")
+def _(s, d):
+    return _events(s, d).where((F.col("created_at") >= F.lit("2024-01-10").cast("timestamp_ntz")) & F.col("channel_name").isin("click", "error") & (F.col("author_id") < 50)).select("message_id", "author_id", "channel_name", "created_at")
+
+
+@query("semi_author_optin", f"WITH {MEMBERS} SELECT event_id AS message_id, user_id AS author_id FROM events WHERE EXISTS (SELECT 1 FROM m WHERE member_id = user_id AND coalesce(allow_sharing, true))")
+def _(s, d):
+    return feed.opted_in(_events(s, d), _members(s, d)).select("message_id", "author_id")
+
+
+@query("anti_excluded_author", f"WITH {MEMBERS} SELECT event_id AS message_id, user_id AS author_id FROM events WHERE NOT EXISTS (SELECT 1 FROM m WHERE member_id = user_id AND (bot OR system))")
+def _(s, d):
+    return feed.without_bots(_events(s, d), _members(s, d)).select("message_id", "author_id")
+
+
+@query("status_eligible", FEED + "SELECT id, status, question FROM distillations WHERE status IN ('pending', 'approved')")
+def _(s, d):
+    return feed.distillations(s, d).where(F.col("status").isin(*feed.ELIGIBLE)).select("id", "status", "question")
+
+
+@query("json_contains_filter", "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) = 69")
+def _(s, d):
+    return feed.read(s, d, "events").where(F.get_json_object("props", "$.k") == "69").select("event_id")
+
+
+@query("json_field_projection", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events")
+def _(s, d):
+    v = F.try_parse_json("props")
+    return feed.read(s, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.none", "string").alias("none"))
+
+
+@query("get_item", FEED + "SELECT kind, item_id, title FROM feed WHERE kind NOT IN ('message', 'distillation') AND item_id = '7'")
+def _(s, d):
+    return feed.get_item(feed.unified_feed(s, d), "resource", "7").select("kind", "item_id", "title")
+
+
+CITES = "SELECT DISTINCT CAST(item_id AS VARCHAR) AS distillation_id, 'resource' AS item_kind, CAST(item_id * 3 % 100 AS VARCHAR) AS item_id FROM benchmark UNION ALL SELECT CAST(item_id AS VARCHAR), 'distillation', CAST(supersedes AS VARCHAR) FROM (SELECT item_id, item_id - 1 AS supersedes FROM benchmark WHERE item_id > 0)"
+
+
+@query("cited_by", FEED + f", c AS ({CITES}) SELECT c.distillation_id, c.item_kind, c.item_id, q.title AS question, t.title AS cited_title FROM c JOIN feed q ON q.kind = 'distillation' AND q.item_id = c.distillation_id JOIN feed t ON t.entity_type = c.item_kind AND t.item_id = c.item_id")
+def _(s, d):
+    b = feed.read(s, d, "benchmark")
+    one = b.select(F.col("item_id").cast("string").alias("distillation_id"), F.lit("resource").alias("item_kind"), (F.col("item_id") * 3 % 100).cast("string").alias("item_id"))
+    two = b.where("item_id > 0").select(F.col("item_id").cast("string").alias("distillation_id"), F.lit("distillation").alias("item_kind"), (F.col("item_id") - 1).cast("string").alias("item_id"))
+    return feed.cited_by(feed.unified_feed(s, d), one.unionByName(two).unionByName(one)).select("distillation_id", "item_kind", "item_id", "question", "cited_title")
+
+
+@query("supersede_check", FEED + "SELECT a.id, a.supersedes_id, b.status AS target_status FROM distillations a JOIN distillations b ON a.supersedes_id = b.id")
+def _(s, d):
+    a = feed.distillations(s, d)
+    return a.join(a.select(F.col("id").alias("supersedes_id"), F.col("status").alias("target_status")), "supersedes_id").select("id", "supersedes_id", "target_status")
+
+
+@query("reply_chain", FEED + "SELECT m.message_id, m.reference_id, p.author AS parent_author, coalesce(length(p.content), 0) AS parent_chars FROM messages m LEFT JOIN messages p ON m.reference_id = p.message_id")
+def _(s, d):
+    return feed.reply_chain(feed.messages(s, d)).select("message_id", "reference_id", "parent_author", F.coalesce("parent_chars", F.lit(0)).cast("long").alias("parent_chars"))
+
+
+@query("thread_rollup", FEED + "SELECT thread_id, count(*) AS n_messages, count(DISTINCT author) AS n_authors, arg_max(author, turn) AS last_author, CAST(sum(length(content)) AS BIGINT) AS chars FROM messages GROUP BY 1")
+def _(s, d):
+    return feed.thread_rollup(feed.messages(s, d))
+
+
+@query("upsert_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def _(s, d):
+    return feed.latest(feed.read(s, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("key_page", "SELECT doc_id, lang FROM documents WHERE doc_id > 100 AND doc_id <= 900 ORDER BY doc_id LIMIT 64")
+def _(s, d):
+    return feed.key_page(feed.read(s, d, "documents"), "doc_id", 100, 900, 64).select("doc_id", "lang")
+
+
+@query("representation_replace", "SELECT doc_id, lang AS version FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 3 = 0")
+def _(s, d):
+    old = feed.read(s, d, "documents").select("doc_id", F.col("lang").alias("version"))
+    return feed.replace_representation(old, old.where("doc_id % 3 = 0").withColumn("version", F.lit("new")), ["doc_id"])
+
+
+@query("append_new", "SELECT DISTINCT source, lang FROM documents WHERE (source, lang) NOT IN (SELECT (source, lang) FROM documents WHERE doc_id < 20)")
+def _(s, d):
+    rows = feed.read(s, d, "documents")
+    return feed.append_new(rows.where("doc_id < 20"), rows, ["source", "lang"]).select("source", "lang")
+
+
+# Keyword search -------------------------------------------------------------------------------------------------------
+
+
+@query("search_and_or_widen", FEED + """, a AS (SELECT kind, item_id, 0 AS pass FROM feed WHERE contains(lower(title), 'stupid') AND contains(lower(title), 'worthless')),
+    o AS (SELECT kind, item_id, 1 AS pass FROM feed WHERE contains(lower(title), 'stupid') OR contains(lower(body), 'stupid') OR contains(lower(title), 'worthless') OR contains(lower(body), 'worthless'))
+    SELECT kind, item_id, min(pass) AS pass FROM (SELECT * FROM a UNION ALL SELECT * FROM o WHERE (SELECT count(*) FROM a) < 3) GROUP BY 1, 2""")
+def _(s, d):
+    return search.widen(feed.unified_feed(s, d), "stupid worthless").select("kind", "item_id", "pass")
+
+
+SCORE = "(CASE WHEN contains(lower(coalesce(title, '')), 'stupid') THEN 5 ELSE 0 END + CASE WHEN contains(lower(body), 'stupid') THEN 3 ELSE 0 END + CASE WHEN contains(lower(title), 'worthless') THEN 5 ELSE 0 END + CASE WHEN contains(lower(body), 'worthless') THEN 3 ELSE 0 END + CASE WHEN contains(lower(coalesce(title, '')), 'stupid worthless') OR contains(lower(body), 'stupid worthless') THEN 2 ELSE 0 END)"
+
+
+def _scored(s, d):
+    return feed.unified_feed(s, d).withColumn("score", search.score("stupid worthless")).where("score > 0")
+
+
+@query("search_integer_score", FEED + f"SELECT kind, item_id, {SCORE} AS score FROM feed WHERE {SCORE} > 0")
+def _(s, d):
+    return _scored(s, d).select("kind", "item_id", "score")
+
+
+@query("search_page_2", FEED + f", x AS (SELECT kind, item_id, {SCORE} AS score FROM feed WHERE {SCORE} > 0), y AS (SELECT *, row_number() OVER (ORDER BY score DESC, kind DESC, item_id DESC) AS place, count(*) OVER () AS total FROM x) SELECT kind, item_id, score, place, total FROM y WHERE place BETWEEN 11 AND 20")
+def _(s, d):
+    return search.page(_scored(s, d), 10, 10).select("kind", "item_id", "score", F.col("place").cast("long").alias("place"), "total")
+
+
+@query("search_recent_sort", "SELECT event_id, event_type, value FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS n FROM events WHERE event_type = 'error') WHERE n <= 25")
+def _(s, d):
+    rows = feed.read(s, d, "events").where("event_type = 'error'").select(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("item_id"), F.col("ts").alias("created_at"), F.lit(0).alias("score"), "event_id", "event_type", "value")
+    return search.page(rows, 25, by="recent").select("event_id", "event_type", "value")
+
+
+@query("legacy_two_pass", FEED + """, t AS (SELECT kind, item_id, 0 AS pass FROM feed WHERE contains(lower(title), 'of the') ORDER BY kind, item_id LIMIT 20),
+    b AS (SELECT kind, item_id, 1 AS pass FROM feed WHERE contains(lower(body), 'of the') ORDER BY kind, item_id LIMIT 20)
+    SELECT kind, item_id, min(pass) AS pass FROM (SELECT * FROM t UNION ALL SELECT * FROM b) GROUP BY 1, 2""")
+def _(s, d):
+    return search.legacy_two_pass(feed.unified_feed(s, d), "of the", 20).select("kind", "item_id", "pass")
+
+
+@query("clip_and_snippet", "SELECT doc_id, CASE WHEN length(o) <= 400 THEN o ELSE concat(rtrim(left(o, 399)), '…') END AS clipped, left(coalesce(text, ''), 512) AS snippet, length(text) > 400 AS truncated FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS o FROM documents)")
+def _(s, d):
+    return feed.read(s, d, "documents").select("doc_id", X.clip("text").alias("clipped"), X.snippet("text").alias("snippet"), (F.length("text") > 400).alias("truncated"))
+
+
+# Lexical arms ---------------------------------------------------------------------------------------------------------
+
+T3 = TOKENS.format("concat_ws(chr(10), title, body, context)")
+
+
+def _raw(words):
+    w = "[" + ", ".join(f"'{x}'" for x in words) + "]"
+    one = lambda c, k: f"{k} * len(list_intersect({w}, coalesce({TOKENS.format(c)}, [])))"
+    return f"({one('title', 1.0)} + {one('context', 0.4)} + {one('body', 0.2)})"
+
+
+FTS = f"SELECT entity_type, item_id, round({_raw(['the', 'stupid'])} / ({_raw(['the', 'stupid'])} + 1), 6) AS rank FROM feed WHERE list_has_all({T3}, ['the', 'stupid'])"
+
+
+@query("lexical_fts", FEED + FTS)
+def _(s, d):
+    return _six(lexical.fts_arm(_feed(s, d).withColumn("created_at", F.lit(None).cast("timestamp_ntz")), QUERY).select("entity_type", "item_id", "rank"))
+
+
+T2 = TOKENS.format("concat_ws(chr(10), title, body)")
+
+
+@query("lexical_phrase", FEED + f"SELECT entity_type, item_id, round({_raw(['of', 'the'])} / ({_raw(['of', 'the'])} + 1), 6) AS rank FROM feed WHERE contains(concat(' ', array_to_string({T2}, ' '), ' '), ' of the ')")
+def _(s, d):
+    return _six(lexical.phrase_arm(_feed(s, d), PHRASE).select("entity_type", "item_id", "rank"))
+
+
+IDENT = f"SELECT entity_type, item_id, CASE WHEN entity_type <> 'message' THEN 0.95 WHEN b = 'ofthe' THEN 1.0 ELSE 0.9 END AS rank FROM (SELECT *, {COMPACT.format('body')} AS b, {COMPACT.format('title')} AS t FROM feed) WHERE (entity_type = 'message' AND length(body) BETWEEN 1 AND 8000 AND contains(b, 'ofthe')) OR (entity_type <> 'message' AND length(title) BETWEEN 1 AND 300 AND contains(t, 'ofthe'))"
+
+
+@query("lexical_ident", FEED + f"SELECT entity_type, item_id, CAST(rank AS DOUBLE) AS rank FROM ({IDENT})")
+def _(s, d):
+    return lexical.ident_arm(_feed(s, d), PHRASE).select("entity_type", "item_id", "rank")
+
+
+@query("lexical_fragment", FEED + f", c AS (SELECT conv_id, string_agg({COMPACT.format('text')}, ' ' ORDER BY turn) AS joined FROM conversations GROUP BY 1), n AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE contains({COMPACT.format('text')}, 'ofthe') GROUP BY 1) SELECT CAST(c.conv_id AS VARCHAR) AS item_id, left(text, 512) AS snippet, 0.93 :: DOUBLE AS rank FROM c JOIN n USING (conv_id) JOIN conversations v ON v.conv_id = n.conv_id AND v.turn = n.turn WHERE contains(joined, 'ofthe')")
+def _(s, d):
+    chunks = feed.read(s, d, "conversations").select(F.lit("resource").alias("entity_type"), F.col("conv_id").cast("string").alias("item_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("chunk_text"), F.col("turn").alias("created_at"))
+    return lexical.fragment_arm(chunks, PHRASE).select("item_id", "snippet", "rank")
+
+
+BANDED = f"""x AS (SELECT *, {COMPACT.format("coalesce(title, '')")} AS t, {COMPACT.format("coalesce(body, '')")} AS b, {TOKENS.format("coalesce(title, '')")} AS tt, {T2} AS bt FROM feed),
+    y AS (SELECT kind, entity_type, item_id, title, greatest(CASE WHEN contains(t, 'thestupid') THEN 0.95 WHEN contains(b, 'thestupid') THEN CASE WHEN entity_type = 'resource' THEN 0.93 ELSE 0.9 END END,
+      CASE WHEN list_has_all(bt, ['stupid', 'the']) THEN least(0.89, 0.75 + 0.12 * len(list_intersect(['stupid', 'the'], tt)) / 2) END) AS rank FROM x)"""
+
+
+@query("lexical_banded", FEED + f", {BANDED} SELECT kind, item_id, round(CAST(rank AS DOUBLE), 6) AS rank FROM y WHERE rank IS NOT NULL")
+def _(s, d):
+    return _six(lexical.banded(_feed(s, d), QUERY).select("kind", "item_id", F.col("rank").cast("double").alias("rank")))
+
+
+@query("lexical_collapsed", FEED + f", {BANDED} SELECT kind, item_id, title, round(CAST(rank AS DOUBLE), 6) AS rank FROM y WHERE rank IS NOT NULL ORDER BY y.rank DESC, entity_type, item_id LIMIT 20")
+def _(s, d):
+    rows = lexical.banded(_feed(s, d), QUERY).withColumn("rank", F.col("rank").cast("double"))
+    return _six(lexical.top(rows, 20).select("kind", "item_id", "title", "rank"))
+
+
+@query("lexical_hydrated", FEED + f""", h AS ({FTS} UNION ALL SELECT entity_type, item_id, CAST(rank AS DOUBLE) FROM ({IDENT.replace("'ofthe'", "'thestupid'")})),
+    c AS (SELECT entity_type, item_id, max(rank) AS rank FROM h GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (ORDER BY rank DESC, entity_type, item_id) AS keyword_rank FROM c)
+    SELECT p.entity_type, p.item_id, p.rank, p.keyword_rank, f.title, f.source, f.url FROM p JOIN feed f ON f.entity_type = p.entity_type AND f.item_id = p.item_id WHERE keyword_rank <= 15""")
+def _(s, d):
+    return _six(lexical.search(feed.unified_feed(s, d), QUERY, 15).select("entity_type", "item_id", "rank", F.col("keyword_rank").cast("long").alias("keyword_rank"), "title", "source", "url"))
+
+
+@query("lexical_filtered", FEED + f"SELECT entity_type, item_id FROM feed WHERE list_has_all({T3}, ['the', 'stupid']) AND source IN ('src1', 'src2') AND kind IN ('en')")
+def _(s, d):
+    f = Filters(kinds=["en"], sources=["src1", "src2"])
+    f.check()
+    return lexical.fts_arm(_feed(s, d).where(f.predicate()), QUERY).select("entity_type", "item_id")
+
+
+# Identifiers and text -------------------------------------------------------------------------------------------------
+
+
+@query("alias_forms", f"SELECT p_partkey, array_to_string(list_distinct_ordered, '|') AS forms FROM (SELECT p_partkey, CASE WHEN c = p THEN [c] ELSE [c, p] END AS list_distinct_ordered FROM (SELECT p_partkey, {COMPACT.format('p_brand')} AS c, trim(regexp_replace(lower(p_brand), '\\s+', ' ', 'g')) AS p FROM part))")
+def _(s, d):
+    return feed.read(s, d, "part").select("p_partkey", F.array_join(X.alias_forms("p_brand"), "|").alias("forms"))
+
+
+@query("alias_collisions", f"SELECT {COMPACT.format('p_name')} AS alias, count(DISTINCT p_partkey) AS identities, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
+def _(s, d):
+    return feed.read(s, d, "part").groupBy(X.compact("p_name").alias("alias")).agg(F.countDistinct("p_partkey").alias("identities"), F.min("p_partkey").alias("first_id")).where("identities > 1")
+
+
+@query("alias_resolve", f"SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place FROM part WHERE {COMPACT.format('p_name')} = 'smallring'")
+def _(s, d):
+    hits = feed.read(s, d, "part").where(X.compact("p_name") == "smallring")
+    return hits.withColumn("place", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey")).cast("long")).select("p_partkey", "p_name", "place")
+
+
+@query("identifier_extract", f"SELECT doc_id, len(x) AS n, array_to_string(list_sort(x), ',') AS ids FROM (SELECT doc_id, list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(left(text, 600), '[A-Za-z0-9_.=-]+'), lambda t: length(t) BETWEEN 3 AND 100 AND regexp_matches(t, '[A-Za-z]')), lambda t: {COMPACT.format('t')}), lambda t: length(t) > 0)) AS x FROM documents)")
+def _(s, d):
+    ids = X.identifiers(F.substring("text", 1, 600), 100_000)
+    return feed.read(s, d, "documents").select("doc_id", F.size(ids).cast("long").alias("n"), F.array_join(F.array_sort(ids), ",").alias("ids"))
+
+
+@query("provenance_weights", "SELECT o_orderpriority AS provenance, CASE o_orderpriority WHEN 'curated' THEN 100 ELSE 0 END AS weight FROM orders GROUP BY 1")
+def _(s, d):
+    return feed.read(s, d, "orders").select(F.col("o_orderpriority").alias("provenance"), X.provenance_weight("o_orderpriority").alias("weight")).distinct()
+
+
+@query("contract_ids", "SELECT doc_id, CAST(CAST(('0x' || left(sha256(concat(lang, chr(31), source)), 16)) AS UBIGINT) % CAST(9223372036854775808 AS UBIGINT) AS BIGINT) AS id FROM documents")
+def _(s, d):
+    return feed.read(s, d, "documents").select("doc_id", X.contract_id("lang", "source").alias("id"))
+
+
+@query("representation_hash", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)[ \t\f\v]+$', '', 'g'), '^\s+', ''), '\s+\z', '')) AS hash FROM documents")
+def _(s, d):
+    return feed.read(s, d, "documents").select("doc_id", X.text_hash("text").alias("hash"))
+
+
+@query("exact_text_duplicates", "SELECT sha256(trim(text, ' ' || chr(10) || chr(9))) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def _(s, d):
+    return quality.duplicates(feed.read(s, d, "documents"), "text", "doc_id")
+
+
+@query("canonical_text", FEED + "SELECT id, sha256(concat_ws(chr(10) || chr(10), nullif(trim(title), ''), nullif(trim(body), ''))) AS hash, CAST(floor(length(body) / 4) AS BIGINT) AS tokens FROM resources")
+def _(s, d):
+    return feed.resources(s, d).select("id", F.sha2(X.canonical_text("title", "body"), 256).alias("hash"), X.token_estimate("body").alias("tokens"))
+
+
+@query("permalinks", "SELECT event_id, concat('/channels/', event_type, '/', user_id, '/', event_id) AS url, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(millisecond(ts) % 1000 AS VARCHAR), 3, '0') || 'Z' AS created_at FROM events")
+def _(s, d):
+    return feed.read(s, d, "events").select("event_id", F.concat_ws("/", F.lit("/channels"), "event_type", F.col("user_id").cast("string"), F.col("event_id").cast("string")).alias("url"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"))
+
+
+@query("secret_states", "SELECT doc_id, CASE WHEN regexp_matches(text, '(AKIA|ASIA)[0-9A-Z]{16}') THEN true ELSE false END AS aws_key FROM documents")
+def _(s, d):
+    return feed.read(s, d, "documents").select("doc_id", F.coalesce(F.col("text").rlike("(AKIA|ASIA)[0-9A-Z]{16}"), F.lit(False)).alias("aws_key"))
+
+
+@query("secret_scan")
+def _(s, d):
+    return representations.find_secrets(feed.read(s, d, "documents"), "doc_id", "text")
+
+
+@query("public_state_counts")
+def _(s, d):
+    return feed.read(s, d, "documents").groupBy(X.public_state("text").alias("state")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("snowflake_check", "SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000000000000 > 9007199254740992 AS snowflake FROM orders")
+def _(s, d):
+    return feed.read(s, d, "orders").select("o_orderkey", X.is_snowflake((F.col("o_orderkey") * 1_000_000_000_000).cast("string")).alias("snowflake"))
+
+
+GRAMS = "list_distinct(flatten(list_transform({0}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query("duplicate_question_trigram", f"WITH g AS (SELECT item_id, {GRAMS.format(TOKENS.format('text'))} AS t FROM benchmark), q AS (SELECT t AS q FROM g WHERE item_id = 0) SELECT item_id, round(len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))), 6) AS similarity FROM g, q WHERE len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) > 0.3")
+def _(s, d):
+    b = feed.read(s, d, "benchmark")
+    q = b.where("item_id = 0").select(F.col("text").alias("q"))
+    return _six(b.join(F.broadcast(q)).select("item_id", V.trigram_similarity("text", "q").alias("similarity")).where("similarity > 0.3"))
+
+
+@query("word_similarity_top", f"WITH g AS (SELECT p_partkey, {GRAMS.format(TOKENS.format('p_name'))} AS t FROM part), q AS (SELECT {GRAMS.format(chr(91) + chr(39) + 'small' + chr(39) + ', ' + chr(39) + 'rings' + chr(39) + chr(93))} AS q) SELECT p_partkey, round(len(list_intersect(q, t)) / len(q), 6) AS similarity FROM g, q ORDER BY 2 DESC, 1 LIMIT 20")
+def _(s, d):
+    return _six(feed.read(s, d, "part").select("p_partkey", V.word_similarity(F.lit("small rings"), "p_name").alias("similarity"))).orderBy(F.desc("similarity"), "p_partkey").limit(20)
+
+
+# Vectors --------------------------------------------------------------------------------------------------------------
+
+QV = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+
+
+def _vector(s, d, i=0):
+    return feed.read(s, d, "embeddings").where(F.col("vec_id") == i).first()["embedding"]
+
+
+@query("knn_exact", f"WITH {QV} SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS distance FROM embeddings, q ORDER BY 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), vec_id LIMIT 20")
+def _(s, d):
+    return _six(semantic.nearest(feed.read(s, d, "embeddings"), _vector(s, d), 20).select("vec_id", "distance"))
+
+
+@query("knn_kind_filtered", f"WITH {QV} SELECT vec_id, label, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS distance FROM embeddings, q WHERE label IN (1, 2) ORDER BY 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), vec_id LIMIT 20")
+def _(s, d):
+    return _six(semantic.nearest(feed.read(s, d, "embeddings").where(F.col("label").isin(1, 2)), _vector(s, d), 20).select("vec_id", "label", "distance"))
+
+
+@query("knn_best_chunk_collapse", f"WITH {QV}, x AS (SELECT label, vec_id, CASE WHEN vec_id % 3 = 0 THEN 'code' ELSE 'prose' END AS representation, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS distance FROM embeddings, q), y AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, representation DESC, vec_id) AS n FROM x) SELECT label, vec_id, representation, round(distance, 6) AS distance, row_number() OVER (ORDER BY distance, label) AS semantic_rank FROM y WHERE n = 1")
+def _(s, d):
+    rows = feed.read(s, d, "embeddings").withColumn("representation", F.when(F.col("vec_id") % 3 == 0, "code").otherwise("prose")).withColumn("distance", V.cosine_distance("embedding", F.array(*map(F.lit, _vector(s, d))))).drop("embedding")
+    best = semantic.collapse(rows.withColumn("chunk_index", F.col("vec_id")), ["label"])
+    return _six(semantic.ranked(best, ["label"], 500).select("label", "vec_id", "representation", "distance", F.col("semantic_rank").cast("long").alias("semantic_rank")))
+
+
+@query("knn_batch", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT query_id, vec_id, 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS distance FROM embeddings, q), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS semantic_rank FROM x) SELECT query_id, semantic_rank, round(distance, 6) AS distance FROM y WHERE semantic_rank <= 5")
+def _(s, d):
+    rows = feed.read(s, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    out = semantic.nearest_batch(rows, asked, 5, 64)
+    return _six(out.select("query_id", F.col("semantic_rank").cast("long").alias("semantic_rank"), "distance"))
+
+
+@query("vector_validate_normalize", "SELECT vec_id, len(embedding) = 64 AS valid, round(embedding[1] / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS first FROM embeddings")
+def _(s, d):
+    return _six(feed.read(s, d, "embeddings").select("vec_id", V.is_valid("embedding", 64).alias("valid"), V.normalise("embedding")[0].alias("first")))
+
+
+@query("hashing_embedder")
+def _(s, d):
+    return feed.read(s, d, "benchmark").select("item_id", V.hashing_embedding("text").alias("embedding"))
+
+
+@query("knn_lsh_recall")
+def _(s, d):
+    rows = feed.read(s, d, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _six(semantic.recall(semantic.lsh_candidates(rows, asked, 64), semantic.nearest_batch(rows, asked, 10, 64)))
+
+
+# Evaluation -----------------------------------------------------------------------------------------------------------
+
+CASES = """results AS (SELECT conv_id AS case_id, turn + 1 AS rank, (conv_id * 7 + turn * 3) % 20 AS key FROM conversations),
+judgments AS (SELECT conv_id AS case_id, (conv_id * 7 + turn * 5) % 20 AS key, turn % 4 AS grade FROM conversations),
+good AS (SELECT * FROM judgments WHERE grade > 0), w AS (SELECT case_id, count(*) AS n, sum(CASE WHEN i <= 10 THEN (pow(2, grade) - 1) / log2(i + 1) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, key) AS i FROM good) GROUP BY 1),
+hits AS (SELECT r.case_id, r.rank, g.grade, count(*) OVER (PARTITION BY r.case_id ORDER BY r.rank ROWS UNBOUNDED PRECEDING) AS so_far FROM results r JOIN good g ON r.case_id = g.case_id AND r.key = g.key),
+a AS (SELECT case_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, min(rank) AS f, sum(so_far / rank) AS ap, sum(CASE WHEN rank <= 10 THEN (pow(2, grade) - 1) / log2(rank + 1) END) AS dcg FROM hits GROUP BY 1),
+pc AS (SELECT w.case_id, coalesce(h1 / n, 0) :: DOUBLE AS recall_at_1, coalesce(h5 / n, 0) :: DOUBLE AS recall_at_5, coalesce(h10 / n, 0) :: DOUBLE AS recall_at_10, coalesce(1 / f, 0) :: DOUBLE AS reciprocal_rank, coalesce(ap / n, 0) :: DOUBLE AS average_precision, coalesce(dcg / idcg, 0) :: DOUBLE AS ndcg_at_10 FROM w LEFT JOIN a USING (case_id))"""
+METRICS = ["recall_at_1", "recall_at_5", "recall_at_10", "reciprocal_rank", "average_precision", "ndcg_at_10"]
+
+
+def _cases(s, d):
+    c = feed.read(s, d, "conversations")
+    results = c.select(F.col("conv_id").alias("case_id"), (F.col("turn") + 1).alias("rank"), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 20).alias("key"))
+    judged = c.select(F.col("conv_id").alias("case_id"), ((F.col("conv_id") * 7 + F.col("turn") * 5) % 20).alias("key"), (F.col("turn") % 4).alias("grade"))
+    return evaluation.per_case(results, judged)
+
+
+_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
+_MEANS = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)
+
+
+@query("eval_recall_mrr_ndcg_map", f"WITH {CASES} SELECT case_id, {_ROUNDED} FROM pc")
+def _(s, d):
+    return _six(_cases(s, d))
+
+
+@query("eval_by_group", f"WITH {CASES} SELECT case_id % 3 AS grp, count(*) AS cases, {_MEANS} FROM pc GROUP BY 1")
+def _(s, d):
+    return _six(evaluation.macro(_cases(s, d).withColumn("grp", F.col("case_id") % 3).drop("case_id"), "grp"))
+
+
+@query("eval_by_category", f"WITH {CASES}, e AS (SELECT unnest(CASE WHEN case_id % 2 = 0 THEN ['even', 'all'] ELSE ['all'] END) AS category, * FROM pc) SELECT category, count(*) AS cases, {_MEANS} FROM e GROUP BY 1")
+def _(s, d):
+    both = F.when(F.col("case_id") % 2 == 0, F.array(F.lit("even"), F.lit("all"))).otherwise(F.array(F.lit("all")))
+    return _six(evaluation.macro(_cases(s, d).withColumn("category", both).drop("case_id"), "category"))
+
+
+@query("eval_rates", "SELECT count(*) AS cases, round(count(*) FILTER (value < 5) / count(*), 6) AS zero_result_rate, round(count(*) FILTER (event_type = 'timeout') / count(*), 6) AS timeout_rate, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate, round(count(*) FILTER (user_id % 2 = 0 AND value < 5) / count(*) FILTER (user_id % 2 = 0), 6) AS no_hit_accuracy FROM events")
+def _(s, d):
+    e = feed.read(s, d, "events").select((F.col("value") < 5).alias("zero_result"), F.col("event_type").alias("outcome"), (F.col("user_id") % 2 == 0).alias("expect_no_hit"))
+    return _six(evaluation.rates(e))
+
+
+@query("eval_compare", f"WITH {CASES}, n AS (SELECT case_id, recall_at_5 AS o, recall_at_10 AS n FROM pc) SELECT 'recall' AS metric, round(avg(o), 6) AS before, round(avg(n), 6) AS after, round(avg(n) - avg(o), 6) AS change, count(*) FILTER (n > o) AS gained, count(*) FILTER (n < o) AS lost FROM n")
+def _(s, d):
+    c = _cases(s, d)
+    return _six(evaluation.compare(c.select("case_id", F.col("recall_at_5").alias("recall")), c.select("case_id", F.col("recall_at_10").alias("recall")), ["recall"]))
+
+
+@query("candidate_winner", "SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean FROM documents GROUP BY 1 ORDER BY n DESC, mean DESC, source LIMIT 1")
+def _(s, d):
+    by = feed.read(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    return evaluation.winner(by, [F.desc("n"), F.desc("mean"), "source"])
+
+
+@query("percentiles_linear", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+def _(s, d):
+    return _six(feed.read(s, d, "events").groupBy("event_type").agg(*[evaluation.percentile_linear("value", p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most")))
+
+
+@query("percentiles_floor", "SELECT lang, CAST(floor(quantile_cont(n_chars, 0.5)) AS BIGINT) AS p50, CAST(floor(quantile_cont(n_chars, 0.95)) AS BIGINT) AS p95 FROM documents GROUP BY 1")
+def _(s, d):
+    return feed.read(s, d, "documents").groupBy("lang").agg(evaluation.percentile_floor("n_chars", 0.5).alias("p50"), evaluation.percentile_floor("n_chars", 0.95).alias("p95"))
+
+
+@query("percentiles_nearest", "SELECT label, list_sort(list(vec_id))[CAST(round_even(0.95 * (count(*) - 1), 0) AS BIGINT) + 1] AS p95 FROM embeddings GROUP BY 1")
+def _(s, d):
+    return feed.read(s, d, "embeddings").groupBy("label").agg(evaluation.percentile_nearest("vec_id", 0.95).alias("p95"))
+
+
+@query("set_precision_recall", f"WITH x AS (SELECT doc_id, list_distinct({TOKENS.format('left(text, 300)')}) AS r, ['the', 'of', 'and', 'la'] AS e FROM documents) SELECT doc_id, round(CASE WHEN len(r) = 0 THEN 1.0 ELSE len(list_intersect(r, e)) / len(r) END, 6) AS p, round(len(list_intersect(r, e)) / 4, 6) AS r FROM x")
+def _(s, d):
+    r, e = F.array_distinct(X.tokens(F.substring("text", 1, 300))), F.array(*map(F.lit, ["the", "of", "and", "la"]))
+    return _six(feed.read(s, d, "documents").select("doc_id", evaluation.set_precision(r, e).alias("p"), evaluation.set_recall(r, e).alias("r")))
+
+
+# Quality and inventory ------------------------------------------------------------------------------------------------
+
+
+@query("length_histogram", "SELECT CASE WHEN n = 0 THEN 'empty' WHEN n <= 200 THEN 'tiny' WHEN n <= 1000 THEN 'short' WHEN n <= 4000 THEN 'medium' WHEN n <= 16000 THEN 'long' ELSE 'huge' END AS bucket, count(*) AS n FROM (SELECT length(text) AS n FROM documents) GROUP BY 1")
+def _(s, d):
+    return quality.histogram(feed.read(s, d, "documents"), F.length("text"))
+
+
+@query("inventory_by_lang", "SELECT lang, source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest, CAST(sum(greatest(1, floor(length(text) / 4))) AS BIGINT) AS tokens, count(*) FILTER (trim(text) = '') AS blank FROM documents GROUP BY ALL")
+def _(s, d):
+    return quality.inventory(feed.read(s, d, "documents"), ["lang", "source"], "text")
+
+
+@query("coverage_gates", "WITH x AS (SELECT doc_id % 10 <> 0 AS eligible, CASE WHEN doc_id % 4 = 0 THEN [] WHEN doc_id % 7 = 0 THEN ['z'] ELSE [source] END AS stored, [source] AS expected FROM documents) SELECT count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND stored = expected) AS covered, count(*) FILTER (eligible AND len(stored) = 0) AS missing, count(*) FILTER (eligible AND stored <> expected AND len(stored) > 0) AS stale, count(*) FILTER (NOT eligible AND len(stored) > 0) AS stray, round(count(*) FILTER (eligible AND stored = expected) / count(*) FILTER (eligible), 6) AS coverage, CAST(max(len(stored)) AS INT) AS most_chunks FROM x")
+def _(s, d):
+    i = F.col("doc_id")
+    x = feed.read(s, d, "documents").select((i % 10 != 0).alias("eligible"), F.when(i % 4 == 0, F.array().cast("array<string>")).when(i % 7 == 0, F.array(F.lit("z"))).otherwise(F.array("source")).alias("stored"), F.array("source").alias("expected"))
+    return _six(quality.coverage_gates(x))
+
+
+@query("chunk_contiguity", "WITH x AS (SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 5 <> 0), t AS (SELECT conv_id, max(turn) AS m FROM x GROUP BY 1), g AS (SELECT conv_id, unnest(range(0, m + 1)) AS missing FROM t) SELECT conv_id, missing FROM g WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.conv_id = g.conv_id AND turn = missing)")
+def _(s, d):
+    c = feed.read(s, d, "conversations").where("(conv_id + turn) % 5 != 0").withColumnRenamed("turn", "chunk_index")
+    return quality.missing_chunks(c, ["conv_id"])
+
+
+@query("duplicate_chunk_hash", "SELECT sha256(text) AS chunk_hash, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
+def _(s, d):
+    return feed.read(s, d, "conversations").groupBy(F.sha2("text", 256).alias("chunk_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("distinct_embeddable", "SELECT sha256(text) AS chunk_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def _(s, d):
+    return feed.read(s, d, "documents").groupBy(F.sha2("text", 256).alias("chunk_hash")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("mismatched_counts", "WITH n AS (SELECT conv_id, count(*) AS actual FROM conversations GROUP BY 1), st AS (SELECT conv_id, max(turn) + 1 - conv_id % 2 AS chunk_count FROM conversations GROUP BY 1) SELECT conv_id, chunk_count, actual FROM st JOIN n USING (conv_id) WHERE chunk_count <> actual")
+def _(s, d):
+    c = feed.read(s, d, "conversations")
+    st = c.groupBy("conv_id").agg((F.max("turn") + 1).alias("m")).select("conv_id", (F.col("m") - F.col("conv_id") % 2).alias("chunk_count"))
+    return quality.count_mismatch(st, c, ["conv_id"])
+
+
+@query("release_invariants", "SELECT (SELECT count(*) FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0)) AS orphans, (SELECT CAST(sum(n - u) AS BIGINT) FROM (SELECT conv_id, count(*) AS n, count(DISTINCT role) AS u FROM conversations GROUP BY 1)) AS repeated_hashes, 0 :: BIGINT AS items_with_gaps")
+def _(s, d):
+    c = feed.read(s, d, "conversations").select("conv_id", F.col("turn").alias("chunk_index"), F.col("role").alias("chunk_hash"))
+    owners = feed.read(s, d, "documents").where("doc_id % 9 != 0").select(F.col("doc_id").alias("conv_id"))
+    return quality.release_invariants(c, owners, ["conv_id"])
+
+
+@query("state_disagreements", "SELECT coalesce(f.doc_id, g.doc_id) AS doc_id, array_to_string(list_filter([CASE WHEN g.doc_id IS NULL THEN 'state_missing' END, CASE WHEN f.n <> g.n THEN 'chunk_drift' END, CASE WHEN f.h <> g.h THEN 'hash_drift' END, CASE WHEN f.doc_id IS NULL THEN 'source_gone' END], lambda x: x IS NOT NULL), ',') AS codes FROM (SELECT doc_id, lang AS h, 1 AS n FROM documents WHERE doc_id % 6 <> 0) f FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE lang END AS h, CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END AS n FROM documents WHERE doc_id % 7 <> 0) g ON f.doc_id = g.doc_id WHERE (f.doc_id IS NULL OR g.doc_id IS NULL OR f.h <> g.h OR f.n <> g.n)")
+def _(s, d):
+    r = feed.read(s, d, "documents")
+    fresh = r.where("doc_id % 6 != 0").select("doc_id", F.lit("safe").alias("public_state"), F.col("lang").alias("hash"), F.lit(1).alias("chunks"))
+    old = r.where("doc_id % 7 != 0").select("doc_id", F.lit("safe").alias("public_state"), F.when(F.col("doc_id") % 8 == 0, "x").otherwise(F.col("lang")).alias("hash"), F.when(F.col("doc_id") % 10 == 0, 2).otherwise(1).alias("chunks"))
+    return quality.disagreements(old, fresh, "doc_id").withColumn("codes", F.array_join("codes", ","))
+
+
+@query("audit_rollup", "SELECT CASE WHEN regexp_matches(text, '(AKIA|ASIA)[0-9A-Z]{16}') THEN 'secret_quarantined' WHEN trim(text) = '' THEN 'invalid_source' WHEN length(text) % 2 = 0 THEN 'syntactically_valid' ELSE 'parser_fallback' END AS class, count(*) AS n FROM documents GROUP BY 1")
+def _(s, d):
+    reasons = F.when(F.col("text").rlike("(AKIA|ASIA)[0-9A-Z]{16}"), F.array(F.lit("provider_token_prefix"))).otherwise(F.array().cast("array<string>"))
+    return feed.read(s, d, "documents").groupBy(quality.audit_class(F.length("text") % 2 == 0, F.lit(True), reasons, F.col("text")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cohort_fingerprint", "SELECT source, n, sha256(concat_ws(',', n, w0, w1, w2, w3)) AS fingerprint FROM (SELECT source, count(*) AS n, sum(CAST(('0x' || substr(h, 1, 8)) AS BIGINT)) AS w0, sum(CAST(('0x' || substr(h, 9, 8)) AS BIGINT)) AS w1, sum(CAST(('0x' || substr(h, 17, 8)) AS BIGINT)) AS w2, sum(CAST(('0x' || substr(h, 25, 8)) AS BIGINT)) AS w3 FROM (SELECT source, sha256(text) AS h FROM documents) GROUP BY 1)")
+def _(s, d):
+    return quality.fingerprint(feed.read(s, d, "documents").select("source", F.sha2("text", 256).alias("h")), "h", "source")
+
+
+@query("term_probe", "SELECT term, count(*) AS n, min(doc_id) AS first_id FROM documents, (SELECT unnest(['stupid', 'License', 'zzzz']) AS term) WHERE contains(lower(text), lower(term)) GROUP BY 1")
+def _(s, d):
+    return quality.term_probe(feed.read(s, d, "documents"), ["stupid", "License", "zzzz"], "text", "doc_id")
+
+
+@query("golden_validate", "WITH c AS (SELECT conv_id AS case_id, role AS query FROM conversations WHERE turn < 2), j AS (SELECT conv_id AS case_id, turn AS key, turn - 1 AS grade FROM conversations) SELECT 'duplicate_case' AS code, CAST(case_id AS VARCHAR) AS what FROM c GROUP BY case_id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_query', lower(query) FROM c GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'grade_range', concat(case_id, ':', key) FROM j WHERE grade < 0 OR grade > 3 UNION ALL SELECT 'unknown_item', concat(case_id, ':', key) FROM j WHERE key NOT IN (0, 1, 2, 3, 4)")
+def _(s, d):
+    c = feed.read(s, d, "conversations")
+    items = s.range(5).select(F.col("id").alias("key"))
+    return quality.golden_problems(c.where("turn < 2").select(F.col("conv_id").alias("case_id"), F.col("role").alias("query")), c.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("key"), (F.col("turn") - 1).alias("grade")), items)
+
+
+@query("capacity_model", "WITH s AS (SELECT lang AS name, count(*) AS items, floor(avg(n_chars) / 4) AS mean_tokens, 384 AS dimension, 512 AS chunk_tokens FROM documents GROUP BY 1), v AS (SELECT *, CAST(items * CASE WHEN mean_tokens <= 512 THEN 1 ELSE 1 + ceil((mean_tokens - 512) / 462) END AS BIGINT) AS vectors FROM s) SELECT name, vectors, CAST(items * mean_tokens + (vectors - items) * 50 AS BIGINT) AS tokens, round((vectors * (1544 + 96) + vectors * (1544 + 160)) / 1e9, 6) AS gb FROM v")
+def _(s, d):
+    by = feed.read(s, d, "documents").groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("items"), F.floor(F.avg("n_chars") / 4).alias("mean_tokens")).withColumns({"dimension": F.lit(384), "chunk_tokens": F.lit(512)})
+    return quality.capacity(by).select("name", "vectors", "tokens", "gb")
+
+
+# Representations and ingest -------------------------------------------------------------------------------------------
+
+
+@query("prose_chunks")
+def _(s, d):
+    return representations.chunked(feed.read(s, d, "documents"), "text", ["doc_id"])
+
+
+@query("code_chunks")
+def _(s, d):
+    return representations.chunked(feed.read(s, d, "pages"), "html", ["page_id"], code=True)
+
+
+@query("chunking_equivalence")
+def _(s, d):
+    r = feed.read(s, d, "documents")
+    return representations.equivalence(representations.chunked(r, "text", ["doc_id"]), representations.chunked(r, "text", ["doc_id"], target=256), ["doc_id"])
+
+
+@query("redact_texts", r"SELECT doc_id, sha256(regexp_replace(text, '\b(?:AKIA|ASIA)[0-9A-Z]{16}\b', '[redacted]', 'g')) AS hash FROM documents")
+def _(s, d):
+    return feed.read(s, d, "documents").select("doc_id", F.sha2(F.regexp_replace("text", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "[redacted]"), 256).alias("hash"))
+
+
+@query("code_cohorts", "SELECT 'none' AS cohort, count(*) AS n FROM documents WHERE NOT regexp_matches(text, '```')")
+def _(s, d):
+    return feed.read(s, d, "documents").groupBy(representations.cohort(F.lit(None).cast("string"), F.col("text")).alias("cohort")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("html_extract")
+def _(s, d):
+    return ingest.extract_html(feed.read(s, d, "pages"))
+
+
+@query("vtt_extract")
+def _(s, d):
+    head = F.lit("WEBVTT\n\n00:01.000 --> 00:02.000\n")
+    return ingest.extract_captions(feed.read(s, d, "conversations").select("conv_id", F.concat(head, "text").alias("vtt")), "conv_id", "vtt")
+
+
+@query("workflow_extract", "SELECT event_id, 0 :: INT AS node, event_type AS class_type, concat('[', CAST(json_extract_string(props, '$.k') AS BIGINT), ']') AS widgets FROM events")
+def _(s, d):
+    g = F.to_json(F.struct(F.struct(F.col("event_type").alias("class_type"), F.from_json("props", "k bigint").alias("inputs")).alias("n1")))
+    return ingest.extract_nodes(feed.read(s, d, "events").select("event_id", g.alias("graph")), "event_id", "graph")
+
+
+@query("json_leaves", "SELECT event_id, json_extract_string(props, '$.k') AS leaves FROM events")
+def _(s, d):
+    return ingest.json_leaves(feed.read(s, d, "events"), "event_id", "props").withColumn("leaves", F.array_join("leaves", " "))
+
+
+# Lifecycle ------------------------------------------------------------------------------------------------------------
+
+CHANGES = "x AS (SELECT event_id, user_id, ts, CASE event_id % 3 WHEN 0 THEN 'insert' WHEN 1 THEN 'update' ELSE 'delete' END AS op, event_id % 5 = 0 AS od, event_id % 7 = 0 AS nd, value > 10 AS changed FROM events), j AS (SELECT event_id, user_id, ts, op, CASE WHEN op = 'insert' AND NOT nd THEN 'embed' WHEN op = 'update' AND nd AND NOT od THEN 'drop' WHEN op = 'update' AND changed THEN 'reembed' WHEN op = 'delete' THEN 'drop' END AS job_kind FROM x)"
+
+
+def _changes(s, d):
+    i = F.col("event_id")
+    op = F.when(i % 3 == 0, "insert").when(i % 3 == 1, "update").otherwise("delete")
+    rows = feed.read(s, d, "events").select("event_id", "user_id", "ts", F.explode(lifecycle.message_jobs(op, i % 5 == 0, i % 7 == 0, F.col("value") > 10)).alias("j"))
+    return rows.select("event_id", "user_id", "ts", "j.*")
+
+
+@query("cdc_jobs", f"WITH {CHANGES} SELECT event_id, job_kind FROM j WHERE job_kind IS NOT NULL")
+def _(s, d):
+    return _changes(s, d).select("event_id", "job_kind")
+
+
+@query("job_queue_dedupe", f"WITH {CHANGES} SELECT user_id, event_id, job_kind, merged FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY user_id) AS merged FROM j WHERE job_kind IS NOT NULL) WHERE n = 1")
+def _(s, d):
+    return lifecycle.pending(_changes(s, d), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "job_kind", "merged")
+
+
+def _queue(s, d):
+    return feed.read(s, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "view", "processing").otherwise("done").alias("status"), F.col("ts").alias("next_attempt_at"), (F.col("user_id") % 6).cast("int").alias("attempts"), F.lit("w").alias("lease_owner"), F.col("ts").alias("lease_until"))
+
+
+NOW = F.lit("2024-01-20").cast("timestamp_ntz")
+
+
+@query("job_claim", "SELECT event_id AS id, 'processing' AS status, CAST(user_id % 6 + 1 AS INT) AS attempts FROM events WHERE event_type = 'click' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts, event_id LIMIT 16")
+def _(s, d):
+    return lifecycle.claim(_queue(s, d), NOW, "worker", 16).select("id", "status", "attempts")
+
+
+@query("job_fail_backoff", "SELECT event_id AS id, CASE WHEN user_id % 2 = 0 AND user_id % 6 < 5 THEN 'pending' ELSE 'failed' END AS status, CASE WHEN user_id % 2 = 0 AND user_id % 6 < 5 THEN TIMESTAMP '2024-01-20' + to_seconds(greatest(5, least(300, 5 * pow(2, least(greatest(user_id % 6, 1), 6))))) ELSE ts END AS next_attempt_at FROM events WHERE event_type = 'view'")
+def _(s, d):
+    q = _queue(s, d).where("status = 'processing'")
+    return lifecycle.fail(q, NOW, F.col("attempts") % 2 == 0).select("id", "status", "next_attempt_at")
+
+
+@query("job_recover", "SELECT event_id AS id, CASE WHEN event_type = 'click' OR (event_type = 'view' AND ts < TIMESTAMP '2024-01-20') THEN 'pending' WHEN event_type = 'view' THEN 'processing' ELSE 'done' END AS status FROM events")
+def _(s, d):
+    return lifecycle.recover(_queue(s, d), NOW).select("id", "status")
+
+
+@query("cleanup_ineligible", "SELECT vec_id FROM embeddings WHERE CAST(vec_id AS BIGINT) NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)")
+def _(s, d):
+    v = feed.read(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.lit("resource").alias("entity_type"))
+    live = {"resource": feed.read(s, d, "documents").where("doc_id % 4 != 0").select(F.col("doc_id").alias("item_id"))}
+    return lifecycle.ineligible(v, live).select(F.col("item_id").alias("vec_id"))
+
+
+@query("refresh_actions", "SELECT coalesce(f.doc_id, g.doc_id) AS doc_id, CASE WHEN f.doc_id IS NULL THEN 'drop' WHEN f.doc_id % 10 = 0 THEN 'quarantine' WHEN f.lang IS NOT DISTINCT FROM g.lang THEN 'skip' ELSE 'upsert' END AS action FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 6 <> 0) f FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE lang END AS lang FROM documents WHERE doc_id % 7 <> 0) g ON f.doc_id = g.doc_id")
+def _(s, d):
+    r = feed.read(s, d, "documents")
+    fresh = r.where("doc_id % 6 != 0").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "quarantined").otherwise("safe").alias("public_state"), F.col("lang").alias("hash"), F.lit(1).alias("version"))
+    old = r.where("doc_id % 7 != 0").select("doc_id", F.when(F.col("doc_id") % 8 == 0, "x").otherwise(F.col("lang")).alias("hash"), F.lit(1).alias("version"))
+    return lifecycle.refresh_actions(old, fresh, "doc_id")
+
+
+@query("backfill_plan")
+def _(s, d):
+    r = feed.read(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.greatest(F.lit(1), X.token_estimate("text")).alias("tokens"))
+    return lifecycle.backfill_plan(r, r.where("doc_id % 2 = 0"), "doc_id")
+
+
+@query("remediation", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unavailable' ELSE 'safe' END AS state FROM documents")
+def _(s, d):
+    r = feed.read(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, "print(1)").alias("code"), "text")
+    return lifecycle.remediation(r, F.col("code"), F.col("text")).select("doc_id", "state")
+
+
+@query("stream_latest_state", "SELECT user_id, event_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE r = 1")
+def _(s, d):
+    return jobs.drain(jobs.latest_state(jobs.events_stream(s, f"{d}/events.parquet")), "complete")
+
+
+@query("fact_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
+def _(s, d):
+    li = feed.read(s, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
