@@ -63,6 +63,14 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(docs).select("doc_id", "source", "slot", "place", "epoch", "block_no")
 
 
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.context_tree import score_documents
+    from corpusforge.llm.langid import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs.withColumn("held_out", held_out(F.col("doc_id"), 5, 1)))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusforge.llm.decontamination import contaminated
 
@@ -77,6 +85,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_context_tree": op7_context_tree,
     "op9_pii": op9_pii,
     "op3_chat_format": op3_chat_format,
     "op1_language_id": op1_language_id,
