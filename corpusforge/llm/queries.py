@@ -84,7 +84,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusforge.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op7_context_tree": op7_context_tree,
     "op9_pii": op9_pii,
     "op3_chat_format": op3_chat_format,
