@@ -7,6 +7,11 @@ estimate of its own counts, and weighting mixes, bottom up, the node's estimate
 code length of a word depends on the word alone, so it is computed once per distinct word of the corpus, and a text
 costs the sum over its tokens.
 
+A corpus mixes languages and kinds of text, which one tree per decision can't tell apart at the start of a word. So
+there are CLASSES such sets of trees, and a text's probability is the mixture of what they give it as a whole. Training
+documents are dealt to classes by a small word classifier, itself fitted without labels on SAMPLE training documents
+(chosen by a hash of doc_id); the counts of the trees come from all of them.
+
 Counts of all contexts of all depths come from every training document. Of these the model keeps the CAPACITY most
 frequent; what a node's kept children don't hold is coded by the node itself, and so is a context never seen.
 Words with the HEAD highest counts are looked up where the text lies; all other words meet their score in a join.
@@ -29,6 +34,9 @@ from corpusforge.llm.common import arrow_rows, stored
 DEPTH = 6
 CAPACITY = 1 << 20
 HEAD = 1 << 16
+CLASSES = 6
+SAMPLE = 2000
+CLASS_WORDS = 512
 #: Distinct words that a worker counts before it passes them on.
 _HELD = 300_000
 _START, _CLOSE, _END = 10, 32, 9
@@ -81,7 +89,71 @@ def _decisions(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _mask(depth: int) -> np.uint64:
-    return np.uint64((1 << 8 * (depth + 1)) - 1)
+    """Keeps the byte, `depth` bytes of context and, on top, the class."""
+    return np.uint64((1 << 8 * (depth + 1)) - 1 | 0xFF << 56)
+
+
+def _in_class(keys: np.ndarray, k) -> np.ndarray:
+    return keys | np.asarray(k).astype(np.uint64) << np.uint64(56)
+
+
+class Classes:
+    """Classes of texts by their frequent words: a mixture of word distributions."""
+
+    def __init__(self, texts: list[Counter], classes: int = CLASSES, words: int = CLASS_WORDS, rounds: int = 40):
+        total: Counter = Counter()
+        for t in texts:
+            total.update(t)
+        frequent = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:words]
+        self.place = {w: i for i, (w, _) in enumerate(frequent)}
+        n = np.zeros((len(texts), len(frequent)))
+        for i, t in enumerate(texts):
+            for w, k in t.items():
+                if w in self.place:
+                    n[i, self.place[w]] = k
+        self.prior = np.full(classes, 1 / classes)
+        self.log_p = np.zeros((classes, len(frequent)))
+        n = n[n.sum(axis=1) >= 5]
+        if not len(n):
+            return
+        # Start from texts far apart, then expectation-maximisation.
+        unit = np.sqrt(n / n.sum(axis=1, keepdims=True))
+        chosen = [int(n.sum(axis=1).argmax())]
+        near = unit @ unit[chosen[0]]
+        while len(chosen) < classes:
+            chosen.append(int(near.argmin()))
+            near = np.maximum(near, unit @ unit[chosen[-1]])
+        own = np.eye(classes)[(unit @ unit[chosen].T).argmax(axis=1)]
+        for _ in range(rounds):
+            mass = own.T @ n + 0.1
+            self.log_p = np.log(mass / mass.sum(axis=1, keepdims=True))
+            self.prior = (own.sum(axis=0) + 0.5) / (len(n) + 0.5 * classes)
+            fit = n @ self.log_p.T + np.log(self.prior)
+            own = np.exp(fit - fit.max(axis=1, keepdims=True))
+            own /= own.sum(axis=1, keepdims=True)
+
+    def of(self, words: Counter) -> int:
+        at = [(i, k) for w, k in words.items() if (i := self.place.get(w)) is not None]
+        if not at:
+            return int(self.prior.argmax())
+        i, k = zip(*at)
+        return int((self.log_p[:, list(i)] @ np.array(k, float) + np.log(self.prior)).argmax())
+
+
+def find_classes(docs: DataFrame, classes: int = CLASSES, sample: int = SAMPLE) -> Classes:
+    """docs: doc_id, text, held_out. At most `sample` documents' word counts come to the driver."""
+
+    def count(batches):
+        for b in batches:
+            got = [Counter(words_of(t)).most_common(CLASS_WORDS) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[w.decode("utf-8", "surrogatepass") for w, _ in g] for g in got], pa.list_(pa.string())), pa.array([[k for _, k in g] for g in got], pa.list_(pa.int64()))], names=["h", "w", "k"])
+
+    ids = docs.where("NOT held_out").select(F.xxhash64(F.lit("class"), "doc_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if ids is None:
+        return Classes([], classes)
+    few = docs.where("NOT held_out").select(F.xxhash64(F.lit("class"), "doc_id").alias("h"), "text").where(F.col("h") <= ids)
+    rows = few.mapInArrow(count, "h long, w array<string>, k array<long>").orderBy("h").limit(sample).collect()
+    return Classes([Counter({w.encode("utf-8", "surrogatepass"): k for w, k in zip(r["w"], r["k"])}) for r in rows], classes)
 
 
 def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -131,44 +203,47 @@ def code_lengths(keys: np.ndarray, model: list) -> np.ndarray:
     return total
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """word (empty for the end) and n: how often it comes in training documents, 0 if in held-out ones alone."""
+def _word_counts(docs: DataFrame, classes: Classes) -> DataFrame:
+    """word (empty for the end), class and n: how often it comes in training documents, 0 if in held-out ones alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def count(batches):
-        held: Counter = Counter()
+        held: dict[int, Counter] = {}
         for b in batches:
             for text, out in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(text)
+                words = Counter(words_of(text))
+                mine = held.setdefault(shared.value.of(words), Counter())
                 if out:
-                    for w in set(words):
-                        held.setdefault(w, 0)
-                    held.setdefault(b"", 0)
+                    for w in words:
+                        mine.setdefault(w, 0)
+                    mine.setdefault(b"", 0)
                 else:
-                    held.update(words)
-                    held[b""] += 1
-                if len(held) > _HELD:
-                    yield rows(held)
-                    held = Counter()
-        yield rows(held)
+                    mine.update(words)
+                    mine[b""] += 1
+            if sum(map(len, held.values())) > _HELD:
+                yield from rows(held)
+                held = {}
+        yield from rows(held)
 
     def rows(held):
-        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in held], pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+        for c, words in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string()), pa.array(np.full(len(words), c, np.int32)), pa.array(words.values(), pa.int64())], names=["word", "class", "n"])
 
-    return docs.select("text", "held_out").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out").mapInArrow(count, "word string, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
 def _levels(words: DataFrame) -> DataFrame:
-    """depth, key and n of every context and byte, of all depths, in the training words."""
+    """depth, key and n of every context and byte, of all depths, in the training words of each class."""
 
     def grams(batches):
         for b in batches:
             keys, at = word_grams([w.encode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()])
-            n = b.column(1).to_numpy()[at]
+            n, keys = b.column(2).to_numpy()[at], _in_class(keys, b.column(1).to_numpy()[at])
             for d in range(DEPTH + 1):
                 k, inverse = np.unique(keys & _mask(d), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), d, np.int32)), pa.array(k.view(np.int64)), pa.array(np.bincount(inverse, n, len(k)).astype(np.int64))], names=["depth", "key", "n"])
 
-    return words.where("n > 0").select("word", "n").mapInArrow(grams, "depth int, key long, n long").groupBy("depth", "key").agg(F.sum("n").alias("n"))
+    return words.where("n > 0").select("word", "class", "n").mapInArrow(grams, "depth int, key long, n long").groupBy("depth", "key").agg(F.sum("n").alias("n"))
 
 
 def fit(words: DataFrame, capacity: int = CAPACITY) -> list:
@@ -197,77 +272,84 @@ def fit(words: DataFrame, capacity: int = CAPACITY) -> list:
     return [made[d] for d in sorted(made)]
 
 
-def score_words(words: DataFrame, model: list) -> DataFrame:
-    """words with score: log10 of the model's probability of each."""
+def score_words(words: DataFrame, model: list, classes: int) -> DataFrame:
+    """word, n and scores: log10 of the probability of the word under each class."""
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
         for b in batches:
             keys, at = word_grams([w.encode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()])
             some, inverse = np.unique(keys, return_inverse=True)
-            cost = np.bincount(at, code_lengths(some, shared.value)[inverse], b.num_rows) if len(keys) else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cost)], names=["word", "n", "score"])
+            cost = np.stack([np.bincount(at, code_lengths(_in_class(some, k), shared.value)[inverse], b.num_rows) for k in range(classes)], axis=1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * classes), pa.array(cost.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["word", "n", "scores"])
+
+    return words.select("word", "n").mapInArrow(each, "word string, n long, scores array<double>")
+
 
-    return words.select("word", "n").mapInArrow(each, "word string, n long, score double")
+def mixture(scores: list, prior: np.ndarray):
+    """log10 of the mixture of class probabilities given by their log10 columns."""
+    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    return best + F.log10(sum((F.lit(float(p)) * F.pow(F.lit(10.0), c - best) for p, c in zip(prior, scores)), F.lit(0.0)))
 
 
-def score_documents(docs: DataFrame, capacity: int = CAPACITY, head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, capacity: int = CAPACITY, head: int = HEAD, classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; docs has a held_out column."""
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    counted = stored(_word_counts(docs), "lm-words")
+    kinds = find_classes(docs, classes)
+    counted = stored(_word_counts(docs, kinds), "lm-words")
     arrow_rows(spark, 20_000)
-    words = stored(score_words(counted, fit(counted, capacity)), "lm-scores")
-    size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    model = fit(counted, capacity)
+    words = stored(score_words(counted.groupBy("word").agg(F.sum("n").alias("n")), model, classes), "lm-scores")
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     total, floor = size["n"], size["n"] + 0.5 * (size["v"] + 1)
     base = F.log10((F.col("n") + 0.5) / F.lit(float(floor)))
-    words = words.select("word", (F.col("n") > 0).cast("long").alias("known"), base.alias("base"), "score", "n")
+    names = ["known", "base", *[f"s{k}" for k in range(classes)]]
+    words = words.select("word", "n", (F.col("n") > 0).cast("double").alias("known"), base.alias("base"), *[F.col("scores")[k].alias(f"s{k}") for k in range(classes)])
     # The end comes in every document: it is in the head whatever its count, which is 0 if there is nothing to learn from.
     top = words.where("word != ''").orderBy(F.desc("n"), "word").limit(head).unionByName(words.where("word = ''")).toArrow()
-    table = {w.encode("utf-8", "surrogatepass"): x for w, *x in zip(*(top.column(c).to_pylist() for c in ("word", "known", "base", "score")))}
-    shared = spark.sparkContext.broadcast(table)
+    place = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(top.column("word").to_pylist())}
+    shared = spark.sparkContext.broadcast((place, np.stack([top.column(c).to_numpy() for c in names], axis=1)))
     arrow_rows(spark)
 
     def look_up(batches):
-        lots = shared.value
+        place, values = shared.value
         for b in batches:
-            out: list[list] = [[], [], []]
-            main: list[list] = [[], [], []]
+            row_, word_, times_, sums, tokens = [], [], [], [], []
             for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = words_of(text)
-                known, low, cost = lots[b""]
-                for w, k in Counter(words).items():
-                    if got := lots.get(w):
-                        known += k * got[0]
-                        low += k * got[1]
-                        cost += k * got[2]
-                    else:
-                        out[0].append(row)
-                        out[1].append(w.decode("utf-8", "surrogatepass"))
-                        out[2].append(k)
-                main[0].append(len(words) + 1)
-                main[1].append(known)
-                main[2].append((low, cost))
-            n, m = len(out[0]), b.num_rows
+                words = Counter(words_of(text))
+                tokens.append(words.total() + 1)
+                words[b""] = 1
+                at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+                k = np.fromiter(words.values(), np.int64, len(words))
+                sums.append(k[at >= 0] @ values[at[at >= 0]])
+                if (at < 0).any():
+                    rare = [(w, n) for (w, n), i in zip(words.items(), at.tolist()) if i < 0]
+                    row_ += [row] * len(rare)
+                    word_ += [w.decode("utf-8", "surrogatepass") for w, _ in rare]
+                    times_ += [n for _, n in rare]
+            n, m = len(row_), b.num_rows
+            sums = np.array(sums).reshape(m, len(names))
             none = [None]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(out[0] + b.column(0).to_pylist(), pa.int64()), pa.array(out[1] + none * m, pa.string()), pa.array(out[2] + none * m, pa.int64()),
-                    pa.concat_arrays([pa.nulls(n, b.column(2).type), b.column(2)]), pa.array(none * n + b.column(3).to_pylist(), pa.bool_()),
-                    pa.array(none * n + main[0], pa.int64()), pa.array(none * n + main[1], pa.int64()), pa.array(none * n + [x for x, _ in main[2]], pa.float64()), pa.array(none * n + [x for _, x in main[2]], pa.float64()),
+                    pa.array(row_ + b.column(0).to_pylist(), pa.int64()), pa.array(word_ + none * m, pa.string()), pa.array(times_ + none * m, pa.int64()),
+                    pa.concat_arrays([pa.nulls(n, b.column(2).type), b.column(2)]), pa.array(none * n + b.column(3).to_pylist(), pa.bool_()), pa.array(none * n + tokens, pa.int64()),
+                    *[pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(sums[:, i])]) for i in range(len(names))],
                 ],
-                names=["row", "word", "k", "doc_id", "held_out", "n_tokens", "known", "base", "score"],
+                names=["row", "word", "k", "doc_id", "held_out", "n_tokens", *names],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id", "held_out")
-    parts = stored(rows.mapInArrow(look_up, f"row long, word string, k long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double"), "lm-parts")
-    tail = parts.where("word IS NOT NULL").select("row", "word", "k").join(words.select("word", "known", "base", "score"), "word")
-    tail = tail.groupBy("row").agg(*[F.sum(F.col("k") * F.col(c)).alias(f"t_{c}") for c in ("known", "base", "score")])
-    whole = parts.where("word IS NULL").join(tail, "row", "left")
-
-    def plus(c):
-        return F.col(c) + F.coalesce(f"t_{c}", F.lit(0))
-
-    return whole.select("doc_id", "held_out", "n_tokens", plus("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("score").alias("score"))
+    parts = stored(rows.mapInArrow(look_up, f"row long, word string, k long, doc_id {kind}, held_out boolean, n_tokens long, " + ", ".join(f"{c} double" for c in names)), "lm-parts")
+    tail = parts.where("word IS NOT NULL").select("row", "word", "k").join(words.drop("n"), "word")
+    tail = tail.groupBy("row").agg(*[F.sum(F.col("k") * F.col(c)).alias(f"t_{c}") for c in names])
+    whole = parts.where("word IS NULL").drop("word", "k").join(tail, "row", "left")
+    plus = {c: F.col(c) + F.coalesce(f"t_{c}", F.lit(0.0)) for c in names}
+    return whole.select(
+        "doc_id", "held_out", "n_tokens", F.round(plus["known"]).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus["base"].alias("base_score"),
+        mixture([plus[f"s{k}"] for k in range(classes)], kinds.prior).alias("score"),
+    )

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,15 +76,18 @@ def test_scores(spark):
     rows = [(i, " ".join(rng.choice(vocab) for _ in range(60)) + "\n Ünseen" * (i % 7 == 0), i % 5 == 1) for i in range(60)]
     rows += [(None, "The THE", None), (100, None, True), (101, "", False), (5, "qq\x0bzz", True), (5, "qq\x0bzz", True)]
     df = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, held_out boolean, score double, word string")
+    kinds = C.find_classes(df.selectExpr("doc_id", "text", "coalesce(held_out, false) AS held_out"))
     train = [w for _, t, h in rows if not h for w in [*C.words_of(t), b""]]
+    dealt = [kinds.of(Counter(C.words_of(t))) for _, t, h in rows if not h for _ in [*C.words_of(t), b""]]
     c, n = {w: train.count(w) for w in set(train)}, len(train)
-    keys, _ = C.word_grams(train)
+    keys, at = C.word_grams(train)
+    keys = C._in_class(keys, np.array(dealt)[at])
     model = C.build([np.unique(keys & C._mask(d), return_counts=True) for d in range(C.DEPTH + 1)])
-    lm = {w: C.code_lengths(C.word_grams([w])[0], model).sum() for _, t, _ in rows for w in [*C.words_of(t), b""]}
+    lm = {w: np.array([C.code_lengths(C._in_class(C.word_grams([w])[0], k), model).sum() for k in range(C.CLASSES)]) for _, t, _ in rows for w in [*C.words_of(t), b""]}
     want = []
     for i, t, h in rows:
         words = [*C.words_of(t), b""]
-        want.append((i, bool(h), len(words), sum(w in c for w in words), n, sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (len(c) + 1))) for w in words), sum(lm[w] for w in words)))
+        want.append((i, bool(h), len(words), sum(w in c for w in words), n, sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (len(c) + 1))) for w in words), np.logaddexp.reduce(np.log(kinds.prior) + sum(lm[w] for w in words) * math.log(10)) / math.log(10)))
     for head in (3, C.HEAD):
         got = sorted(map(tuple, C.score_documents(df, head=head).collect()), key=str)
         for g, w in zip(got, sorted(want, key=str), strict=True):
