@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import text as X
 from corpusforge.functions import vectors as V
-from corpusforge.operators import evaluation, feed, lexical, lifecycle, quality, representations, search, semantic
+from corpusforge.operators import contribute, evaluation, feed, lexical, lifecycle, quality, representations, search, semantic, semantics
 from corpusforge.plans.query import Filters
 from corpusforge.sources import ingest
 from corpusforge.streaming import jobs
@@ -735,3 +735,73 @@ def _(s, d):
 def _(s, d):
     li = feed.read(s, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+# Contributions and semantics ------------------------------------------------------------------------------------------
+
+
+@query("contribute_validate", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'unknown action' WHEN event_id % 4 = 1 THEN 'data.title is required' WHEN event_id % 4 = 2 THEN 'data must be an object' END AS detail, event_id % 4 = 3 AS is_valid FROM events")
+def _(s, d):
+    i = F.col("event_id") % 4
+    good = """{"action": "add_resource", "data": {"kind": "a", "source": "s", "title": "t", "body": "b"}}"""
+    body = F.when(i == 0, """{"action": "drop", "data": {}}""").when(i == 1, """{"action": "add_resource", "data": {"kind": "a", "source": "s", "title": " ", "body": "b"}}""").when(i == 2, """{"action": "add_resource", "data": [1]}""").otherwise(good)
+    return contribute.validated(feed.read(s, d, "events").withColumn("body", body), "body").select("event_id", "detail", "is_valid")
+
+
+@query("rating_validate", "SELECT event_id, CASE WHEN user_id % 20 NOT BETWEEN 1 AND 10 THEN 'rating is out of range' END AS detail FROM events")
+def _(s, d):
+    body = F.to_json(F.struct(F.lit("r").alias("response_id"), F.lit("s").alias("session_id"), F.lit("t").alias("turn_id"), (F.col("user_id") % 20).alias("rating"), F.lit(False).alias("pack_shared")))
+    return contribute.validated(feed.read(s, d, "events").withColumn("body", body), "body", contribute.rating_problem).select("event_id", "detail")
+
+
+@query("api_key_check", "SELECT event_id, user_id AS author_id FROM events WHERE user_id % 3 <> 0")
+def _(s, d):
+    e = feed.read(s, d, "events").select("event_id", F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("api_key"), "user_id")
+    known = e.select(F.sha2("api_key", 256).alias("api_key_hash"), F.col("user_id").alias("id"), F.when(F.col("user_id") % 3 == 0, F.lit("2024")).alias("revoked_at")).distinct()
+    return contribute.authorised(e.drop("user_id"), known).select("event_id", "author_id")
+
+
+@query("near_questions", f"WITH g AS (SELECT doc_id AS id, {GRAMS.format(TOKENS.format('left(text, 80)'))} AS t FROM documents), k AS (SELECT * FROM g WHERE id % 2 = 0), n AS (SELECT * FROM g WHERE id % 2 = 1), x AS (SELECT n.id, k.id AS known_id, len(list_intersect(n.t, k.t)) / len(list_distinct(list_concat(n.t, k.t))) AS similarity FROM n, k WHERE len(n.t) > 0 AND len(k.t) > 0) SELECT id, known_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, known_id) AS r FROM x WHERE similarity > 0.6) WHERE r = 1")
+def _(s, d):
+    r = feed.read(s, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("question"))
+    return _six(contribute.near_questions(r.where("id % 2 = 1"), r.where("id % 2 = 0")))
+
+
+@query("semantics_build", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'text_to_video' ELSE 'unknown' END AS task, CASE WHEN p_partkey % 2 = 0 THEN 'video' ELSE 'unknown' END AS media, CASE WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence FROM part")
+def _(s, d):
+    rows = feed.read(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "t2v").otherwise("-").alias("title"), F.lit("").alias("body"), F.array(F.lit("K")).alias("nodes"), F.array(F.lit("m")).alias("models"))
+    out = semantics.with_semantics(rows, "title", "body", "nodes", "models")
+    return out.select("p_partkey", F.col("semantics.task_type").alias("task"), F.col("semantics.media_type").alias("media"), F.col("semantics.confidence").alias("confidence"))
+
+
+@query("finalize_outcomes", "SELECT event_id, CASE WHEN event_type <> 'view' THEN 'not_processing' WHEN user_id % 7 = 0 THEN 'contract_mismatch' WHEN user_id % 5 = 0 THEN 'dropped' WHEN user_id % 3 = 0 THEN 'source_changed' WHEN user_id % 2 = 0 THEN 'validation_failed' ELSE 'completed' END AS outcome FROM events")
+def _(s, d):
+    u = F.col("user_id")
+    out = lifecycle.finalize_outcome(F.when(F.col("event_type") == "view", "processing").otherwise("done"), F.when(u % 5 == 0, "drop").otherwise("embed"), u % 7 != 0, F.when(u % 3 == 0, "b").otherwise("a"), F.lit("a"), u % 2 != 0)
+    return feed.read(s, d, "events").select("event_id", out.alias("outcome"))
+
+
+@query("superseded_retention", "SELECT o_orderkey AS id FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 200) WHERE n > 5")
+def _(s, d):
+    o = feed.read(s, d, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", "superseded").otherwise("active").alias("status"))
+    return lifecycle.superseded_beyond(o, 5).select("id")
+
+
+@query("preflight_cost", "SELECT source, count(DISTINCT sha256(text)) AS texts, CAST(sum(t) AS BIGINT) AS tokens, round(sum(t) * 0.02 / 1e6, 6) AS cost FROM (SELECT source, text, max(greatest(1, floor(length(text) / 4))) AS t FROM documents GROUP BY 1, 2) GROUP BY 1")
+def _(s, d):
+    r = feed.read(s, d, "documents").select("source", F.sha2("text", 256).alias("h"), F.greatest(F.lit(1), X.token_estimate("text")).alias("t")).dropDuplicates(["source", "h"])
+    return _six(r.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("t").cast("long").alias("tokens"), (F.sum("t") * 0.02 / 1e6).cast("double").alias("cost")))
+
+
+@query("symbol_map", "SELECT term, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents, (SELECT unnest(['apache', 'worthless']) AS term) WHERE contains(lower(text), term) GROUP BY 1")
+def _(s, d):
+    low = F.lower("text")
+    held = F.filter(F.array(*[F.when(low.contains(t), F.lit(t)) for t in ("apache", "worthless")]), lambda x: x.isNotNull())
+    rows = feed.read(s, d, "documents").select("doc_id", F.explode(held).alias("term"))
+    return rows.groupBy("term").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query("latency_report", "SELECT event_type, count(*) AS n, count(*) FILTER (value > 20) AS over_budget, round(quantile_cont(value, 0.95), 6) AS p95, quantile_cont(value, 0.95) <= 30 AS gate FROM events GROUP BY 1")
+def _(s, d):
+    p = evaluation.percentile_linear("value", 0.95)
+    return _six(feed.read(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 20).alias("over_budget"), p.alias("p95"), (p <= 30).alias("gate")))
