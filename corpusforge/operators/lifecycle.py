@@ -140,3 +140,25 @@ def remediation(rows: DataFrame, code, body) -> DataFrame:
 
     prose = strip_code(body)
     return rows.withColumns({"state": public_state(code), "prose": prose, "combined_hash": F.sha2(hash_form(F.concat(prose, F.lit("\n\n# python representation\n\n"), F.coalesce(code, F.lit("")))), 256)})
+
+
+def advance(cursors: DataFrame, updates: DataFrame) -> DataFrame:
+    """Cursors after updates (source, expected_version, cursor, done): compare and swap on the version.
+
+    An update that expects another version changes nothing, and a cursor never goes back. `applied` tells which held.
+    """
+    u = updates.select("source", "expected_version", F.col("cursor").alias("_to"), F.col("done").alias("_done"))
+    both = cursors.join(u, "source", "left")
+    ok = F.coalesce(F.col("expected_version") == F.col("version"), F.lit(False))
+    return both.select(
+        "source", F.when(ok, F.greatest("cursor", "_to")).otherwise(F.col("cursor")).alias("cursor"), (F.col("version") + ok.cast("int")).alias("version"),
+        (F.col("done") + F.when(ok, F.coalesce("_done", F.lit(0))).otherwise(0)).alias("done"), ok.alias("applied"),
+    )
+
+
+def freshness(manifest: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """What a payload computed now may be used for: ready, unavailable (gone, unsafe or changed since the manifest)."""
+    c = current.select(F.col(key).alias("_k"), F.col("hash").alias("_h"), F.col("public_state").alias("_s"))
+    both = manifest.join(c, manifest[key] == c["_k"], "left")
+    ready = F.coalesce((F.col("hash") == F.col("_h")) & (F.col("_s") == "safe"), F.lit(False))
+    return both.select(key, F.when(ready, "ready").otherwise("unavailable").alias("payload"))

@@ -141,3 +141,9 @@ def hygiene(columns: list[str], forbidden: tuple = ("embedding", "vector", "payl
 def schema_inventory(df: DataFrame) -> list[tuple[str, str, bool]]:
     """Column, type and whether its name says that it decides who may see a row."""
     return [(f.name, f.dataType.simpleString(), any(w in f.name.lower() for w in ("deleted", "status", "state", "sharing", "revoked"))) for f in df.schema]
+
+
+def cohort(parts: list[DataFrame], key: list[str], high_water=None, column: str | None = None) -> DataFrame:
+    """Rows of several sources, each once, none beyond a high-water mark that was pinned before reading."""
+    rows = reduce(DataFrame.unionByName, parts)
+    return (rows.where(F.col(column) <= high_water) if column else rows).dropDuplicates(key)

@@ -82,3 +82,12 @@ def legacy_two_pass(rows: DataFrame, query: str, limit: int) -> DataFrame:
     passes = [rows.where(F.lower(c).contains(q)).orderBy("kind", "item_id").limit(limit).withColumn("pass", F.lit(i)) for i, c in enumerate(("title", "body"))]
     w = Window.partitionBy("kind", "item_id").orderBy("pass")
     return passes[0].unionByName(passes[1]).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def envelope(rows: DataFrame, failed: list[str] | None = None, scopes: int = 3) -> DataFrame:
+    """One row about a result: its size, whether no curated answer is in it, and what went wrong by the way."""
+    failed = failed or []
+    if failed and len(failed) >= scopes:
+        raise RuntimeError("every scope failed: " + "; ".join(failed))
+    warnings = F.array(*map(F.lit, failed)) if failed else F.array().cast("array<string>")
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("kind") == "distillation") == 0).alias("nudge")).withColumn("warnings", F.array_join(warnings, "; "))

@@ -805,3 +805,28 @@ def _(s, d):
 def _(s, d):
     p = evaluation.percentile_linear("value", 0.95)
     return _six(feed.read(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 20).alias("over_budget"), p.alias("p95"), (p <= 30).alias("gate")))
+
+
+@query("cursor_advance", "SELECT c.source, CASE WHEN c.version = u.version AND u.version % 2 = 0 THEN greatest(c.mx, c.mx + 5) ELSE c.mx END AS cursor, c.version + CASE WHEN u.version % 2 = 0 THEN 1 ELSE 0 END AS version, u.version % 2 = 0 AS applied FROM (SELECT source, max(doc_id) AS mx, count(*) AS version FROM documents GROUP BY 1) c JOIN (SELECT source, count(*) AS version FROM documents GROUP BY 1) u USING (source)")
+def _(s, d):
+    c = feed.read(s, d, "documents").groupBy("source").agg(F.max("doc_id").alias("cursor"), F.count(F.lit(1)).alias("version")).withColumn("done", F.lit(0))
+    u = c.select("source", F.when(F.col("version") % 2 == 0, F.col("version")).otherwise(-1).alias("expected_version"), (F.col("cursor") + 5).alias("cursor"), F.lit(1).alias("done"))
+    return lifecycle.advance(c, u).select("source", "cursor", "version", "applied")
+
+
+@query("payload_freshness", "SELECT doc_id, CASE WHEN doc_id % 6 <> 0 AND doc_id % 8 <> 0 THEN 'ready' ELSE 'unavailable' END AS payload FROM documents")
+def _(s, d):
+    r = feed.read(s, d, "documents")
+    now = r.where("doc_id % 6 != 0").select("doc_id", F.when(F.col("doc_id") % 8 == 0, "x").otherwise(F.col("lang")).alias("hash"), F.lit("safe").alias("public_state"))
+    return lifecycle.freshness(r.select("doc_id", F.col("lang").alias("hash")), now, "doc_id")
+
+
+@query("search_envelope", FEED + f"SELECT count(*) AS n, count(*) FILTER (kind = 'distillation') = 0 AS nudge, 'messages: timeout' AS warnings FROM feed WHERE {SCORE} > 0")
+def _(s, d):
+    return search.envelope(_scored(s, d), ["messages: timeout"])
+
+
+@query("cohort_reader", "SELECT doc_id FROM documents WHERE doc_id <= 700 AND (lang = 'en' OR source = 'src1')")
+def _(s, d):
+    r = feed.read(s, d, "documents").select("doc_id", "lang", "source")
+    return quality.cohort([r.where("lang = 'en'"), r.where("source = 'src1'")], ["doc_id"], 700, "doc_id").select("doc_id")

@@ -128,3 +128,51 @@ def test_reports_and_upsert(spark):
     with pytest.raises(ValueError):
         tables.json_report(a.withColumn("embedding", F.lit(1)))
     assert quality.hygiene(["id", "raw_content"]) == ["raw_content"]
+
+
+def test_contributions(spark):
+    from corpusforge.operators import contribute
+
+    known = spark.createDataFrame([(1, "how do I load a model", None), (2, "what is a sampler", None)], "id long, question string, supersedes_id long")
+    new = spark.createDataFrame([(10, "how do I load a model?", None), (11, "why is the sky blue", 2), (12, "where are my keys", 9), (13, "who goes there", None)], "id long, question string, supersedes_id long")
+    assert {(r.id, r.status) for r in contribute.accept_distillations(new, known).collect()} == {(11, "pending"), (13, "pending")}
+    assert contribute.near_questions(new, known).first()["known_id"] == 1
+    for body, said in (("[1]", "request must be an object"), ("{", "request must be an object"), ('{"action": "x"}', "unknown action"), (None, "request must be an object")):
+        assert one(spark, contribute.request_problem(F.lit(body).cast("string"))) == said
+    assert contribute.public_view(spark.createDataFrame([(1, True, "p"), (2, None, "p")], "id long, is_deleted boolean, payload string")).collect() == [(2, None)]
+
+
+def test_retrievers_bound_the_metrics(spark):
+    from corpusforge.plans import retrievers as R
+
+    judged = spark.createDataFrame([(1, "a", 3), (1, "b", 1), (2, "c", 2)], "case_id long, key string, grade int")
+    cases = spark.createDataFrame([(1, "x"), (2, "y")], "case_id long, query string")
+    best = evaluation.per_case(R.oracle(judged)(None, cases, 10), judged).collect()
+    assert all(r.ndcg_at_10 == pytest.approx(1) and r.reciprocal_rank == 1 and r.recall_at_10 == 1 for r in best)
+    worst = {r.case_id: r.ndcg_at_10 for r in evaluation.per_case(R.oracle(judged, reverse=True)(None, cases, 10), judged).collect()}
+    assert worst[1] < 1 and R.REGISTRY["stub"](None, cases, 5).count() == 0
+    assert R.probed(lambda *a: 1 / 0, None, cases, 5)["outcome"] == "error: ZeroDivisionError"
+
+
+def test_scans_are_pruned(spark, tmp_path):
+    from corpusforge.plans.retrievers import plan_facts
+
+    spark.range(10).selectExpr("id", "id AS x", "'t' AS body").write.parquet(f"{tmp_path}/t")
+    facts = plan_facts(spark.read.parquet(f"{tmp_path}/t").where("x > 3").select("id"))
+    assert "x" in facts["pushed"][0] and "body" not in facts["columns"][0] and not facts["python"]
+
+
+def test_cursor_is_swapped_only_at_the_expected_version(spark):
+    c = spark.createDataFrame([("a", 5, 1, 0), ("b", 5, 1, 0)], "source string, cursor long, version int, done int")
+    u = spark.createDataFrame([("a", 1, 9, 4), ("b", 7, 9, 4)], "source string, expected_version int, cursor long, done int")
+    assert {tuple(r) for r in lifecycle.advance(c, u).collect()} == {("a", 9, 2, 4, True), ("b", 5, 1, 0, False)}
+
+
+def test_batch_and_stream_agree(spark):
+    from corpusforge.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(sf):
+        pytest.skip("no test tables here")
+    stream = {(r.user_id, r.event_id) for r in QUERIES["stream_latest_state"](spark, sf).collect()}
+    assert stream == {(r.user_id, r.event_id) for r in QUERIES["upsert_latest"](spark, sf).collect()}
