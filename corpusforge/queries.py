@@ -680,23 +680,24 @@ def _queue(s, d):
     return feed.read(s, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "pending").when(F.col("event_type") == "view", "processing").otherwise("done").alias("status"), F.col("ts").alias("next_attempt_at"), (F.col("user_id") % 6).cast("int").alias("attempts"), F.lit("w").alias("lease_owner"), F.col("ts").alias("lease_until"))
 
 
-NOW = F.lit("2024-01-20").cast("timestamp_ntz")
+def _now():
+    return F.lit("2024-01-20").cast("timestamp_ntz")
 
 
 @query("job_claim", "SELECT event_id AS id, 'processing' AS status, CAST(user_id % 6 + 1 AS INT) AS attempts FROM events WHERE event_type = 'click' AND ts <= TIMESTAMP '2024-01-20' ORDER BY ts, event_id LIMIT 16")
 def _(s, d):
-    return lifecycle.claim(_queue(s, d), NOW, "worker", 16).select("id", "status", "attempts")
+    return lifecycle.claim(_queue(s, d), _now(), "worker", 16).select("id", "status", "attempts")
 
 
 @query("job_fail_backoff", "SELECT event_id AS id, CASE WHEN user_id % 2 = 0 AND user_id % 6 < 5 THEN 'pending' ELSE 'failed' END AS status, CASE WHEN user_id % 2 = 0 AND user_id % 6 < 5 THEN TIMESTAMP '2024-01-20' + to_seconds(greatest(5, least(300, 5 * pow(2, least(greatest(user_id % 6, 1), 6))))) ELSE ts END AS next_attempt_at FROM events WHERE event_type = 'view'")
 def _(s, d):
     q = _queue(s, d).where("status = 'processing'")
-    return lifecycle.fail(q, NOW, F.col("attempts") % 2 == 0).select("id", "status", "next_attempt_at")
+    return lifecycle.fail(q, _now(), F.col("attempts") % 2 == 0).select("id", "status", "next_attempt_at")
 
 
 @query("job_recover", "SELECT event_id AS id, CASE WHEN event_type = 'click' OR (event_type = 'view' AND ts < TIMESTAMP '2024-01-20') THEN 'pending' WHEN event_type = 'view' THEN 'processing' ELSE 'done' END AS status FROM events")
 def _(s, d):
-    return lifecycle.recover(_queue(s, d), NOW).select("id", "status")
+    return lifecycle.recover(_queue(s, d), _now()).select("id", "status")
 
 
 @query("cleanup_ineligible", "SELECT vec_id FROM embeddings WHERE CAST(vec_id AS BIGINT) NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)")
