@@ -31,6 +31,12 @@ LENGTH = 200
 GRAM = 64
 #: Bytes of regions that are sorted at a time; a larger group of one anchor is sorted whole.
 BUFFER = 1 << 19
+#: Strings that are compared byte by byte at a time.
+_ROWS = 1 << 15
+#: An anchor with more regions than this is hot: its regions are dealt anew by SPLIT longer pieces, of which every
+#: window around the anchor holds one.
+HOT = 1000
+SPLIT = 4
 
 
 def _encode(texts: list) -> list[bytes]:
@@ -83,13 +89,14 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, last: np.ndarray, length: i
     ends: the end of the part that each place is in; parts don't see each other. last: whether a suffix there is wanted.
     """
     n = len(text)
-    t = np.concatenate((text.astype(np.int32) + 1, [0]))
-    place = np.arange(n)
+    t = np.concatenate((text.astype(np.int16) + np.int16(1), np.zeros(1, np.int16)))
+    place = np.arange(n, dtype=np.int32)
     stop = place + 1 == ends
     # A suffix is smaller than its successor if the next different byte is larger; at a part's end it is larger.
-    diff = np.where(stop, -1, np.sign(t[1:] - t[:-1]))
-    nxt = np.where(diff != 0, place, n - 1)
+    diff = np.where(stop, np.int16(-1), t[1:] - t[:-1])
+    nxt = np.where(diff != 0, place, np.int32(n - 1))
     small = diff[np.minimum.accumulate(nxt[::-1])[::-1]] > 0
+    del diff, nxt, place
     # Wanted suffixes and those from which they are induced: on to the next small one.
     use = last.copy()
     while True:
@@ -98,14 +105,7 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, last: np.ndarray, length: i
         if not len(lead):
             break
         use[lead] = True
-    direct = np.flatnonzero(use & small)
-    if len(direct):
-        cut = np.minimum(ends[direct] - direct, length)
-        padded = np.concatenate((text, np.zeros(length, np.uint8)))
-        rows = np.lib.stride_tricks.sliding_window_view(padded, length)[direct]
-        # Zero pads beyond a part's end. Ties with real zero bytes don't matter: whole windows never reach the padding.
-        rows = np.where(np.arange(length) < cut[:, None], rows, 0).astype(np.uint8)
-        direct = direct[np.argsort(np.ascontiguousarray(rows).view(f"S{length}").ravel(), kind="stable")]
+    direct = _sorted(text, ends, np.flatnonzero(use & small), length)
     by_first = _split(direct, t[direct])
     large = use & ~small
     made: list[list[np.ndarray]] = [[] for _ in range(258)]
@@ -135,6 +135,56 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, last: np.ndarray, length: i
     return np.concatenate(order) if order else np.empty(0, np.int64)
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number that sorts as they do; zeros follow the text."""
+    padded = np.concatenate((text, np.zeros(8, np.uint8)))
+    out = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | padded[k : k + len(text)]
+    return out
+
+
+def _sorted(text: np.ndarray, ends: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Places in the order of the strings of up to `length` bytes there, compared directly.
+
+    Equal whole strings are compared once (they are told by a hash, and neighbours are compared byte by byte later). The
+    rest goes by first words, and only where those tie by all bytes, a bounded number of rows at a time.
+    """
+    if not len(at):
+        return at
+    h = _gram_hashes(text, 128)
+    h = np.concatenate((h, np.zeros(length, np.uint64)))
+    full = at + length <= ends[at]
+    name = np.where(full & (length >= 128), h[at] * np.uint64(0x9E3779B97F4A7C15) ^ h[at + max(0, length - 128)], at.astype(np.uint64) << np.uint64(1))
+    del h
+    _, first, same = np.unique(name, return_index=True, return_inverse=True)
+    kinds = at[first]
+    # First words; beyond the end of a part there are zeros.
+    word = _words(text)[kinds]
+    have = np.minimum(ends[kinds] - kinds, 8).astype(np.uint64)
+    word &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * have) if len(word) else word
+    by = np.argsort(word, kind="stable")
+    word = word[by]
+    new = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1], [True])))
+    ties = [(lo, hi) for lo, hi in zip(new[:-1].tolist(), new[1:].tolist()) if hi - lo > 1]
+    padded = np.lib.stride_tricks.sliding_window_view(np.concatenate((text, np.zeros(length, np.uint8))), length)
+    i = 0
+    while i < len(ties):  # ties that follow one another are sorted together
+        j, rows = i + 1, ties[i][1] - ties[i][0]
+        while j < len(ties) and rows + ties[j][1] - ties[j][0] <= _ROWS:
+            rows += ties[j][1] - ties[j][0]
+            j += 1
+        spots = np.concatenate([np.arange(lo, hi) for lo, hi in ties[i:j]])
+        some = kinds[by[spots]]
+        block = padded[some]
+        block[np.arange(length) >= (ends[some] - some)[:, None]] = 0
+        by[spots] = by[spots][np.argsort(block.view(f"S{length}").ravel(), kind="stable")]
+        i = j
+    rank = np.empty(len(by), np.int32)
+    rank[by] = np.arange(len(by), dtype=np.int32)
+    return at[np.argsort(rank[same], kind="stable")]
+
+
 def _split(x: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
     """x by key 0 to 256, each in the order of x."""
     by = np.argsort(key, kind="stable")
@@ -150,18 +200,15 @@ def repeated_starts(parts: list[bytes], names: list[tuple], length: int = LENGTH
     lens = np.array([len(p) for p in parts], np.int64)
     starts = np.cumsum(lens) - lens
     text = np.frombuffer(b"".join(parts), np.uint8)
-    part = np.repeat(np.arange(len(parts)), lens)
-    ends = (starts + lens)[part]
-    wanted = np.arange(len(text)) + length <= ends
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), lens)
+    ends = (starts + lens).astype(np.int32)[part]
+    wanted = np.arange(length, len(text) + length, dtype=np.int32) <= ends
     order = suffix_order(text, ends, wanted, length)
     order = order[wanted[order]]
     if len(order) < 2:
         return [np.empty(0, np.int64) for _ in parts]
     # Common prefixes of neighbours, eight bytes at a time, as far as `length`.
-    words = np.zeros(len(text) + 8, np.uint64)
-    padded = np.concatenate((text, np.zeros(16, np.uint8)))
-    for k in range(8):
-        words |= padded[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
+    words = _words(text)
     same = np.ones(len(order) - 1, bool)
     live = np.arange(len(order) - 1)
     for k in [*range(0, length - 7, 8), length - 8]:
@@ -212,19 +259,34 @@ def _find_anchors(rows: DataFrame) -> DataFrame:
 
 
 def _regions(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """a, row, start and the bytes of the region of each wanted anchor (row, at, a)."""
+    """key, row, start and bytes of the region of each wanted anchor (row, at, a, hot).
+
+    The key is the anchor's. A hot anchor's region is cut in SPLIT overlapping parts instead: part j has the windows that
+    hold the piece from j / SPLIT of the slack before the anchor on, and its key is the hash of that piece.
+    """
 
     def cut(batches):
+        from xxhash import xxh3_64_intdigest as digest
+
+        slack = LENGTH - GRAM
         for b in batches:
             out: list[list] = [[], [], [], []]
             for row, text, list_ in zip(b.column(0).to_pylist(), _encode(b.column(1).to_pylist()), b.column(2).to_pylist()):
                 for w in list_:
-                    start = max(0, w["at"] - LENGTH + GRAM)
-                    for x, y in zip(out, (w["a"], row, start, text[start : w["at"] + LENGTH])):
-                        x.append(y)
+                    spans = [(w["a"], max(0, w["at"] - slack), w["at"] + LENGTH)]
+                    if w["hot"]:
+                        spans = []
+                        for j in range(SPLIT):  # windows that start slack * j / SPLIT to slack * (j + 1) / SPLIT before the anchor
+                            near, far = slack * j // SPLIT, slack * (j + 1) // SPLIT
+                            lo, hi = w["at"] - near, w["at"] - far + LENGTH
+                            if lo >= 0 and hi <= len(text):
+                                spans.append((digest(text[lo:hi], seed=j) - (1 << 63), max(0, w["at"] - far), min(len(text), w["at"] - near + LENGTH)))
+                    for a, lo, hi in spans:
+                        for x, y in zip(out, (a, row, lo, text[lo:hi])):
+                            x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["a", "row", "start", "part"])
 
-    per_row = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("at", "a")).alias("w"))
+    per_row = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("at", "a", "hot")).alias("w"))
     return rows.join(per_row, F.col("row") == F.col("_row")).select("row", "text", "w").mapInArrow(cut, "a long, row long, start int, part binary")
 
 
@@ -232,7 +294,13 @@ def _sort_regions(regions: DataFrame) -> DataFrame:
     """row, low, high: runs of window starts that repeat, found by suffix arrays of regions with like anchors."""
 
     def work(batches):
-        parts, names, held, key = [], [], 0, None
+        parts, names, held, key, mine = [], [], 0, None, 0
+
+        def alone():  # a region whose key no other has
+            nonlocal held
+            if mine == 1:
+                held -= len(parts.pop())
+                names.pop()
 
         def flush():
             out = [(row, start + lo, start + hi) for (row, start), hit in zip(names, repeated_starts(parts, names)) for lo, hi in _runs(hit)]
@@ -240,13 +308,17 @@ def _sort_regions(regions: DataFrame) -> DataFrame:
 
         for b in batches:
             for a, row, start, part in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if held > BUFFER and a != key:
-                    yield flush()
-                    parts, names, held = [], [], 0
-                key = a
+                if a != key:
+                    alone()
+                    if held > BUFFER:
+                        yield flush()
+                        parts, names, held = [], [], 0
+                    key, mine = a, 0
+                mine += 1
                 parts.append(part)
                 names.append((row, start))
                 held += len(part)
+        alone()
         if parts:
             yield flush()
 
@@ -261,10 +333,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     anchor, region = Window.partitionBy("a"), Window.partitionBy("a", "r")
     found = _find_anchors(rows).withColumn("n_r", F.count(F.lit(1)).over(region)).withColumn("first", F.row_number().over(region.orderBy("row", "at")) == 1)
     found = found.withColumn("mixed", F.min("r").over(anchor) != F.max("r").over(anchor)).where("n_r > 1 OR mixed")
-    found = stored(found.select("row", "at", "a", (F.col("n_r") > 1).alias("whole"), (F.col("mixed") & F.col("first")).alias("sort")), "repeat-anchors")
+    found = found.withColumn("hot", F.sum(F.col("first").cast("int")).over(anchor) > HOT)
+    found = stored(found.select("row", "at", "a", "hot", (F.col("n_r") > 1).alias("whole"), (F.col("mixed") & F.col("first")).alias("sort")), "repeat-anchors")
     whole = found.where("whole").select("row", F.greatest(F.col("at") - (LENGTH - GRAM), F.lit(0)).alias("low"), F.col("at").alias("high"))
     arrow_rows(spark, 2000)
-    runs = stored(_sort_regions(_regions(rows, found.where("sort").select("row", "at", "a"))), "repeat-runs")
+    runs = stored(_sort_regions(_regions(rows, found.where("sort").select("row", "at", "a", "hot"))), "repeat-runs")
     arrow_rows(spark)
     lists = whole.unionByName(runs).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 

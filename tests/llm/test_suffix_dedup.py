@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from corpusforge.llm import suffix_dedup as S
 
@@ -51,7 +52,9 @@ def test_suffix_order_is_sorted():
         assert sorted(got) == list(range(len(text))) and keys == sorted(keys)
 
 
-def test_remove_repeats(spark):
+@pytest.mark.parametrize("hot", [0, S.HOT])
+def test_remove_repeats(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
     rows = list(enumerate(texts())) + [(None, "no id " * 60)]
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, row string, n_bytes int").repartition(4)
     raw = [(t or "").encode() for _, t in rows]
