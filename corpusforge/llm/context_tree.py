@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import arrow_rows, stored
 
 DEPTH = 6
-CAPACITY = 1 << 20
+CAPACITY = 1 << 19
 HEAD = 1 << 16
 CLASSES = 6
-SAMPLE = 2000
+SAMPLE = 1000
 CLASS_WORDS = 512
+#: Most frequent words of a sampled document that come to the driver.
+SAMPLE_WORDS = 128
 #: Distinct words that a worker counts before it passes them on.
 _HELD = 300_000
 _START, _CLOSE, _END = 10, 32, 9
@@ -141,11 +143,11 @@ class Classes:
 
 
 def find_classes(docs: DataFrame, classes: int = CLASSES, sample: int = SAMPLE) -> Classes:
-    """docs: doc_id, text, held_out. At most `sample` documents' word counts come to the driver."""
+    """docs: doc_id, text, held_out. At most `sample` documents' most frequent words come to the driver."""
 
     def count(batches):
         for b in batches:
-            got = [Counter(words_of(t)).most_common(CLASS_WORDS) for t in b.column(1).to_pylist()]
+            got = [Counter(words_of(t)).most_common(SAMPLE_WORDS) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[w.decode("utf-8", "surrogatepass") for w, _ in g] for g in got], pa.list_(pa.string())), pa.array([[k for _, k in g] for g in got], pa.list_(pa.int64()))], names=["h", "w", "k"])
 
     ids = docs.where("NOT held_out").select(F.xxhash64(F.lit("class"), "doc_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
