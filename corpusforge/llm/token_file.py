@@ -33,8 +33,8 @@ from corpusforge.llm.common import Stored, arrow_rows
 SEGMENT = 1 << 20
 END_ID = 2
 STRIDE = 512
-#: Entries of a worker's cache of encoded words.
-CACHE = 400_000
+#: Entries of a worker's cache of encoded words, some 200 bytes each.
+CACHE = 1_200_000
 _HEAD = "<4sIQI"
 #: Marks that are taken off the end of a word.
 MARKS = ".,;:!?"
@@ -136,11 +136,14 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.whole, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        self.special = tuple(a.content for a in self.whole.get_added_tokens_decoder().values())
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.bare, self.letters = (Tokenizer.from_file(path) for _ in range(3))
+        self.bare.normalizer = self.letters.normalizer = None
+        # A word of letters alone is never split further, so blanks suffice to cut a line of them.
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if any(" " in a.content or "\n" in a.content for a in self.whole.get_added_tokens_decoder().values()):
+            raise ValueError("this tokenizer has added tokens with blanks")
         self.cache: dict[str, bytes] = {}
         probe = "It's a Test, ünder\n10 x1."
         if self._library([probe])[0] != b"".join(self._library(probe.replace("\n", " ").split(" "))):
@@ -164,32 +167,31 @@ class WordEncoder:
             cores += [x for x in (core, mark) if x not in self.cache]
         apart = {w for w, _, _ in ends}
         plain = list(dict.fromkeys([*cores, *(w for w in plain if w not in apart)]))
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            e = self.bare.encode([w.lower() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            word = np.array(e.word_ids, np.int64)
-            cut = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
-            for i, w in enumerate(part):
-                self.cache[w] = ids[cut[i] : cut[i + 1]].tobytes()
+        for alone, encode in ((True, lambda part: self.letters.encode(" ".join(part), add_special_tokens=False)), (False, lambda part: self.bare.encode(part, is_pretokenized=True, add_special_tokens=False))):
+            group = [w for w in plain if w.isalpha() is alone]
+            for at in range(0, len(group), 4096):
+                part = group[at : at + 4096]
+                e = encode([w.lower() for w in part])
+                ids = np.array(e.ids, "<u4").tobytes()
+                cut = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+                self.cache.update(zip(part, [ids[x:y] for x, y in zip(cut, cut[1:])]))
         for w, core, mark in ends:
             self.cache[w] = self.cache[core] + self.cache[mark]
         if odd:
             self.cache.update(zip(odd, self._library(odd)))
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers. The words of all are learnt together."""
+        lists = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        if new := set().union(*lists) - self.cache.keys():
+            self._learn(list(new))
+        get = self.cache.__getitem__
+        return [b"".join(map(get, words)) for words in lists]
+
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit integers."""
-        if any(s in text for s in self.special) and any(" " in s or "\n" in s for s in self.special):
-            return self._library([text])[0]
-        words = text.replace("\n", " ").split(" ")
-        get = self.cache.get
-        got = [get(w) for w in words]
-        if None in got:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            self._learn(list({w for w in words if w not in self.cache}))
-            got = [self.cache[w] for w in words]
-        return b"".join(got)
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -220,8 +222,8 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segmen
             )
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.concatenate((np.frombuffer(enc.encode(t or ""), "<u4"), end))
+            for d, coded in zip(b.column(0).to_pylist(), enc.encode_all([t or "" for t in b.column(1).to_pylist()])):
+                x = np.concatenate((np.frombuffer(coded, "<u4"), end))
                 if held and held + len(x) > segment:
                     yield flush()
                     seq, done, ids, parts, held = seq + 1, done + held, [], [], 0
