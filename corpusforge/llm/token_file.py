@@ -168,7 +168,7 @@ class WordEncoder:
         apart = {w for w, _, _ in ends}
         plain = list(dict.fromkeys([*cores, *(w for w in plain if w not in apart)]))
         for alone, encode in ((True, lambda part: self.letters.encode(" ".join(part), add_special_tokens=False)), (False, lambda part: self.bare.encode(part, is_pretokenized=True, add_special_tokens=False))):
-            group = [w for w in plain if w.isalpha() is alone]
+            group = [w for w in plain if w.lower().isalpha() is alone]
             for at in range(0, len(group), 4096):
                 part = group[at : at + 4096]
                 e = encode([w.lower() for w in part])
