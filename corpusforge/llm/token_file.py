@@ -161,7 +161,7 @@ class WordEncoder:
         ends, cores = [], []
         for w in plain:
             core = w.rstrip(MARKS)
-            if core and len(core) < len(w) and core.isalpha():
+            if core and len(core) < len(w) and core.lower().isalpha():
                 ends.append((w, core.lower(), w[len(core) :]))
         for w, core, mark in ends:
             cores += [x for x in (core, mark) if x not in self.cache]

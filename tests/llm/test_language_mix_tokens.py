@@ -106,7 +106,7 @@ def test_codes_round_trip_and_random_access():
             assert (s.tokens(min(a, len(ids)), min(b, len(ids))) == ids[a:b]).all()
 
 
-TEXTS = ["It's the Lord's, isn't it?\nNo.", "", None, "   ", "ÜBER straße ΑΣΣ İx", "a b c\tD", "<|endoftext|> x<|startoftext|>y", "é ño Ä", "12 345 $9,99 ***%%%", "日本語 text 😀 ok", "x" * 3000, "word " * 5000]
+TEXTS = ["It's the Lord's, isn't it?\nNo.", "", None, "   ", "ÜBER straße ΑΣΣ İx xİ. xİ", "a b c\tD", "<|endoftext|> x<|startoftext|>y", "é ño Ä", "12 345 $9,99 ***%%%", "日本語 text 😀 ok", "x" * 3000, "word " * 5000]
 
 
 def test_words_encode_as_whole_texts():
