@@ -189,17 +189,20 @@ def code_lengths(keys: np.ndarray, model: list) -> np.ndarray:
     for b in range(8):
         prefix = np.uint64(1 << b) | (sym >> np.uint64(8 - b))
         one = ((sym >> np.uint64(7 - b)) & np.uint64(1)).astype(bool)
-        p, left, live = np.zeros(len(keys)), np.ones(len(keys)), np.ones(len(keys), bool)
-        last = np.full(len(keys), 0.5)
+        p, left, last = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
+        live = np.arange(len(keys))  # those whose context of this depth was seen
         for d, (nodes, weight, p1) in enumerate(model):
-            want = ((keys & ~np.uint64(255)) & _mask(d)) | prefix
+            if not len(live) or not len(nodes):
+                break
+            want = (keys[live] & ~np.uint64(255) & _mask(d)) | prefix[live]
             at = np.searchsorted(nodes, want)
             at[at == len(nodes)] = 0
-            live &= (nodes[at] == want) if len(nodes) else False
-            w, q = weight[at] if len(nodes) else 0.0, p1[at] if len(nodes) else 0.5
-            p += np.where(live, left * w * q, 0)
-            left = np.where(live, left * (1 - w), left)
-            last = np.where(live, q, last)
+            seen = nodes[at] == want
+            live, at = live[seen], at[seen]
+            w, q = weight[at].astype(float), p1[at].astype(float)
+            p[live] += left[live] * w * q
+            left[live] *= 1 - w
+            last[live] = q
         p += left * last  # an unseen context is coded by the deepest one seen
         total += np.log10(np.where(one, p, 1 - p))
     return total
