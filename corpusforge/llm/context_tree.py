@@ -12,9 +12,10 @@ there are CLASSES such sets of trees, and a text's probability is the mixture of
 documents are dealt to classes by a small word classifier, itself fitted without labels on SAMPLE training documents
 (chosen by a hash of doc_id); the counts of the trees come from all of them.
 
-Counts of all contexts of all depths come from every training document. Of these the model keeps the CAPACITY most
-frequent; what a node's kept children don't hold is coded by the node itself, and so is a context never seen.
-Words with the HEAD highest counts are looked up where the text lies; all other words meet their score in a join.
+Counts of all contexts of all depths come from every training document and all are kept, in a table that grows with the
+corpus. It is dealt to shards by the TOP nearest bytes of the context: a shard holds whole subtrees, so a task builds
+them and codes the bytes that need them. Only the depths above, whose size the alphabet bounds, are one table on the
+driver and in all tasks. A context never seen is coded by the deepest node seen. Words with the HEAD highest counts are looked up where the text lies; all other words meet their score in a join.
 
 Nulls and the rest: null text is empty (the end alone). Null doc_id is not held out. Repeated rows count each. With no
 training document every decision costs one bit and no token is known. An empty table gives no rows.
@@ -32,7 +33,10 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import arrow_rows, stored
 
 DEPTH = 6
-CAPACITY = 1 << 19
+#: Depths from here on are sharded; at most CLASSES * 256**TOP contexts and bytes lie above.
+TOP = 2
+#: Contexts and bytes that a task holds at a time, beside the rest of the last one's shard. Scores don't depend on it.
+CAPACITY = 1 << 18
 HEAD = 1 << 16
 CLASSES = 6
 SAMPLE = 1000
@@ -158,20 +162,19 @@ def find_classes(docs: DataFrame, classes: int = CLASSES, sample: int = SAMPLE)
     return Classes([Counter({w.encode("utf-8", "surrogatepass"): k for w, k in zip(r["w"], r["k"])}) for r in rows], classes)
 
 
-def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: nodes, the weight of a node's own estimate, and its estimate of a one.
+def _weigh(levels: list[tuple[np.ndarray, np.ndarray]], first: int = 0, below: tuple | None = None) -> tuple[list, tuple | None]:
+    """build() for depths from `first` on, over what lies below the last one; and what lies below `first` - 1.
 
-    levels: for each depth, keys (context and byte) and counts; deeper ones may lack some of what shallower ones have.
+    below: nodes, n0, n1 and weighted log-probability of the next depth, or their sums by parent.
     """
     out: list = [None] * len(levels)
-    below = None  # nodes, n0, n1 and weighted log-probability of the depth below
     for d in reversed(range(len(levels))):
         nodes, n0, n1 = _decisions(*levels[d])
         own = _log_kt(n0, n1)
         p1 = (n1 + 0.5) / (n0 + n1 + 1)
         weighted, weight = own, np.ones(len(nodes))
         if below is not None and len(below[0]):
-            parent = np.searchsorted(nodes, below[0] & _mask(d))
+            parent = np.searchsorted(nodes, below[0] & _mask(first + d))
             held0, held1, logs = (np.bincount(parent, x, len(nodes)) for x in below[1:])
             rest = np.maximum(n0 - held0, 0) * np.log(1 - p1) + np.maximum(n1 - held1, 0) * np.log(p1)
             split = np.where(held0 + held1 > 0, logs + rest, own)
@@ -179,7 +182,15 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
             weight = np.where(held0 + held1 > 0, np.exp(own - np.log(2) - weighted), 1)
         below = (nodes, n0, n1, weighted)
         out[d] = (nodes, weight.astype(np.float32), p1.astype(np.float32))
-    return out
+    return out, below
+
+
+def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each depth: nodes, the weight of a node's own estimate, and its estimate of a one.
+
+    levels: for each depth, keys (context and byte) and counts; deeper ones may lack some of what shallower ones have.
+    """
+    return _weigh(levels)[0]
 
 
 def code_lengths(keys: np.ndarray, model: list) -> np.ndarray:
@@ -237,59 +248,107 @@ def _word_counts(docs: DataFrame, classes: Classes) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(count, "word string, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
-def _levels(words: DataFrame) -> DataFrame:
-    """depth, key and n of every context and byte, of all depths, in the training words of each class."""
+def _leaves(words: DataFrame, classes: int) -> DataFrame:
+    """key of every context and byte of full depth, in words of any kind, and n0, n1...: its count in each class."""
+    names = [f"n{c}" for c in range(classes)]
 
     def grams(batches):
         for b in batches:
             keys, at = word_grams([w.encode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()])
-            n, keys = b.column(2).to_numpy()[at], _in_class(keys, b.column(1).to_numpy()[at])
-            for d in range(DEPTH + 1):
-                k, inverse = np.unique(keys & _mask(d), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), d, np.int32)), pa.array(k.view(np.int64)), pa.array(np.bincount(inverse, n, len(k)).astype(np.int64))], names=["depth", "key", "n"])
-
-    return words.where("n > 0").select("word", "class", "n").mapInArrow(grams, "depth int, key long, n long").groupBy("depth", "key").agg(F.sum("n").alias("n"))
-
-
-def fit(words: DataFrame, capacity: int = CAPACITY) -> list:
-    """The model's tables; at most `capacity` contexts and bytes, the most frequent ones."""
-    levels = stored(_levels(words), "ctw-levels")
-    # Counts of counts, up to a bound: the least count at which all rows from there on fit.
-    spread = levels.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count(F.lit(1)).alias("rows"))
-    above, least = 0, 1
-    for r in spread.orderBy(F.desc("n")).limit(capacity).collect():
-        if above + r["rows"] > capacity:
-            least = r["n"] + 1
-            break
-        above += r["rows"]
-
-    def make(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()) for b in batches]
-        if not got:
-            return
-        depth, key, n = (np.concatenate(x) for x in zip(*got))
-        for d, (nodes, weight, p1) in enumerate(build([(key[depth == d], n[depth == d]) for d in range(DEPTH + 1)])):
-            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (nodes, weight, p1)]], names=["depth", "nodes", "weight", "p1"])
-
-    kept = levels.where(F.col("n") >= least).select("depth", "key", "n")  # at most `capacity` rows: one task builds the tree
-    rows = kept.coalesce(1).mapInArrow(make, "depth int, nodes binary, weight binary, p1 binary").collect()
-    made = {r["depth"]: (np.frombuffer(r["nodes"], np.uint64), np.frombuffer(r["weight"], np.float32), np.frombuffer(r["p1"], np.float32)) for r in rows}
-    return [made[d] for d in sorted(made)]
+            kind, n = b.column(1).to_numpy()[at], b.column(2).to_numpy()[at]
+            k, inverse = np.unique(keys, return_inverse=True)
+            counts = [pa.array(np.bincount(inverse, n * (kind == c), len(k)).astype(np.int64)) for c in range(classes)]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *counts], names=["key", *names])
+
+    rows = words.select("word", "class", "n").mapInArrow(grams, "key long, " + ", ".join(f"{x} long" for x in names))
+    return rows.groupBy("key").agg(*[F.sum(x).alias(x) for x in names])
+
+
+def _shard(keys: np.ndarray) -> np.ndarray:
+    return keys >> np.uint64(8) & np.uint64((1 << 8 * TOP) - 1)
+
+
+def _whole_shards(batches, capacity: int):
+    """Keys and their counts by class, some `capacity` rows at a time; the rows of a shard stay together."""
+    held, size, enough = [], 0, capacity
+    for b in batches:
+        held.append((b.column(0).to_numpy().view(np.uint64), np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)))
+        size += b.num_rows
+        if size >= enough:
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            last = _shard(keys) == _shard(keys[-1:])
+            if not last.all():
+                yield keys[~last], n[~last]
+            held, size = [(keys[last], n[last])], int(last.sum())
+            enough = max(capacity, 2 * size)
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _subtrees(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[list, tuple | None]:
+    """The tables of whole shards in class k for depths from TOP on, and what they give to the depth above."""
+    seen = n[:, k] > 0
+    if not seen.any():
+        return [], None
+    keys, n, levels = _in_class(keys[seen], k), n[seen, k], []
+    for d in range(TOP, DEPTH + 1):
+        some, inverse = np.unique(keys & _mask(d), return_inverse=True)
+        levels.append((some, np.bincount(inverse, n, len(some))))
+    return _weigh(levels, TOP)
+
+
+def _dealt(leaves: DataFrame) -> DataFrame:
+    shard = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * TOP) - 1)
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return leaves.withColumn("shard", shard).repartition(parts, "shard").sortWithinPartitions("shard").drop("shard")
+
+
+def fit_top(leaves: DataFrame, classes: int, capacity: int = CAPACITY) -> list:
+    """The model's tables above depth TOP, of all classes."""
+
+    def sums(batches):
+        for keys, n in _whole_shards(batches, capacity):
+            for k in range(classes):
+                below = _subtrees(keys, n, k)[1]
+                if below is not None:
+                    nodes, inverse = np.unique(below[0] & _mask(TOP - 1), return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *[pa.array(np.bincount(inverse, x, len(nodes))) for x in below[1:]]], names=["node", "n0", "n1", "logs"])
+
+    got = _dealt(leaves).mapInArrow(sums, "node long, n0 double, n1 double, logs double")
+    got = got.groupBy("node").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "logs")]).toArrow()
+    if not got.num_rows:
+        return []
+    node, *below = (c.to_numpy() for c in got.columns)
+    names = [f"n{k}" for k in range(classes)]
+    short = leaves.groupBy(F.col("key").bitwiseAND((1 << 8 * TOP) - 1).alias("key")).agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    key, *counts = (c.to_numpy() for c in short.columns)
+    keys = np.concatenate([_in_class(key.view(np.uint64)[n > 0], k) for k, n in enumerate(counts)])
+    n, levels = np.concatenate([n[n > 0] for n in counts]), []
+    for d in range(TOP):
+        some, inverse = np.unique(keys & _mask(d), return_inverse=True)
+        levels.append((some, np.bincount(inverse, n, len(some))))
+    return _weigh(levels, 0, (node.view(np.uint64), *below))[0]
+
+
+def score_words(words: DataFrame, classes: int, capacity: int = CAPACITY) -> DataFrame:
+    """word, n and s0, s1...: log10 of the probability of the word under each class. words: word, class, n."""
+    leaves = stored(_leaves(words, classes), "ctw-leaves")
+    shared = words.sparkSession.sparkContext.broadcast(fit_top(leaves, classes, capacity))
+    names = [f"s{k}" for k in range(classes)]
+
+    def code(batches):
+        for keys, n in _whole_shards(batches, capacity):
+            costs = [pa.array(code_lengths(_in_class(keys, k), shared.value + _subtrees(keys, n, k)[0])) for k in range(classes)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *costs], names=["key", *names])
 
-
-def score_words(words: DataFrame, model: list, classes: int) -> DataFrame:
-    """word, n and scores: log10 of the probability of the word under each class."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
-
-    def each(batches):
+    def grams(batches):
         for b in batches:
             keys, at = word_grams([w.encode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()])
-            some, inverse = np.unique(keys, return_inverse=True)
-            cost = np.stack([np.bincount(at, code_lengths(_in_class(some, k), shared.value)[inverse], b.num_rows) for k in range(classes)], axis=1)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * classes), pa.array(cost.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["word", "n", "scores"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(keys.view(np.int64))], names=["word", "n", "key"])
 
-    return words.select("word", "n").mapInArrow(each, "word string, n long, scores array<double>")
+    costs = _dealt(leaves).mapInArrow(code, "key long, " + ", ".join(f"{x} double" for x in names))
+    each = words.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(grams, "word string, n long, key long")
+    return each.join(costs, "key").groupBy("word", "n").agg(*[F.sum(x).alias(x) for x in names])
 
 
 def mixture(scores: list, prior: np.ndarray):
@@ -306,13 +365,12 @@ def score_documents(docs: DataFrame, capacity: int = CAPACITY, head: int = HEAD,
     kinds = find_classes(docs, classes)
     counted = stored(_word_counts(docs, kinds), "lm-words")
     arrow_rows(spark, 20_000)
-    model = fit(counted, capacity)
-    words = stored(score_words(counted.groupBy("word").agg(F.sum("n").alias("n")), model, classes), "lm-scores")
+    words = stored(score_words(counted, classes, capacity), "lm-scores")
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     total, floor = size["n"], size["n"] + 0.5 * (size["v"] + 1)
     base = F.log10((F.col("n") + 0.5) / F.lit(float(floor)))
     names = ["known", "base", *[f"s{k}" for k in range(classes)]]
-    words = words.select("word", "n", (F.col("n") > 0).cast("double").alias("known"), base.alias("base"), *[F.col("scores")[k].alias(f"s{k}") for k in range(classes)])
+    words = words.select("word", "n", (F.col("n") > 0).cast("double").alias("known"), base.alias("base"), *names[2:])
     # The end comes in every document: it is in the head whatever its count, which is 0 if there is nothing to learn from.
     top = words.where("word != ''").orderBy(F.desc("n"), "word").limit(head).unionByName(words.where("word = ''")).toArrow()
     place = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(top.column("word").to_pylist())}

@@ -101,3 +101,17 @@ def test_nothing_to_learn_from(spark):
     got = {r.doc_id: r for r in C.score_documents(df).collect()}
     assert got[1].n_known == 0 and got[1].train_tokens == 0 and got[1].score == pytest.approx(5 * 8 * math.log10(0.5))
     assert C.score_documents(df.limit(0)).count() == 0
+
+
+def test_every_context_counts(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(40)), i % 5 == 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    train = [w for _, t, h in rows if not h for w in [*C.words_of(t), b""]]
+    keys, _ = C.word_grams(train)
+    model = C.build([np.unique(keys & C._mask(d), return_counts=True) for d in range(C.DEPTH + 1)])
+    assert sum(len(np.unique(keys & C._mask(d))) for d in range(C.DEPTH + 1)) > 1000
+    for capacity in (1, 100):
+        for r in C.score_documents(df, capacity=capacity, classes=1).collect():
+            want = sum(C.code_lengths(C.word_grams([w])[0], model).sum() for w in [*C.words_of(rows[r.doc_id][1]), b""])
+            assert r.score == pytest.approx(want, abs=1e-3)
