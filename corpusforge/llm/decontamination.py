@@ -4,10 +4,12 @@ Texts are made templates: numbers, units after a number and names (capitalised w
 placeholders, so that a question with other numbers or names keeps its template. All windows of WINDOW template words
 of all documents are hash-joined with those of the benchmark (a shorter item is one window). Hits on one alignment of
 a document with an item must fill slots consistently: a value of the item always becomes one value of the document,
-and the other way round. A document that covers LEAST of an item's windows by consistent alignments is contaminated.
+and the other way round. A document that covers LEAST of an item's windows by consistent alignments is contaminated, and so
+is one that holds RUN words of it in a row with their own values. Templates of items with under MIN_WORDS literal words
+tell nothing: these, and items no longer than a window, are searched as a whole by their plain words too.
 
-Nulls and the rest: null text has no window. Items with under MIN_WORDS literal words, and windows with under
-MIN_LITERAL (or half of a short item), are too common to tell and are not searched. Rows with one doc_id count as one document. Empty tables
+Nulls and the rest: null text has no window. Windows with under MIN_LITERAL literal words (or half of a short item) are
+too common to tell and are not searched. An item of a single word is found wherever the word stands. Rows with one doc_id count as one document. Empty tables
 give no rows.
 """
 
@@ -22,6 +24,8 @@ WINDOW = 8
 LEAST = 0.5
 MIN_WORDS = 4
 MIN_LITERAL = 4
+#: Words copied in a row that make a leak whatever the item's length.
+RUN = 13
 #: Most benchmark windows that are broadcast, about 150 bytes each; beyond, the join shuffles.
 BROADCAST_WINDOWS = 400_000
 #: Unit words that make a typed placeholder after a number.
@@ -48,6 +52,11 @@ def template(parts):
     return F.transform(parts, lambda w: F.when(w < "\u0005", F.substring(w, 1, 1)).otherwise(w))
 
 
+def plain(parts):
+    """Words without the marks of placeholders."""
+    return F.transform(parts, lambda w: F.when(w < "\u0005", F.substring(w, 2, 1 << 30)).otherwise(w))
+
+
 def _window(parts, at, size: int) -> list:
     """The words of a window, each by its place: slicing would copy the whole text for every window."""
     return [F.get(parts, at + k) for k in range(size)]
@@ -69,6 +78,10 @@ def _hashed(size: int):
     return each
 
 
+def _whole(size: int):
+    return lambda i: F.xxhash64(*_window("w", i, size))
+
+
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, j (place), size, h (hash of the template), slots (values), n (windows of the item) to search for."""
     rows = benchmark.select("item_id", words("text").alias("w")).withColumn("t", template("w"))
@@ -81,6 +94,34 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select("item_id", "j", "size", "h", F.filter("filled", lambda w: w < "\u0005").alias("slots")).join(items, F.expr("item_id <=> _item")).drop("_item")
 
 
+def _longest(places, window: int):
+    """Words of the longest stretch that windows at these places cover without a gap."""
+    start = F.struct(F.lit(0).alias("first"), F.lit(-1 << 20).alias("last"), F.lit(0).alias("most"))
+
+    def step(run, j):
+        first = F.when(j - run["last"] <= window, run["first"]).otherwise(j)
+        return F.struct(first.alias("first"), j.alias("last"), F.greatest(run["most"], j + window - first).alias("most"))
+
+    return F.aggregate(F.array_sort(places), start, step, lambda run: run["most"])
+
+
+def short_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame | None:
+    """doc_id and item_id where a document holds all plain words of a short item in a row; None if no item is short."""
+    rows = benchmark.select("item_id", words("text").alias("w")).where(F.size("w") > 0)
+    rows = rows.where((_literals("w") < MIN_WORDS) | (F.size("w") <= window)).select("item_id", plain("w").alias("w"), F.size("w").alias("size"))
+    facts = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each length of a short item
+    small = sum(r["n"] for r in facts) <= BROADCAST_WINDOWS
+    texts = docs.select("doc_id", plain(words("text")).alias("w"))
+    found = None
+    for size in sorted(r["size"] for r in facts):
+        these = rows.where(F.col("size") == size).select("item_id", F.xxhash64(*_window("w", F.lit(0), size)).alias("h"))
+        hashes = F.transform(F.sequence(F.lit(0), F.size("w") - size), _whole(size))
+        held = texts.where(F.size("w") >= size).select("doc_id", F.explode(F.array_distinct(hashes)).alias("h"))
+        got = held.join(F.broadcast(these) if small else these, "h").select("doc_id", "item_id")
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, n_windows (of the item found, in consistent alignments), item_windows and coverage of each leak."""
     known = benchmark_windows(benchmark, window)
@@ -99,12 +140,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, le
         pair = F.zip_with("slots", F.coalesce("values", F.array().cast("array<string>")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         got = got.select("doc_id", "item_id", "j", "n", (F.col("i") - F.col("j")).alias("diagonal"), pair.alias("pairs"))
         hits = got if hits is None else hits.unionByName(got)
-    lines = hits.groupBy("doc_id", "item_id", "diagonal", "n").agg(F.collect_set("j").alias("js"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("p"))
+    same = F.when(F.forall("pairs", lambda x: x["a"] == x["b"]), F.col("j"))
+    lines = hits.groupBy("doc_id", "item_id", "diagonal", "n").agg(F.collect_set("j").alias("js"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("p"), F.collect_set(same).alias("copied"))
+    lines = lines.withColumn("run", _longest("copied", window))
     # One value for one value: as many pairs as there are values on either side.
-    lines = lines.where((F.size("p") == F.size(F.array_distinct("p.a"))) & (F.size("p") == F.size(F.array_distinct("p.b"))))
-    found = lines.groupBy("doc_id", "item_id", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_set("js")))).cast("long").alias("n_windows"))
-    found = found.withColumn("coverage", F.col("n_windows") / F.col("n")).where(F.col("coverage") >= least)
-    return found.select("doc_id", "item_id", "n_windows", F.col("n").alias("item_windows"), "coverage")
+    consistent = (F.size("p") == F.size(F.array_distinct("p.a"))) & (F.size("p") == F.size(F.array_distinct("p.b")))
+    lines = lines.where(consistent | (F.col("run") >= RUN)).withColumn("js", F.when(consistent, F.col("js")).otherwise(F.col("copied")))
+    found = lines.groupBy("doc_id", "item_id", "n").agg(F.size(F.array_distinct(F.flatten(F.collect_set("js")))).cast("long").alias("n_windows"), F.max("run").alias("run"))
+    found = found.withColumn("coverage", F.col("n_windows") / F.col("n")).where((F.col("coverage") >= least) | (F.col("run") >= RUN))
+    found = found.select("doc_id", "item_id", "n_windows", F.col("n").alias("item_windows"), "coverage")
+    short = short_items(docs, benchmark, window)
+    if short is None:
+        return found
+    one = F.lit(1).cast("long")
+    found = found.unionByName(short.select("doc_id", "item_id", one.alias("n_windows"), one.alias("item_windows"), F.lit(1.0).alias("coverage")))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "n_windows", "item_windows")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_windows", "b.item_windows", "b.coverage")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

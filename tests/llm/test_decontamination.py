@@ -35,3 +35,15 @@ def test_leaks(spark):
 def test_empty(spark):
     assert found(spark, []) == ([], [])
     assert found(spark, [(1, "a b c d e f g h i j k")], []) == ([], [1])
+
+
+def test_short_and_partly_copied_items(spark):
+    long = " ".join(f"{a}{b}" for a in ("ko", "ma", "ri", "su", "te", "na", "lo") for b in ("ra", "mi", "to", "ne", "du", "la", "vi", "po"))
+    assert len(long.split()) == 56
+    items = [(1, "What is 12 + 30?"), (2, "Who wrote Hamlet?"), (3, long), (4, "Explain why small birds sing at dawn")]
+    part = lambda n: "before it " + " ".join(long.split()[10 : 10 + n]) + " and after"
+    docs = [
+        (1, "they ask: what is 12 + 30? indeed"), (2, "what is 12 + 31?"), (3, "so who wrote hamlet"), (4, "who wrote Macbeth and Hamlet"),
+        (5, part(30)), (6, part(13)), (7, part(12)), (8, "please Explain why small birds sing at dawn"), (9, "please Explain why big birds sing at dawn"),
+    ]
+    assert found(spark, docs, items) == ([(1, 1), (3, 2), (5, 3), (6, 3), (8, 4)], [2, 4, 7, 9])
