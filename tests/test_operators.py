@@ -176,3 +176,15 @@ def test_batch_and_stream_agree(spark):
         pytest.skip("no test tables here")
     stream = {(r.user_id, r.event_id) for r in QUERIES["stream_latest_state"](spark, sf).collect()}
     assert stream == {(r.user_id, r.event_id) for r in QUERIES["upsert_latest"](spark, sf).collect()}
+
+
+def test_lsh_recall(spark):
+    import numpy as np
+
+    from corpusforge.operators import semantic
+
+    v = np.random.default_rng(7).normal(size=(600, 64)).round(3)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 30 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    got = semantic.recall(semantic.lsh_candidates(rows, asked, 64), semantic.nearest_batch(rows, asked, 10, 64)).toPandas()["recall"]
+    assert len(got) == 20 and got.mean() >= 0.9
