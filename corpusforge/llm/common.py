@@ -97,11 +97,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is among ids (one column, any name; null equals null).
+def unused(columns, *names: str) -> list[str]:
+    """The names, each with underscores behind it until none of the columns is called so (case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def without(docs: DataFrame, ids: DataFrame, key=None) -> DataFrame:
+    """docs but for the rows whose key (doc_id) is among ids (one column, any name; null equals null).
 
     The ids are counted: few are broadcast, so that no text moves, more are joined by a shuffle.
     """
-    gone = stored(ids.toDF("_gone").distinct(), "gone")
+    (name,) = unused(docs.columns, "_gone")
+    gone = stored(ids.toDF(name).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, (F.col("doc_id") if key is None else key).eqNullSafe(F.col(name)), "left_anti")
