@@ -43,17 +43,43 @@ def _encode(texts: list) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
+_VALUES, _BASE = np.random.default_rng(64).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE and of its inverse modulo 2^64."""
+    global _POWERS
+    have = _POWERS
+    if len(have[0]) < n:
+        both = []
+        for x in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+            steps = np.full(n, x, np.uint64)
+            steps[0] = 1
+            both.append(np.cumprod(steps))
+        have = tuple(both)
+        if n <= 1 << 22:
+            _POWERS = have
+    return have[0][:n], have[1][:n]
+
+
 def _gram_hashes(a: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the `size` bytes (a power of two) from each place on; the last size - 1 are of no use."""
-    h = (a.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    width = 1
-    while width < size:
-        wide = h[:-width] * np.uint64(0xBF58476D1CE4E5B9) ^ (h[width:] + np.uint64(width))
-        wide ^= wide >> np.uint64(31)
-        h[:-width] = wide * np.uint64(0x94D049BB133111EB)
-        width *= 2
-    return h | np.uint64(1)  # never 0
+    """A 64-bit hash of the `size` bytes from each place on; the last size - 1 are of no use.
+
+    Polynomials of the bytes' values modulo 2^64, as differences of running sums; `size` is far below the length of
+    strings (1,024) that such polynomials are known to confuse.
+    """
+    if len(a) < size:
+        return np.ones(len(a), np.uint64)
+    up, down = _powers(len(a))
+    sums = np.cumsum(_VALUES[a] * up)
+    h = sums.copy()
+    h[: len(a) - size + 1] = sums[size - 1 :]
+    h[1 : len(a) - size + 1] -= sums[: len(a) - size]
+    h *= down
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(29)) | np.uint64(1)  # never 0
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -75,10 +101,12 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     ends = np.repeat(np.cumsum(lens), lens)
     h = _gram_hashes(a, gram)
     span = length - gram + 1
-    low = _sliding(h, span, np.minimum)
+    short = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # equal ones are all anchors
+    low = _sliding(short, span, np.minimum)
     low[np.arange(len(a)) + length > ends] = 0  # no window starts there
-    high = _sliding(np.concatenate((np.zeros(span - 1, np.uint64), low)), span, np.maximum)[: len(a)]
-    at = np.flatnonzero(high == h)
+    high = _sliding(np.concatenate((np.zeros(span - 1, np.uint32), low)), span, np.maximum)[: len(a)]
+    at = np.flatnonzero(high == short)
+    at = at[at + gram <= ends[at]]
     text = np.searchsorted(np.cumsum(lens), at, side="right")
     return text, at - (np.cumsum(lens) - lens)[text], h[at]
 
@@ -226,6 +254,28 @@ def repeated_starts(parts: list[bytes], names: list[tuple], length: int = LENGTH
     return _by_part(hit, part, starts, len(parts))
 
 
+def _promising(parts: list[bytes], names: list[tuple], length: int = LENGTH) -> list[int]:
+    """Numbers of the parts with a string of `length` bytes whose hash comes from two places: no other can have a repeat."""
+    lens = np.array([len(p) for p in parts], np.int64)
+    if lens.sum() < length:
+        return []
+    a = np.frombuffer(b"".join(parts), np.uint8)
+    starts = np.cumsum(lens) - lens
+    part = np.repeat(np.arange(len(parts), dtype=np.int32), lens)
+    whole = np.flatnonzero(np.arange(len(a)) + length <= (starts + lens)[part])
+    h = _gram_hashes(a, length)[whole]
+    by = np.argsort(h)
+    h, whole = h[by], whole[by]
+    new = np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
+    first = np.flatnonzero(new)
+    if len(first) == len(h):
+        return []
+    doc = {d: i for i, d in enumerate(dict.fromkeys(d for d, _ in names))}
+    where = np.array([(doc[d] << 40) + at for d, at in names], np.int64)[part[whole]] + whole - starts[part[whole]]
+    many = np.minimum.reduceat(where, first) != np.maximum.reduceat(where, first)
+    return np.unique(part[whole[many[np.cumsum(new) - 1]]]).tolist()
+
+
 def _by_part(hit, part, starts, n):
     owner = part[hit]
     by = np.argsort(owner, kind="stable")
@@ -243,7 +293,12 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _find_anchors(rows: DataFrame) -> DataFrame:
-    """row, at, a (anchor hash) and r (region hash) of all anchors."""
+    """row, at, a (anchor hash) and r (region hash) of all anchors; those of a batch that agree in a and r are one row.
+
+    n: how many they are; more: row and at of all but the first, null if there is one. So a passage that stands in a
+    large share of all documents comes to the task that counts it with few rows.
+    """
+    form = pa.struct([("row", pa.int64()), ("at", pa.int32())])
 
     def find(batches):
         from xxhash import xxh3_64_intdigest as digest
@@ -252,10 +307,18 @@ def _find_anchors(rows: DataFrame) -> DataFrame:
             texts = _encode(b.column(1).to_pylist())
             ids = b.column(0).to_numpy()
             text, at, h = anchors(texts)
-            region = [digest(texts[i][max(0, p - LENGTH + GRAM) : p + LENGTH]) ^ (p < LENGTH - GRAM) * p for i, p in zip(text.tolist(), at.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.array(region, np.uint64).view(np.int64))], names=["row", "at", "a", "r"])
+            r = np.array([digest(texts[i][max(0, p - LENGTH + GRAM) : p + LENGTH]) ^ (p < LENGTH - GRAM) * p for i, p in zip(text.tolist(), at.tolist())], np.uint64)
+            by = np.lexsort((r, h))
+            h, r, row, at = h[by], r[by], ids[text[by]], at[by].astype(np.int32)
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (r[1:] != r[:-1]))))
+            n = np.diff(np.append(first, len(h)))
+            rest = np.ones(len(h), bool)
+            rest[first] = False
+            values = pa.StructArray.from_arrays([pa.array(row[rest]), pa.array(at[rest])], fields=list(form))
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n - 1))).astype(np.int32)), values, mask=pa.array(n == 1))
+            yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(at[first]), pa.array(h[first].view(np.int64)), pa.array(r[first].view(np.int64)), pa.array(n), more], names=["row", "at", "a", "r", "n", "more"])
 
-    return rows.select("row", "text").mapInArrow(find, "row long, at int, a long, r long")
+    return rows.select("row", "text").mapInArrow(find, "row long, at int, a long, r long, n long, more array<struct<row: long, at: int>>")
 
 
 def _regions(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -303,7 +366,9 @@ def _sort_regions(regions: DataFrame) -> DataFrame:
                 names.pop()
 
         def flush():
-            out = [(row, start + lo, start + hi) for (row, start), hit in zip(names, repeated_starts(parts, names)) for lo, hi in _runs(hit)]
+            some = _promising(parts, names)
+            few = [names[i] for i in some]
+            out = [(row, start + lo, start + hi) for (row, start), hit in zip(few, repeated_starts([parts[i] for i in some], few) if few else []) for lo, hi in _runs(hit)]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int32(), pa.int32()))], names=["row", "low", "high"])
 
         for b in batches:
@@ -331,11 +396,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     arrow_rows(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"))
     anchor, region = Window.partitionBy("a"), Window.partitionBy("a", "r")
-    found = _find_anchors(rows).withColumn("n_r", F.count(F.lit(1)).over(region)).withColumn("first", F.row_number().over(region.orderBy("row", "at")) == 1)
+    found = _find_anchors(rows).withColumn("n_r", F.sum("n").over(region)).withColumn("first", F.row_number().over(region.orderBy("row", "at")) == 1)
     found = found.withColumn("mixed", F.min("r").over(anchor) != F.max("r").over(anchor)).where("n_r > 1 OR mixed")
     found = found.withColumn("hot", F.sum(F.col("first").cast("int")).over(anchor) > HOT)
-    found = stored(found.select("row", "at", "a", "hot", (F.col("n_r") > 1).alias("whole"), (F.col("mixed") & F.col("first")).alias("sort")), "repeat-anchors")
-    whole = found.where("whole").select("row", F.greatest(F.col("at") - (LENGTH - GRAM), F.lit(0)).alias("low"), F.col("at").alias("high"))
+    found = stored(found.select("row", "at", "a", "hot", (F.col("n_r") > 1).alias("whole"), (F.col("mixed") & F.col("first")).alias("sort"), "more"), "repeat-anchors")
+    whole = found.where("whole").select("row", "at").unionByName(found.where("whole").select(F.inline("more")))
+    whole = whole.select("row", F.greatest(F.col("at") - (LENGTH - GRAM), F.lit(0)).alias("low"), F.col("at").alias("high"))
     arrow_rows(spark, 2000)
     runs = stored(_sort_regions(_regions(rows, found.where("sort").select("row", "at", "a", "hot"))), "repeat-runs")
     arrow_rows(spark)
