@@ -1,75 +1,86 @@
 """Language-model scores by context-tree weighting, beside a unigram base.
 
-Text is a sequence of words (A-Z lower-cased) and one end. A word's bytes and a closing blank are coded one after the
-other, each byte as eight binary decisions from the top bit down. A decision sees the DEPTH bytes before it, back to
-the start of its word. For every decision the contexts of all depths form a tree; each node has a Krichevsky-Trofimov
-estimate of its own counts, and weighting mixes, bottom up, the node's estimate with the product of its children. The
-code length of a word depends on the word alone, so it is computed once per distinct word of the corpus, and a text
-costs the sum over its tokens.
-
-A corpus mixes languages and kinds of text, which one tree per decision can't tell apart at the start of a word. So
-there are CLASSES such sets of trees, and a text's probability is the mixture of what they give it as a whole. Training
-documents are dealt to classes by a small word classifier, itself fitted without labels on SAMPLE training documents
-(chosen by a hash of doc_id); the counts of the trees come from all of them.
-
-Counts of all contexts of all depths come from every training document and all are kept, in a table that grows with the
-corpus. It is dealt to shards by the TOP nearest bytes of the context: a shard holds whole subtrees, so a task builds
-them and codes the bytes that need them. Only the depths above, whose size the alphabet bounds, are one table on the
-driver and in all tasks. A context never seen is coded by the deepest node seen. Words with the HEAD highest counts are looked up where the text lies; all other words meet their score in a join.
-
-Nulls and the rest: null text is empty (the end alone). Null doc_id is not held out. Repeated rows count each. With no
-training document every decision costs one bit and no token is known. An empty table gives no rows.
+A text is its words (A-Z lower-cased), each with a closing blank, and one end mark. Its bytes are coded one after the
+other, each as eight binary decisions from the top bit down. A decision sees the DEPTH bytes before it, across the
+bounds of words; DEPTH start marks stand before a text. For every decision the contexts of all depths form a tree: each
+node has a Krichevsky-Trofimov estimate of its own counts, and weighting mixes, bottom up, the node's estimate with the
+product of its children. A context that was never seen is coded by the deepest one seen.
+
+Counts of all contexts come from every training document and all are kept. A task hands on the distinct contexts of its
+texts, sorted and packed by bucket; a bucket holds whole subtrees (a hash of the TOP nearest bytes of the context), so
+one task merges and weighs it. Only the depths above TOP, whose size the alphabet bounds, come to the driver and go to
+all tasks. The cost of a byte is computed once for each distinct context and byte of the corpus. Those with the HEAD
+highest counts are looked up where the text lies; all others meet their cost in a join, and so do rare words for the
+base. What is gathered grows with the corpus; the heads only decide where something is looked up, not its value.
+
+Nulls and the rest: null text is empty (the end alone). Null doc_id or held_out is not held out. Repeated rows count
+each. With no training document every decision costs one bit and no token is known. Long texts are coded a piece at a
+time. Only doc_id, text and held_out are read; other columns, whatever their names, are ignored. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import arrow_rows, stored
+from corpusforge.llm.common import Stored, arrow_rows, stored
 
+#: Bytes of context; seven at most, as a context and its byte are one 64-bit number.
 DEPTH = 6
-#: Depths from here on are sharded; at most CLASSES * 256**TOP contexts and bytes lie above.
-TOP = 2
-#: Contexts and bytes that a task holds at a time, beside the rest of the last one's shard. Scores don't depend on it.
-CAPACITY = 1 << 18
-HEAD = 1 << 16
-CLASSES = 6
-SAMPLE = 1000
-CLASS_WORDS = 512
-#: Most frequent words of a sampled document that come to the driver.
-SAMPLE_WORDS = 128
-#: Distinct words that a worker counts before it passes them on.
-_HELD = 300_000
-_START, _CLOSE, _END = 10, 32, 9
-_LOG10_2 = float(np.log10(2))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
-def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Per coded byte: the byte behind its DEPTH bytes of context, as one number; and the index of its word.
-
-    The empty word stands for the end of a text: one byte that no word has.
-    """
-    line = b"".join(b"\n" + (w + b" " if w else b"\t") for w in words)
-    a = np.frombuffer(line, np.uint8)
-    lens = np.array([len(w) + 2 if w else 2 for w in words])
-    starts = np.cumsum(lens) - lens
-    place = np.arange(len(a)) - np.repeat(starts, lens)  # 0 is the start mark
+#: Contexts of this depth and deeper are dealt to buckets.
+TOP = 3
+#: Most contexts and bytes, and words, that are looked up without a join.
+HEAD, WORD_HEAD = 1 << 21, 1 << 18
+#: Bytes of text that are coded at a time, and distinct contexts that a task holds before it merges them.
+_PIECE, _HELD = 1 << 22, 1 << 22
+_EMPTY = np.uint64((1 << 64) - 1)  # no context: 255 is not a byte of UTF-8
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LN2 = float(np.log(2))
+
+
+def line_of(text: bytes | None) -> bytes:
+    """The bytes that are coded, behind the start marks."""
+    words = (text or b"").lower().split()
+    return b"\n" * DEPTH + b" ".join(words) + (b" \t" if words else b"\t")
+
+
+def _mask(depth: int) -> np.uint64:
+    """Keeps the byte and `depth` bytes of its context."""
+    return np.uint64((((1 << 8 * depth) - 1) << (64 - 8 * depth)) | 255)
+
+
+def keys_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each coded byte of the lines: its context, the nearest byte on top, with the byte itself below; its line."""
+    lens = np.array([len(x) for x in lines], np.int64)
+    a = np.frombuffer(b"".join(lines), np.uint8)
     key = a.astype(np.uint64)
     for k in range(1, DEPTH + 1):
-        before = np.zeros(len(a), np.uint64)
-        before[k:] = a[:-k] if len(a) > k else before[k:]
-        key |= np.where(place >= k, before, 0).astype(np.uint64) << np.uint64(8 * k)
-    coded = place > 0
-    return key[coded], np.repeat(np.arange(len(words)), lens)[coded]
+        key[k:] |= a[: len(a) - k].astype(np.uint64) << np.uint64(64 - 8 * k)
+    coded = np.ones(len(a), bool)
+    starts = np.cumsum(lens) - lens
+    coded[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
+    return key[coded], np.repeat(np.arange(len(lines)), lens - DEPTH)
+
+
+def _pieces(texts: list) -> list:
+    """(index, line) of texts, some _PIECE bytes at a time."""
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        line = line_of(t)
+        # A long line goes in pieces that overlap by their context.
+        for at in range(0, max(1, len(line) - DEPTH), _PIECE):
+            part = line[at : at + _PIECE + DEPTH]
+            held.append((i, part))
+            size += len(part)
+            if size >= _PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -79,340 +90,401 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
 
 
+#: log Gamma of n + 1/2 and of n + 1 for small n.
+_SMALL = 4096
+_HALF, _WHOLE = _lgamma(np.arange(_SMALL) + 0.5), _lgamma(np.arange(_SMALL) + 1.0)
+
+
+def _lg(n: np.ndarray, table: np.ndarray, plus: float) -> np.ndarray:
+    out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= _SMALL)
+    out[large] = _lgamma(n[large] + plus)
+    return out
+
+
 def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log-probability of a sequence with n0 zeros and n1 ones under the KT estimator."""
-    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - np.log(np.pi) - _lgamma(n0 + n1 + 1)
+    return _lg(n0, _HALF, 0.5) + _lg(n1, _HALF, 0.5) - np.log(np.pi) - _lg(n0 + n1, _WHOLE, 1.0)
 
 
-def _decisions(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Binary nodes (context and the bits of the byte so far) and their counts of zeros and ones."""
-    ctx, sym = keys & ~np.uint64(255), keys & np.uint64(255)
-    at = np.concatenate([ctx | (np.uint64(1 << b) | (sym >> np.uint64(8 - b))) for b in range(8)])
-    bit = np.concatenate([(sym >> np.uint64(7 - b)) & np.uint64(1) for b in range(8)]).astype(bool)
-    nodes, inverse = np.unique(at, return_inverse=True)
-    n = np.tile(n.astype(float), 8)
-    return nodes, np.bincount(inverse, n * ~bit, len(nodes)), np.bincount(inverse, n * bit, len(nodes))
+def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple:
+    """The distinct keys, sorted, and the sums of their counts."""
+    if not len(keys):
+        return keys, *counts
+    by = np.argsort(keys)
+    keys = keys[by]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], *(np.add.reduceat(c[by], first) for c in counts)
 
 
-def _mask(depth: int) -> np.uint64:
-    """Keeps the byte, `depth` bytes of context and, on top, the class."""
-    return np.uint64((1 << 8 * (depth + 1)) - 1 | 0xFF << 56)
-
-
-def _in_class(keys: np.ndarray, k) -> np.ndarray:
-    return keys | np.asarray(k).astype(np.uint64) << np.uint64(56)
-
-
-class Classes:
-    """Classes of texts by their frequent words: a mixture of word distributions."""
-
-    def __init__(self, texts: list[Counter], classes: int = CLASSES, words: int = CLASS_WORDS, rounds: int = 40):
-        total: Counter = Counter()
-        for t in texts:
-            total.update(t)
-        frequent = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:words]
-        self.place = {w: i for i, (w, _) in enumerate(frequent)}
-        n = np.zeros((len(texts), len(frequent)))
-        for i, t in enumerate(texts):
-            for w, k in t.items():
-                if w in self.place:
-                    n[i, self.place[w]] = k
-        self.prior = np.full(classes, 1 / classes)
-        self.log_p = np.zeros((classes, len(frequent)))
-        n = n[n.sum(axis=1) >= 5]
-        if not len(n):
-            return
-        # Start from texts far apart, then expectation-maximisation.
-        unit = np.sqrt(n / n.sum(axis=1, keepdims=True))
-        chosen = [int(n.sum(axis=1).argmax())]
-        near = unit @ unit[chosen[0]]
-        while len(chosen) < classes:
-            chosen.append(int(near.argmin()))
-            near = np.maximum(near, unit @ unit[chosen[-1]])
-        own = np.eye(classes)[(unit @ unit[chosen].T).argmax(axis=1)]
-        for _ in range(rounds):
-            mass = own.T @ n + 0.1
-            self.log_p = np.log(mass / mass.sum(axis=1, keepdims=True))
-            self.prior = (own.sum(axis=0) + 0.5) / (len(n) + 0.5 * classes)
-            fit = n @ self.log_p.T + np.log(self.prior)
-            own = np.exp(fit - fit.max(axis=1, keepdims=True))
-            own /= own.sum(axis=1, keepdims=True)
-
-    def of(self, words: Counter) -> int:
-        at = [(i, k) for w, k in words.items() if (i := self.place.get(w)) is not None]
-        if not at:
-            return int(self.prior.argmax())
-        i, k = zip(*at)
-        return int((self.log_p[:, list(i)] @ np.array(k, float) + np.log(self.prior)).argmax())
-
-
-def find_classes(docs: DataFrame, classes: int = CLASSES, sample: int = SAMPLE) -> Classes:
-    """docs: doc_id, text, held_out. At most `sample` documents' most frequent words come to the driver."""
+def _levels(keys: np.ndarray, n: np.ndarray, deep: int, last: int) -> list[tuple]:
+    """For depths `deep` down to `last`: contexts and bytes, their counts, and where each of the level before went."""
+    out = [(keys, n.astype(float), None)]
+    for d in range(deep - 1, last - 1, -1):
+        some, inverse = np.unique(out[-1][0] & _mask(d), return_inverse=True)
+        out.append((some, np.bincount(inverse, out[-1][1], len(some)), inverse))
+    return out
 
-    def count(batches):
-        for b in batches:
-            got = [Counter(words_of(t)).most_common(SAMPLE_WORDS) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[w.decode("utf-8", "surrogatepass") for w, _ in g] for g in got], pa.list_(pa.string())), pa.array([[k for _, k in g] for g in got], pa.list_(pa.int64()))], names=["h", "w", "k"])
 
-    ids = docs.where("NOT held_out").select(F.xxhash64(F.lit("class"), "doc_id").alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if ids is None:
-        return Classes([], classes)
-    few = docs.where("NOT held_out").select(F.xxhash64(F.lit("class"), "doc_id").alias("h"), "text").where(F.col("h") <= ids)
-    rows = few.mapInArrow(count, "h long, w array<string>, k array<long>").orderBy("h").limit(sample).collect()
-    return Classes([Counter({w.encode("utf-8", "surrogatepass"): k for w, k in zip(r["w"], r["k"])}) for r in rows], classes)
+def _nodes(u: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Binary nodes at bit b: first row of each, the node of each row, and the name of each."""
+    upper = u >> np.uint64(8 - b)
+    new = np.concatenate((np.ones(min(1, len(u)), bool), upper[1:] != upper[:-1]))
+    first = np.flatnonzero(new)
+    name = (u[first] & ~np.uint64(255)) | np.uint64(1 << b) | ((u[first] & np.uint64(255)) >> np.uint64(8 - b))
+    return first, np.cumsum(new) - 1, name
 
 
-def _weigh(levels: list[tuple[np.ndarray, np.ndarray]], first: int = 0, below: tuple | None = None) -> tuple[list, tuple | None]:
-    """build() for depths from `first` on, over what lies below the last one; and what lies below `first` - 1.
+def _weigh(levels: list[tuple], b: int, below: tuple | None = None) -> tuple[list[tuple], tuple]:
+    """For each level at bit b: node of each row, weight of a node's own estimate, its estimates of a zero and a one, whether
+    it was seen, its name; and names and weighted log-probabilities of the last level's nodes.
 
-    below: nodes, n0, n1 and weighted log-probability of the next depth, or their sums by parent.
-    """
-    out: list = [None] * len(levels)
-    for d in reversed(range(len(levels))):
-        nodes, n0, n1 = _decisions(*levels[d])
-        own = _log_kt(n0, n1)
-        p1 = (n1 + 0.5) / (n0 + n1 + 1)
-        weighted, weight = own, np.ones(len(nodes))
-        if below is not None and len(below[0]):
-            parent = np.searchsorted(nodes, below[0] & _mask(first + d))
-            held0, held1, logs = (np.bincount(parent, x, len(nodes)) for x in below[1:])
-            rest = np.maximum(n0 - held0, 0) * np.log(1 - p1) + np.maximum(n1 - held1, 0) * np.log(p1)
-            split = np.where(held0 + held1 > 0, logs + rest, own)
-            weighted = np.logaddexp(own, split) - np.log(2)
-            weight = np.where(held0 + held1 > 0, np.exp(own - np.log(2) - weighted), 1)
-        below = (nodes, n0, n1, weighted)
-        out[d] = (nodes, weight.astype(np.float32), p1.astype(np.float32))
-    return out, below
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each depth: nodes, the weight of a node's own estimate, and its estimate of a one.
-
-    levels: for each depth, keys (context and byte) and counts; deeper ones may lack some of what shallower ones have.
+    below: names (of nodes of the first level) and summed log-probabilities of what lies deeper.
     """
-    return _weigh(levels)[0]
+    out, held = [], None
+    for u, n, inverse in levels:
+        first, node, name = _nodes(u, b)
+        bit = ((u >> np.uint64(7 - b)) & np.uint64(1)).astype(float)
+        n1, total = np.add.reduceat(n * bit, first), np.add.reduceat(n, first)
+        own = _log_kt(total - n1, n1)
+        if held is not None:
+            inner = np.bincount(node[inverse[held[0]]], held[1], len(first))
+        elif below is not None:
+            inner = below[1][np.searchsorted(below[0], name)]
+        if held is None and below is None:
+            logs, weight = own, np.ones(len(first))
+        else:
+            logs = np.logaddexp(own, inner) - _LN2
+            weight = np.exp(own - _LN2 - logs)
+        both = np.empty(2 * len(first))
+        both[0::2], both[1::2] = (total - n1 + 0.5) / (total + 1), (n1 + 0.5) / (total + 1)
+        out.append((node, weight, both, total > 0, name))
+        held = (first, logs)
+    return out, (out[-1][4], held[1])
+
+
+def subtrees(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the nodes of depth TOP - 1 above whole subtrees, and the sums of the log-probabilities of their children."""
+    levels = _levels(keys, n, DEPTH, TOP)
+    names, logs = [], []
+    for b in range(8):
+        name, log = _weigh(levels, b)[1]
+        names.append(name & _mask(TOP - 1))
+        logs.append(log)
+    return _summed(np.concatenate(names), np.concatenate(logs))
 
 
-def code_lengths(keys: np.ndarray, model: list) -> np.ndarray:
-    """log10 of the model's probability of each byte in its context."""
+def top_tables(keys: np.ndarray, n: np.ndarray, names: np.ndarray, logs: np.ndarray) -> list[tuple]:
+    """For depths TOP - 1 down to 0: names of the nodes, weights, estimates and whether seen. keys: contexts of depth TOP - 1.
+
+    names, logs: sorted nodes of that depth and what `subtrees` gave them in all.
+    """
+    levels = _levels(keys, n, TOP - 1, 0)
+    parts: list[list] = [[] for _ in levels]
+    for b in range(8):
+        for i, (_, weight, both, seen, name) in enumerate(_weigh(levels, b, (names, logs))[0]):
+            parts[i].append((name, weight, both.reshape(-1, 2), seen))
+    out = []
+    for p in parts:
+        name, weight, both, seen = (np.concatenate(x) for x in zip(*p))
+        by = np.argsort(name)
+        out.append((name[by], weight[by], both[by], seen[by]))
+    return out
+
+
+def costs(keys: np.ndarray, n: np.ndarray, top: list[tuple]) -> np.ndarray:
+    """log10 of the model's probability of each context's byte; keys are whole subtrees, sorted, with their counts."""
+    levels = _levels(keys, n, DEPTH, 0)
+    deep = DEPTH - TOP + 1
+    rows = [np.arange(len(keys))]
+    for _, _, inverse in levels[1:]:
+        rows.append(inverse[rows[-1]])
     total = np.zeros(len(keys))
-    sym = keys & np.uint64(255)
     for b in range(8):
-        prefix = np.uint64(1 << b) | (sym >> np.uint64(8 - b))
-        one = ((sym >> np.uint64(7 - b)) & np.uint64(1)).astype(bool)
+        tables = [t[:4] for t in _weigh(levels[:deep], b)[0]]
+        for (u, _, _), (name, weight, both, seen) in zip(levels[deep:], top):
+            _, node, mine = _nodes(u, b)
+            at = np.searchsorted(name, mine)
+            tables.append((node, weight[at], both[at].ravel(), seen[at]))
+        bit = ((keys >> np.uint64(7 - b)) & np.uint64(1)).astype(np.int64)
         p, left, last = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
-        live = np.arange(len(keys))  # those whose context of this depth was seen
-        for d, (nodes, weight, p1) in enumerate(model):
-            if not len(live) or not len(nodes):
-                break
-            want = (keys[live] & ~np.uint64(255) & _mask(d)) | prefix[live]
-            at = np.searchsorted(nodes, want)
-            at[at == len(nodes)] = 0
-            seen = nodes[at] == want
-            live, at = live[seen], at[seen]
-            w, q = weight[at].astype(float), p1[at].astype(float)
-            p[live] += left[live] * w * q
-            left[live] *= 1 - w
-            last[live] = q
-        p += left * last  # an unseen context is coded by the deepest one seen
-        total += np.log10(np.where(one, p, 1 - p))
+        for (node, weight, both, seen), row in zip(reversed(tables), reversed(rows)):
+            at = node[row]
+            there, q = seen[at], both[2 * at + bit]
+            w = np.where(there, weight[at], 0)
+            p += left * w * q
+            left *= 1 - w
+            last = np.where(there, q, last)
+        total += np.log10(p + left * last)
     return total
 
 
-def _word_counts(docs: DataFrame, classes: Classes) -> DataFrame:
-    """word (empty for the end), class and n: how often it comes in training documents, 0 if in held-out ones alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+class Lookup:
+    """A table from contexts to costs with open addressing, filled and asked many at a time."""
+
+    PROBES = 12
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, _EMPTY), np.zeros(1 << self.bits)
+        todo = np.arange(len(keys))
+        for k in range(self.PROBES):  # what finds no place is met in the join instead
+            slot = self._slot(keys[todo], k)
+            free = self.keys[slot] == _EMPTY
+            self.keys[slot[free]] = keys[todo[free]]
+            placed = self.keys[slot] == keys[todo]
+            self.values[slot[placed]] = values[todo[placed]]
+            todo = todo[~placed]
+
+    def _slot(self, keys: np.ndarray, k: int) -> np.ndarray:
+        return ((keys * _MIX >> np.uint64(64 - self.bits)).astype(np.int64) + k) & ((1 << self.bits) - 1)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key, 0 if it isn't here; and the places of those that aren't."""
+        slot = self._slot(keys, 0)
+        out = self.values[slot]
+        miss = np.flatnonzero(self.keys[slot] != keys)
+        out[miss] = 0
+        lost = []
+        for k in range(1, self.PROBES):
+            if not len(miss):
+                break
+            at = self._slot(keys[miss], k)
+            found = self.keys[at] == keys[miss]
+            out[miss[found]] = self.values[at[found]]
+            end = self.keys[at] == _EMPTY
+            lost.append(miss[end])
+            miss = miss[~found & ~end]
+        lost.append(miss)
+        return out, np.sort(np.concatenate(lost))
+
+
+def _bytes(column) -> list:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def _context_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket and packed: sorted contexts and bytes, how often each comes in training documents, and how often in all."""
 
     def count(batches):
-        held: dict[int, Counter] = {}
-        for b in batches:
-            for text, out in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = Counter(words_of(text))
-                mine = held.setdefault(shared.value.of(words), Counter())
-                if out:
-                    for w in words:
-                        mine.setdefault(w, 0)
-                    mine.setdefault(b"", 0)
-                else:
-                    mine.update(words)
-                    mine[b""] += 1
-            if sum(map(len, held.values())) > _HELD:
-                yield from rows(held)
-                held = {}
-        yield from rows(held)
-
-    def rows(held):
-        for c, words in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string()), pa.array(np.full(len(words), c, np.int32)), pa.array(words.values(), pa.int64())], names=["word", "class", "n"])
-
-    return docs.select("text", "held_out").mapInArrow(count, "word string, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
-
-
-def _leaves(words: DataFrame, classes: int) -> DataFrame:
-    """key of every context and byte of full depth, in words of any kind, and n0, n1...: its count in each class."""
-    names = [f"n{c}" for c in range(classes)]
-
-    def grams(batches):
+        held, size = [], 0
+
+        def merged():
+            return _summed(*(np.concatenate(x) for x in zip(*held)))
+
         for b in batches:
-            keys, at = word_grams([w.encode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()])
-            kind, n = b.column(1).to_numpy()[at], b.column(2).to_numpy()[at]
-            k, inverse = np.unique(keys, return_inverse=True)
-            counts = [pa.array(np.bincount(inverse, n * (kind == c), len(k)).astype(np.int64)) for c in range(classes)]
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *counts], names=["key", *names])
+            texts, out = _bytes(b.column(0)), b.column(1).to_pylist()
+            for kind in (False, True):
+                for piece in _pieces([t for t, o in zip(texts, out) if o is kind]):
+                    keys, n = np.unique(keys_of([x for _, x in piece])[0], return_counts=True)
+                    held.append((keys, n * (not kind), n))
+                    size += len(keys)
+                    if size > _HELD:
+                        held = [merged()]
+                        size = len(held[0][0])
+                        if size > _HELD // 2:
+                            yield packed(*held[0])
+                            held, size = [], 0
+        if held:
+            yield packed(*merged())
+
+    def packed(keys, n, m):
+        bucket = ((keys >> np.uint64(64 - 8 * TOP)) * _MIX >> np.uint64(20)) % np.uint64(buckets)
+        by = np.argsort(bucket, kind="stable")
+        bucket = bucket[by]
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        columns = [[x.tobytes() for x in np.split(c[by], first[1:])] for c in (keys, n.astype("<u4"), m.astype("<u4"))]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "keys", "n", "m"])
+
+    return docs.select("text", "held_out").mapInArrow(count, "bucket int, keys binary, n binary, m binary")
+
+
+def _bucketed(batches, form: str):
+    """keys, n and m of one bucket after the other, merged."""
+    bucket, held, size = None, [], 0
+    for b in batches:
+        for k, *packed in zip(*(c.to_pylist() for c in b.columns[:4])):
+            if k != bucket:
+                if held:
+                    yield bucket, *_summed(*(np.concatenate(x) for x in zip(*held)))
+                bucket, held, size = k, [], 0
+            held.append([np.frombuffer(x, t).astype(t[:2] + "8") for x, t in zip(packed, ("<u8", form, form))])
+            size += len(held[-1][0])
+            if size > _HELD:
+                held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+                size = -(1 << 62) if len(held[0][0]) > _HELD else len(held[0][0])  # a large bucket is merged at its end
+    if held:
+        yield bucket, *_summed(*(np.concatenate(x) for x in zip(*held)))
+
+
+def context_costs(docs: DataFrame) -> DataFrame:
+    """key, cost and m (occurrences in all documents) of every context and byte of docs (text, held_out)."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = _context_counts(docs, 4 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    rows = words.select("word", "class", "n").mapInArrow(grams, "key long, " + ", ".join(f"{x} long" for x in names))
-    return rows.groupBy("key").agg(*[F.sum(x).alias(x) for x in names])
+    def grow(batches):
+        for bucket, keys, n, m in _bucketed(batches, "<u4"):
+            names, logs = subtrees(keys, n)
+            short, counts = _summed(keys & _mask(TOP - 1), n)
+            values = [[bucket], [keys.tobytes()], [n.tobytes()], [m.tobytes()], [names.view(np.int64)], [logs], [short.view(np.int64)], [counts.astype(np.int64)]]
+            kinds = [pa.int32(), *[pa.binary()] * 3, *[pa.list_(t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64())]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names=["bucket", "keys", "n", "m", "names", "logs", "short", "counts"])
 
+    form = "bucket int, keys binary, n binary, m binary, names array<long>, logs array<double>, short array<long>, counts array<long>"
+    leaves = Stored(counted.mapInArrow(grow, form), "ctw-leaves")
 
-def _shard(keys: np.ndarray) -> np.ndarray:
-    return keys >> np.uint64(8) & np.uint64((1 << 8 * TOP) - 1)
+    def summed(key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        got = leaves.df.select(F.explode(F.arrays_zip(key, value)).alias("x")).groupBy(f"x.{key}").agg(F.sum(f"x.{value}").alias("v")).toArrow()
+        k, v = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+        return _summed(k, v.astype(float))
 
+    names, logs = summed("names", "logs")
+    short, counts = summed("short", "counts")
+    shared = spark.sparkContext.broadcast(top_tables(short, counts, names, logs) if len(short) else [])
+
+    def cost(batches):
+        for _, keys, n, m in _bucketed(batches, "<i8"):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(costs(keys, n, shared.value)), pa.array(m)], names=["key", "cost", "m"])
+
+    out = stored(leaves.df.select("bucket", "keys", "n", "m").mapInArrow(cost, "key long, cost double, m long"), "ctw-costs")
+    leaves.drop()
+    return out
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """word and n of the words of docs (text)."""
+
+    def count(batches):
+        held, size = [], 0
+
+        def merged():
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-def _whole_shards(batches, capacity: int):
-    """Keys and their counts by class, some `capacity` rows at a time; the rows of a shard stay together."""
-    held, size, enough = [], 0, capacity
-    for b in batches:
-        held.append((b.column(0).to_numpy().view(np.uint64), np.stack([c.to_numpy() for c in b.columns[1:]], axis=1)))
-        size += b.num_rows
-        if size >= enough:
-            keys, n = (np.concatenate(x) for x in zip(*held))
-            last = _shard(keys) == _shard(keys[-1:])
-            if not last.all():
-                yield keys[~last], n[~last]
-            held, size = [(keys[last], n[last])], int(last.sum())
-            enough = max(capacity, 2 * size)
-    if size:
-        yield tuple(np.concatenate(x) for x in zip(*held))
-
-
-def _subtrees(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[list, tuple | None]:
-    """The tables of whole shards in class k for depths from TOP on, and what they give to the depth above."""
-    seen = n[:, k] > 0
-    if not seen.any():
-        return [], None
-    keys, n, levels = _in_class(keys[seen], k), n[seen, k], []
-    for d in range(TOP, DEPTH + 1):
-        some, inverse = np.unique(keys & _mask(d), return_inverse=True)
-        levels.append((some, np.bincount(inverse, n, len(some))))
-    return _weigh(levels, TOP)
-
-
-def _dealt(leaves: DataFrame) -> DataFrame:
-    shard = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * TOP) - 1)
-    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return leaves.withColumn("shard", shard).repartition(parts, "shard").sortWithinPartitions("shard").drop("shard")
-
-
-def fit_top(leaves: DataFrame, classes: int, capacity: int = CAPACITY) -> list:
-    """The model's tables above depth TOP, of all classes."""
-
-    def sums(batches):
-        for keys, n in _whole_shards(batches, capacity):
-            for k in range(classes):
-                below = _subtrees(keys, n, k)[1]
-                if below is not None:
-                    nodes, inverse = np.unique(below[0] & _mask(TOP - 1), return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), *[pa.array(np.bincount(inverse, x, len(nodes))) for x in below[1:]]], names=["node", "n0", "n1", "logs"])
-
-    got = _dealt(leaves).mapInArrow(sums, "node long, n0 double, n1 double, logs double")
-    got = got.groupBy("node").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "logs")]).toArrow()
-    if not got.num_rows:
-        return []
-    node, *below = (c.to_numpy() for c in got.columns)
-    names = [f"n{k}" for k in range(classes)]
-    short = leaves.groupBy(F.col("key").bitwiseAND((1 << 8 * TOP) - 1).alias("key")).agg(*[F.sum(x).alias(x) for x in names]).toArrow()
-    key, *counts = (c.to_numpy() for c in short.columns)
-    keys = np.concatenate([_in_class(key.view(np.uint64)[n > 0], k) for k, n in enumerate(counts)])
-    n, levels = np.concatenate([n[n > 0] for n in counts]), []
-    for d in range(TOP):
-        some, inverse = np.unique(keys & _mask(d), return_inverse=True)
-        levels.append((some, np.bincount(inverse, n, len(some))))
-    return _weigh(levels, 0, (node.view(np.uint64), *below))[0]
-
-
-def score_words(words: DataFrame, classes: int, capacity: int = CAPACITY) -> DataFrame:
-    """word, n and s0, s1...: log10 of the probability of the word under each class. words: word, class, n."""
-    leaves = stored(_leaves(words, classes), "ctw-leaves")
-    shared = words.sparkSession.sparkContext.broadcast(fit_top(leaves, classes, capacity))
-    names = [f"s{k}" for k in range(classes)]
-
-    def code(batches):
-        for keys, n in _whole_shards(batches, capacity):
-            costs = [pa.array(code_lengths(_in_class(keys, k), shared.value + _subtrees(keys, n, k)[0])) for k in range(classes)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *costs], names=["key", *names])
-
-    def grams(batches):
         for b in batches:
-            keys, at = word_grams([w.encode("utf-8", "surrogatepass") for w in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(keys.view(np.int64))], names=["word", "n", "key"])
+            got = pc.value_counts(_split(b.column(0))[0])
+            held.append(pa.table({"word": got.field(0), "n": got.field(1)}))
+            size += len(got)
+            if size > 1 << 18:
+                held = [merged()]
+                size = held[0].num_rows
+                if size > 1 << 17:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+        if held:
+            yield from merged().to_batches()
+
+    rows = docs.select("text").mapInArrow(count, "word string, n long").where("word != ''")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _split(texts) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, some of them empty, and the text that each is from."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    return lists.flatten(), np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+
 
-    costs = _dealt(leaves).mapInArrow(code, "key long, " + ", ".join(f"{x} double" for x in names))
-    each = words.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(grams, "word string, n long, key long")
-    return each.join(costs, "key").groupBy("word", "n").agg(*[F.sum(x).alias(x) for x in names])
+def _head(rows: DataFrame, n: str, most: int) -> int:
+    """The least count such that at most `most` rows reach it; counts over 2^16 are told apart by four digits."""
+    coarse = F.col(n) - F.col(n) % F.pow(F.lit(10), F.floor(F.log10(n)) - 3).cast("long")
+    bins = rows.groupBy(F.when(F.col(n) < 1 << 16, F.col(n)).otherwise(coarse).alias("c")).agg(F.count(F.lit(1)).alias("k"))
+    have, least = 0, 1 << 62
+    for r in bins.orderBy(F.desc("c")).collect():  # below 2^16 rows and 9,000 for each power of ten
+        have += r["k"]
+        if have > most:
+            break
+        least = r["c"]
+    return least
 
 
-def mixture(scores: list, prior: np.ndarray):
-    """log10 of the mixture of class probabilities given by their log10 columns."""
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return best + F.log10(sum((F.lit(float(p)) * F.pow(F.lit(10.0), c - best) for p, c in zip(prior, scores)), F.lit(0.0)))
+_held: dict = {}
 
 
-def score_documents(docs: DataFrame, capacity: int = CAPACITY, head: int = HEAD, classes: int = CLASSES) -> DataFrame:
+def _lookup(shared) -> Lookup:
+    """The worker's table of a broadcast; that of the one before goes."""
+    if _held.get("of") is not shared:
+        _held.clear()
+        _held.update(of=shared, table=Lookup(*shared.value[:2]))
+    return _held["table"]
+
+
+def score_documents(docs: DataFrame, head: int = HEAD, word_head: int = WORD_HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; docs has a held_out column."""
     spark = docs.sparkSession
     arrow_rows(spark)
     docs = docs.select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    kinds = find_classes(docs, classes)
-    counted = stored(_word_counts(docs, kinds), "lm-words")
-    arrow_rows(spark, 20_000)
-    words = stored(score_words(counted, classes, capacity), "lm-scores")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    total, floor = size["n"], size["n"] + 0.5 * (size["v"] + 1)
-    base = F.log10((F.col("n") + 0.5) / F.lit(float(floor)))
-    names = ["known", "base", *[f"s{k}" for k in range(classes)]]
-    words = words.select("word", "n", (F.col("n") > 0).cast("double").alias("known"), base.alias("base"), *names[2:])
-    # The end comes in every document: it is in the head whatever its count, which is 0 if there is nothing to learn from.
-    top = words.where("word != ''").orderBy(F.desc("n"), "word").limit(head).unionByName(words.where("word = ''")).toArrow()
-    place = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(top.column("word").to_pylist())}
-    shared = spark.sparkContext.broadcast((place, np.stack([top.column(c).to_numpy() for c in names], axis=1)))
-    arrow_rows(spark)
+    learnt = docs.where("NOT held_out")
+    words = stored(_word_counts(learnt), "lm-words")
+    each = context_costs(docs)
+
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    ends = learnt.count()  # the end of a text is a token too
+    total = size["n"] + ends
+    floor = float(total + 0.5 * (size["v"] + (ends > 0) + 1))
+
+    def base(n):
+        return np.log10((n + 0.5) / floor)
+
+    least, word_least = _head(each, "m", head), _head(words, "n", word_head)
+    top = each.where(F.col("m") >= least).select("key", "cost").toArrow()
+    common = words.where(F.col("n") >= word_least).select("word", "n").toArrow()
+    place = dict(zip(_bytes(common.column(0)), range(common.num_rows)))
+    shared = spark.sparkContext.broadcast((top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy(), place, base(common.column(1).to_numpy())))
+    end = float(base(ends))
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def look_up(batches):
-        place, values = shared.value
+        find, (_, _, place, bases) = _lookup(shared), shared.value
         for b in batches:
-            row_, word_, times_, sums, tokens = [], [], [], [], []
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = Counter(words_of(text))
-                tokens.append(words.total() + 1)
-                words[b""] = 1
-                at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-                k = np.fromiter(words.values(), np.int64, len(words))
-                sums.append(k[at >= 0] @ values[at[at >= 0]])
-                if (at < 0).any():
-                    rare = [(w, n) for (w, n), i in zip(words.items(), at.tolist()) if i < 0]
-                    row_ += [row] * len(rare)
-                    word_ += [w.decode("utf-8", "surrogatepass") for w, _ in rare]
-                    times_ += [n for _, n in rare]
-            n, m = len(row_), b.num_rows
-            sums = np.array(sums).reshape(m, len(names))
-            none = [None]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row_ + b.column(0).to_pylist(), pa.int64()), pa.array(word_ + none * m, pa.string()), pa.array(times_ + none * m, pa.int64()),
-                    pa.concat_arrays([pa.nulls(n, b.column(2).type), b.column(2)]), pa.array(none * n + b.column(3).to_pylist(), pa.bool_()), pa.array(none * n + tokens, pa.int64()),
-                    *[pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array(sums[:, i])]) for i in range(len(names))],
-                ],
-                names=["row", "word", "k", "doc_id", "held_out", "n_tokens", *names],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
+            rows, m = b.column(0).to_numpy(), b.num_rows
+            # The model: a cost for each byte.
+            score, lost_row, lost_key = np.zeros(m), [], []
+            for piece in _pieces(_bytes(b.column(1))):
+                keys, line = keys_of([x for _, x in piece])
+                text = np.array([i for i, _ in piece])[line]
+                cost, lost = find(keys)
+                score += np.bincount(text, cost, m)
+                lost_row.append(rows[text[lost]])
+                lost_key.append(keys[lost])
+            # The base: a cost for each word.
+            flat, text = _split(b.column(1))
+            coded = flat.dictionary_encode()
+            kinds = _bytes(coded.dictionary)
+            at = np.array([place.get(w, -1) if w else -2 for w in kinds], np.int64)
+            code = coded.indices.to_numpy()
+            of = at[code]
+            known, rare, there = of >= 0, of == -1, of != -2
+            sums = np.bincount(text[known], bases[of[known]], m) + end
+            tokens = np.bincount(text[there], minlength=m) + 1
+            pair, k = np.unique(text[rare] * max(1, len(kinds)) + code[rare], return_counts=True)
+            odd_row, odd = rows[pair // max(1, len(kinds))], coded.dictionary.take(pa.array(pair % max(1, len(kinds))))
+            lost_row, lost_key = (np.concatenate([np.empty(0, x), *y]) for x, y in ((np.int64, lost_row), (np.uint64, lost_key)))
+            yield batch(m, rows, b.column(2), b.column(3), tokens, np.bincount(text[known], minlength=m) + (ends > 0), sums, score)
+            if len(lost_row):
+                yield batch(len(lost_row), lost_row, key=pa.array(lost_key.view(np.int64)))
+            if len(odd_row):
+                yield batch(len(odd_row), odd_row, word=odd, k=pa.array(k))
+
+    fields = {"row": "long", "doc_id": kind, "held_out": "boolean", "n_tokens": "long", "known": "long", "base": "double", "score": "double", "key": "long", "word": "string", "k": "long"}
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+
+    def batch(n, *columns, **more):
+        given = dict(zip(fields, columns)) | more
+        arrays = [(x if isinstance(x, pa.Array) else pa.array(x)) if (x := given.get(f)) is not None else pa.nulls(n, ids if f == "doc_id" else kinds[t]) for f, t in fields.items()]
+        return pa.RecordBatch.from_arrays(arrays, names=list(fields))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ids = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id", "held_out")
-    parts = stored(rows.mapInArrow(look_up, f"row long, word string, k long, doc_id {kind}, held_out boolean, n_tokens long, " + ", ".join(f"{c} double" for c in names)), "lm-parts")
-    tail = parts.where("word IS NOT NULL").select("row", "word", "k").join(words.drop("n"), "word")
-    tail = tail.groupBy("row").agg(*[F.sum(F.col("k") * F.col(c)).alias(f"t_{c}") for c in names])
-    whole = parts.where("word IS NULL").drop("word", "k").join(tail, "row", "left")
-    plus = {c: F.col(c) + F.coalesce(f"t_{c}", F.lit(0.0)) for c in names}
+    parts = stored(rows.mapInArrow(look_up, ", ".join(f"{f} {t}" for f, t in fields.items())), "lm-parts")
+    bytes_ = parts.where("key IS NOT NULL").select("row", "key").join(each.select("key", "cost"), "key").groupBy("row").agg(F.sum("cost").alias("more"))
+    n = F.coalesce("n", F.lit(0))
+    odd = parts.where("word IS NOT NULL").select("row", "word", "k").join(words, "word", "left").groupBy("row")
+    odd = odd.agg(F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10((n + 0.5) / floor)).alias("more_base"))
+    whole = parts.where("n_tokens IS NOT NULL").drop("key", "word", "k").join(bytes_, "row", "left").join(odd, "row", "left")
+    plus = {c: F.col(c) + F.coalesce(m, F.lit(0)) for c, m in (("known", "more_known"), ("base", "more_base"), ("score", "more"))}
     return whole.select(
-        "doc_id", "held_out", "n_tokens", F.round(plus["known"]).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus["base"].alias("base_score"),
-        mixture([plus[f"s{k}"] for k in range(classes)], kinds.prior).alias("score"),
+        "doc_id", "held_out", "n_tokens", plus["known"].cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        plus["base"].alias("base_score"), plus["score"].alias("score"),
     )
