@@ -16,14 +16,24 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def nfc(c) -> Column:
+    """Composed characters (Unicode NFC). Only texts with a character from U+0300 on, where it matters, are looked at."""
+    said = col(c)
+    return F.when(said.rlike(r"[^\x00-\x{2FF}]"), F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(said, F.lit("")), F.lit(False))).otherwise(said)
+
+
+def _compact(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), COMPACT_DROPS, "")
+
+
 def compact(c) -> Column:
-    """Identifier without case, blanks and punctuation."""
-    return F.regexp_replace(F.lower(col(c)), COMPACT_DROPS, "")
+    """Identifier, composed, without case, blanks and punctuation."""
+    return _compact(nfc(c))
 
 
 def preserve(c) -> Column:
-    """Identifier in lower case with single blanks."""
-    return F.trim(F.regexp_replace(F.lower(col(c)), r"\s+", " "))
+    """Identifier, composed, in lower case with single blanks."""
+    return F.trim(F.regexp_replace(F.lower(nfc(c)), r"\s+", " "))
 
 
 def alias_forms(c) -> Column:
@@ -40,16 +50,17 @@ def identifiers(c, most: int = 256) -> Column:
     """Distinct compact identifiers: runs of word characters with a letter, 3 to 100 long."""
     runs = F.regexp_extract_all(col(c), F.lit("[A-Za-z0-9_.=-]+"), F.lit(0))
     named = F.filter(runs, lambda x: F.length(x).between(3, 100) & x.rlike("[A-Za-z]"))
-    return F.slice(F.array_distinct(F.filter(F.transform(named, compact), lambda x: F.length(x) > 0)), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(named, _compact), lambda x: F.length(x) > 0)), 1, most)
 
 
 def query_form(c) -> Column:
-    return F.trim(F.regexp_replace(col(c), r"\s+", " "))
+    """Composed, with single blanks."""
+    return F.trim(F.regexp_replace(nfc(c), r"\s+", " "))
 
 
 def hash_form(c) -> Column:
-    """The text that is hashed: line ends unified, blanks at line ends and around the text gone."""
-    lines = F.regexp_replace(F.regexp_replace(col(c), "\r\n?", "\n"), r"(?m)[ \t\f\x0B]+$", "")
+    """The text that is hashed: composed, line ends unified, blanks at line ends and around the text gone."""
+    lines = F.regexp_replace(F.regexp_replace(nfc(c), "\r\n?", "\n"), r"(?m)[ \t\f\x0B]+$", "")
     return F.regexp_replace(lines, r"^\s+|\s+\z", "")
 
 
@@ -69,7 +80,7 @@ def token_estimate(c) -> Column:
 
 def clip(c, most: int = HIT_CHARS) -> Column:
     """Single blanks, and an ellipsis in place of what is over `most` characters."""
-    one = query_form(c)
+    one = F.trim(F.regexp_replace(col(c), r"\s+", " "))
     return F.when(F.length(one) <= most, one).otherwise(F.concat(F.rtrim(F.substring(one, 1, most - 1)), F.lit("…")))
 
 
@@ -112,6 +123,18 @@ def cites(c) -> Column:
     return F.array_distinct(F.transform(good, lambda p: F.struct(F.split_part(p, F.lit(":"), F.lit(1)).alias("kind"), F.split_part(p, F.lit(":"), F.lit(2)).alias("id"))))
 
 
+def ordered_distinct(c) -> Column:
+    """An array without repeats, case and outer blanks aside: the first of each stays, in its place; blank ones go."""
+    said = F.filter(F.transform(col(c), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
+    folded = F.transform(said, lambda x: F.lower(x))
+    return F.filter(said, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1)
+
+
+def is_message_id(c) -> Column:
+    """Whether a message may be asked for anew by this id: digits alone."""
+    return F.coalesce(col(c).rlike("^[0-9]+$"), F.lit(False))
+
+
 def provenance_weight(c) -> Column:
     """Priority of an alias by where it came from."""
     weights = {"curated": 100, "official": 80, "registry": 70, "workflow": 60, "community": 40}
@@ -147,7 +170,7 @@ def secret_reasons(c) -> Column:
 
 
 def public_state(c) -> Column:
-    return F.when(col(c).isNull() | (F.trim(col(c)) == ""), "unavailable").when(F.size(secret_reasons(c)) > 0, "quarantined").otherwise("safe")
+    return F.when(col(c).isNull() | ~col(c).rlike(r"\S"), "unavailable").when(F.size(secret_reasons(c)) > 0, "quarantined").otherwise("safe")
 
 
 def redact(c) -> Column:

@@ -34,9 +34,17 @@ def hashing_embedding(text, dimension: int = 64) -> Column:
     """Offline embedding: each token's SHA-256 names a cell and a sign; the sum is scaled to length one."""
     hashed = F.transform(tokens(text), lambda t: F.sha2(t, 256))
     cell = F.transform(hashed, lambda h: F.struct((F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dimension).alias("i"), F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(cell, lambda c: c["i"] == i), F.lit(0.0), lambda acc, c: acc + c["s"]))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(length > 0, F.transform(raw, lambda x: x / length)).otherwise(raw)
+
+    def let(value, use):  # a value that is used many times is computed once
+        return F.transform(F.array(value), use)[0]
+
+    def summed(cells):
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(cells, lambda c: c["i"] == i), F.lit(0.0), lambda acc, c: acc + c["s"]))
+
+    def scaled(raw):
+        return let(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x)), lambda n: F.when(n > 0, F.transform(raw, lambda x: x / n)).otherwise(raw))
+
+    return let(let(cell, summed), scaled)
 
 
 def trigrams(text) -> Column:
@@ -55,3 +63,27 @@ def word_similarity(query, text) -> Column:
     """The best share of the query's trigrams in one word of the text, or in all of it if that is less."""
     q = trigrams(query)
     return F.coalesce(F.size(F.array_intersect(q, trigrams(text))) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0))
+
+
+def packer():
+    """A function of an array column: its values as little-endian 32-bit floats in base64."""
+    import base64
+
+    import numpy as np
+
+    def pack(v):
+        return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
+
+    return F.pandas_udf(pack, "string", F.PandasUDFType.SCALAR)
+
+
+def unpacker():
+    """The way back, to an array of floats."""
+    import base64
+
+    import numpy as np
+
+    def unpack(v):
+        return v.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), "<f4"))
+
+    return F.pandas_udf(unpack, "array<float>", F.PandasUDFType.SCALAR)

@@ -115,3 +115,12 @@ def public_view(messages: DataFrame, hidden: tuple = ("api_key_hash", "payload")
     shown = messages.drop(*hidden)
     tests = [~F.coalesce(F.col(c), F.lit(False)) for c in ("is_deleted",) if c in shown.columns]
     return shown.where(reduce(lambda a, b: a & b, tests)) if tests else shown
+
+
+def issue_key(author_id) -> tuple[str, dict]:
+    """A new random key for a contributor, to be shown once, and the row to store: the key's hash alone."""
+    import hashlib
+    import secrets
+
+    key = secrets.token_urlsafe(32)
+    return key, {"id": author_id, "api_key_hash": hashlib.sha256(key.encode()).hexdigest(), "revoked_at": None}

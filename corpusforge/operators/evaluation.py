@@ -79,3 +79,8 @@ def set_precision(returned, expected) -> Column:
 
 def set_recall(returned, expected) -> Column:
     return ratio(F.size(F.array_intersect(returned, expected)), F.size(expected), 0.0)
+
+
+def later_chunk_rate(hits: DataFrame) -> DataFrame:
+    """Of the best hits (rank 1) of all cases, the share found by a chunk behind the first."""
+    return hits.where("rank = 1").agg(F.count(F.lit(1)).alias("cases"), F.avg((F.col("chunk_index") > 0).cast("double")).alias("later_rate"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import entity_type
@@ -108,3 +110,34 @@ def append_new(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def key_page(rows: DataFrame, key: str, after, through, n: int) -> DataFrame:
     """The next n rows beyond a cursor and up to a high-water mark."""
     return rows.where((F.col(key) > after) & (F.col(key) <= through)).orderBy(key).limit(n)
+
+
+def offset_page(rows: DataFrame, key: str, offset: int, n: int) -> DataFrame:
+    """n rows in the order of a key, behind the first `offset`."""
+    return rows.orderBy(key).offset(offset).limit(n)
+
+
+def drop_identity(stored: DataFrame, gone: DataFrame, identity: list[str]) -> DataFrame:
+    """Stored rows but for those of the identities in gone; a column that gone lacks stands for every value of it."""
+    asked = [c for c in identity if c in gone.columns]
+    return stored.join(gone.select(*asked).distinct(), asked, "left_anti")
+
+
+def json_contains(column: str, needle: dict) -> Column:
+    """Whether a JSON text contains a JSON object: its keys with its scalar values, in objects within objects, and of its
+    lists each element."""
+    v = F.try_parse_json(column)
+
+    def test(path: str, x) -> Column:
+        if isinstance(x, dict):
+            return reduce(lambda a, b: a & b, [test(f"{path}.{k}", y) for k, y in x.items()], F.lit(True))
+        if isinstance(x, list):
+            held = F.coalesce(F.try_variant_get(v, path, "array<string>"), F.array().cast("array<string>"))
+            return reduce(lambda a, b: a & b, [F.array_contains(held, str(y)) for y in x], F.try_variant_get(v, path, "array<string>").isNotNull())
+        if x is None:
+            return F.is_variant_null(F.try_variant_get(v, path, "variant"))
+        kind = "boolean" if isinstance(x, bool) else "double" if isinstance(x, int | float) else "string"
+        text = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+        return (F.try_variant_get(v, path, kind) == F.lit(x).cast(kind)) & (text if kind == "string" else ~text)
+
+    return F.coalesce(test("$", needle), F.lit(False))

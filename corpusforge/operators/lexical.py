@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import compact, snippet, tokens
-from corpusforge.operators.feed import typed
+from corpusforge.operators.search_index import prepared
 from corpusforge.plans.query import Filters, WebQuery, arms, candidate_limit, check_query
 
 #: Rank of an exact or contained identifier, by where it is found.
@@ -18,38 +18,41 @@ WEIGHTS = {"title": 1.0, "context": 0.4, "body": 0.2}
 TITLE_CHARS, MESSAGE_CHARS = 300, 8000
 
 
+def _has(line: str, word: str) -> Column:
+    return F.col(line).contains(f" {word} ").cast("int")
+
+
 def term_score(words: list[str]) -> Column:
     """Weighted share of the query's words per field, squashed to r / (r + 1)."""
-    raw = reduce(lambda a, b: a + b, [F.lit(w) * F.size(F.array_intersect(F.array(*map(F.lit, words)), F.coalesce(tokens(c), F.array().cast("array<string>")))) for c, w in WEIGHTS.items()])
+    raw = reduce(lambda a, b: a + b, [F.lit(w) * _has(f"{c}_line", x) for c, w in WEIGHTS.items() for x in dict.fromkeys(words)], F.lit(0.0))
     return raw / (raw + 1)
 
 
-def _arm(rows: DataFrame, source: str, rank: Column, representation: str = "prose", text: str = "body") -> DataFrame:
-    return rows.select("entity_type", "item_id", F.lit(representation).alias("representation"), snippet(text).alias("snippet"), rank.cast("double").alias("rank"), F.lit(source).alias("lexical_source"), "created_at")
+def _arm(rows: DataFrame, source: str, rank: Column, representation: str = "prose") -> DataFrame:
+    return rows.select("entity_type", "item_id", F.lit(representation).alias("representation"), "snippet", rank.cast("double").alias("rank"), F.lit(source).alias("lexical_source"), "created_at")
 
 
 def fts_arm(feed: DataFrame, query: str) -> DataFrame:
     """Items whose tokens satisfy the web-style query."""
     q = WebQuery.parse(query)
-    all_tokens = tokens(F.concat_ws("\n", "title", "body", "context"))
-    return _arm(feed.where(q.matches(all_tokens)), "fts", term_score(q.positive or [""]))
+    return _arm(prepared(feed).where(q.matches_lines("title_line", "body_line", "context_line")), "fts", term_score(q.positive))
 
 
 def phrase_arm(feed: DataFrame, query: str) -> DataFrame:
     q = WebQuery.parse('"' + query.strip().strip('"') + '"')
-    return _arm(feed.where(q.matches(tokens(F.concat_ws("\n", "title", "body")))), "phrase", term_score(q.positive or [""]))
+    return _arm(prepared(feed).where(q.matches_lines("title_line", "body_line")), "phrase", term_score(q.positive))
 
 
 def ident_arm(feed: DataFrame, query: str) -> DataFrame:
     """Items that contain the query without blanks and punctuation: in a message's text, in another item's title."""
-    key = _compact_literal(query)
+    key, rows = _compact_literal(query), prepared(feed)
     if not key:
-        return _arm(feed.where("false"), "identifier", F.lit(0.0))
-    said, titled = compact("body"), compact("title")
-    message = (F.col("entity_type") == "message") & F.length("body").between(1, MESSAGE_CHARS) & said.contains(key)
-    title = (F.col("entity_type") != "message") & F.length("title").between(1, TITLE_CHARS) & titled.contains(key)
+        return _arm(rows.where("false"), "identifier", F.lit(0.0))
+    said, titled = F.col("compact_body"), F.col("compact_title")
+    message = (F.col("entity_type") == "message") & F.col("body_chars").between(1, MESSAGE_CHARS) & said.contains(key)
+    title = (F.col("entity_type") != "message") & F.col("title_chars").between(1, TITLE_CHARS) & titled.contains(key)
     rank = F.when(message & (said == key), EQUAL_IDENT).when(message, MESSAGE_IDENT).otherwise(TITLE_IDENT)
-    return _arm(feed.where(F.coalesce(message, F.lit(False)) | F.coalesce(title, F.lit(False))), "identifier", rank)
+    return _arm(rows.where(F.coalesce(message, F.lit(False)) | F.coalesce(title, F.lit(False))), "identifier", rank)
 
 
 def fragment_arm(chunks: DataFrame, query: str) -> DataFrame:
@@ -58,12 +61,37 @@ def fragment_arm(chunks: DataFrame, query: str) -> DataFrame:
     chunks: entity_type, item_id, chunk_index, chunk_text, created_at.
     """
     key = _compact_literal(query)
-    norm = compact("chunk_text")
-    whole = chunks.groupBy("entity_type", "item_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", norm.alias("n")))), lambda x: x["n"]), " ").alias("joined"),
-        F.max_by(F.when(norm.contains(key), F.col("chunk_text")), F.when(norm.contains(key), F.struct("created_at", "chunk_index"))).alias("body"), F.max("created_at").alias("created_at"),
+    rows = chunks.withColumn("_norm", compact("chunk_text")).withColumn("_hit", F.col("_norm").contains(key))
+    whole = rows.groupBy("entity_type", "item_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "_norm"))), lambda x: x["_norm"]), " ").alias("joined"),
+        F.max_by(F.when(F.col("_hit"), F.col("chunk_text")), F.when(F.col("_hit"), F.struct("created_at", "chunk_index"))).alias("body"), F.max("created_at").alias("created_at"),
     )
-    return _arm(whole.where(F.col("joined").contains(key)), "fragment", F.lit(CODE_IDENT), "code")
+    return _arm(whole.where(F.col("joined").contains(key)).withColumn("snippet", snippet("body")), "fragment", F.lit(CODE_IDENT), "code")
+
+
+def safe_only(chunks: DataFrame, states: DataFrame, state: str = "safe") -> DataFrame:
+    """The safety gate: chunks of workflows whose code is in the given state; states: item_id, kind, public_state."""
+    good = states.where((F.col("kind") == "workflow") & (F.col("public_state") == state)).select("item_id")
+    return chunks.join(good, "item_id", "left_semi")
+
+
+def code_arm(chunks: DataFrame, query: str) -> DataFrame:
+    """Items with a code chunk whose tokens satisfy the query, each by its best chunk; pass chunks through `safe_only`.
+
+    chunks: entity_type, item_id, chunk_index, chunk_text, created_at. The rank is that of words in a body.
+    """
+    q, words = WebQuery.parse(query), tokens("chunk_text")
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    raw = reduce(lambda a, b: a + b, [F.lit(WEIGHTS["body"]) * line.contains(f" {w} ").cast("int") for w in q.positive], F.lit(0.0))
+    hits = chunks.where(q.matches(words)).withColumn("rank", raw / (raw + 1))
+    best = hits.groupBy("entity_type", "item_id").agg(F.max_by(F.struct("chunk_text", "rank", "created_at"), F.struct("rank", "created_at", -F.col("chunk_index"))).alias("b"))
+    rows = best.select("entity_type", "item_id", "b.*").withColumn("snippet", snippet("chunk_text"))
+    return _arm(rows, "code_fts", F.col("rank"), "code")
+
+
+def dense(rows: DataFrame, test: Column, enough: int = 4) -> DataFrame:
+    """One row: whether `enough` rows at least pass a test, looking no further than these."""
+    return rows.where(test).limit(enough).agg((F.count(F.lit(1)) >= enough).alias("dense"))
 
 
 def _compact_literal(query: str) -> str:
@@ -76,15 +104,12 @@ def _compact_literal(query: str) -> str:
 def banded(feed: DataFrame, query: str) -> DataFrame:
     """Deterministic rank: identifier in title 0.95, in a resource's body 0.93, in a message 0.90, else by words."""
     key, words = _compact_literal(query), sorted(set(WebQuery.parse(query.replace('"', " ")).positive))
-    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
     in_body = F.when(F.col("entity_type") == "resource", CODE_IDENT).otherwise(MESSAGE_IDENT)
-    by_name = F.when(compact(title).contains(key), TITLE_IDENT).when(compact(body).contains(key), in_body) if key else F.lit(None).cast("double")
-    wanted = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
-    every = F.size(F.array_intersect(wanted, tokens(F.concat_ws("\n", title, body)))) == len(words)
-    share = F.size(F.array_intersect(wanted, tokens(title))) / max(1, len(words))
-    by_words = F.when(every & F.lit(bool(words)), F.least(F.lit(FTS_TOP), F.lit(FTS_BASE) + F.lit(FTS_TITLE) * share))
-    rows = feed.withColumn("rank", F.greatest(by_name, by_words)).where("rank IS NOT NULL")
-    return rows
+    by_name = F.when(F.col("compact_title").contains(key), TITLE_IDENT).when(F.col("compact_body").contains(key), in_body) if key else F.lit(None).cast("double")
+    every = reduce(lambda a, b: a & b, [F.col("title_line").contains(f" {w} ") | F.col("body_line").contains(f" {w} ") for w in words], F.lit(bool(words)))
+    share = reduce(lambda a, b: a + b, [_has("title_line", w) for w in words], F.lit(0)) / max(1, len(words))
+    by_words = F.when(every, F.least(F.lit(FTS_TOP), F.lit(FTS_BASE) + F.lit(FTS_TITLE) * share))
+    return prepared(feed).withColumn("rank", F.greatest(by_name, by_words)).where("rank IS NOT NULL")
 
 
 def collapse(hits: DataFrame) -> DataFrame:
@@ -99,7 +124,7 @@ def top(hits: DataFrame, limit: int) -> DataFrame:
 
 def candidates(feed: DataFrame, query: str, filters: Filters | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """The union of all arms that the query asks for."""
-    rows = typed(feed)
+    rows = prepared(feed)
     if filters:
         filters.check()
         rows = rows.where(filters.predicate())
@@ -116,5 +141,5 @@ def search(feed: DataFrame, query: str, limit: int = 20, filters: Filters | None
     found = top(collapse(candidates(feed, query, filters, chunks)), candidate_limit(limit))
     page = top(found, limit)
     w = Window.orderBy(F.desc_nulls_last("rank"), F.desc_nulls_last("created_at"), "entity_type", "item_id")
-    items = typed(feed).drop("created_at")
+    items = prepared(feed).drop("created_at", "snippet")
     return F.broadcast(page).join(items, ["entity_type", "item_id"]).withColumn("keyword_rank", F.row_number().over(w))

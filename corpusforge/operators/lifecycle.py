@@ -115,7 +115,7 @@ def backfill_plan(source: DataFrame, current: DataFrame, key: str, max_items: in
     A batch closes at max_items items or, by running total, max_tokens tokens; no order spans all rows.
     """
     todo = source.join(current.select(key, F.col("hash").alias("_h")), key, "left").where(~F.col("hash").eqNullSafe(F.col("_h"))).drop("_h")
-    todo = todo.withColumn("lane", F.pmod(F.xxhash64(key), F.lit(64)))
+    todo = todo.withColumn("lane", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 64)
     w = Window.partitionBy("lane").orderBy(key)
     run = F.sum("tokens").over(w) - F.col("tokens")
     return todo.withColumn("batch", F.greatest(F.floor((F.row_number().over(w) - 1) / max_items), F.floor(run / max_tokens)))
@@ -129,8 +129,27 @@ def switch_allowed(vectors: DataFrame, old: int, new: int) -> bool:
 
 def superseded_beyond(contracts: DataFrame, keep: int) -> DataFrame:
     """Superseded contracts but for the newest `keep`; an active one is never among them."""
-    w = Window.orderBy(F.desc("created_at"), "id")
-    return contracts.where("status = 'superseded'").withColumn("_n", F.row_number().over(w)).where(F.col("_n") > keep).drop("_n")
+    old = contracts.where("status = 'superseded'")
+    newest = old.orderBy(F.desc("created_at"), "id").limit(keep).select("id")
+    return old.join(F.broadcast(newest), "id", "left_anti")
+
+
+def backfill_counters(actions: DataFrame, source: str = "source", reason: str = "action") -> DataFrame:
+    """How many items of each source had each outcome, with the share in the source."""
+    n = actions.groupBy(source, reason).agg(F.count(F.lit(1)).alias("n"))
+    whole = n.groupBy(source).agg(F.sum("n").alias("_all"))
+    return n.join(whole, source).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
+
+
+def finalize(stored: DataFrame, worked: DataFrame, chunks: DataFrame, identity: list[str]) -> DataFrame:
+    """Stored chunks after jobs were worked: worked has identity and outcome (`finalize_outcome`), chunks what they made.
+
+    All chunks of an identity are replaced together where its job completed, and go where it was dropped; any other
+    outcome leaves what is stored. Identities without a job stay as they are.
+    """
+    ended = worked.where(F.col("outcome").isin("completed", "dropped")).select(*identity).distinct()
+    made = chunks.join(worked.where("outcome = 'completed'").select(*identity).distinct(), identity, "left_semi")
+    return stored.join(ended, identity, "left_anti").unionByName(made)
 
 
 def remediation(rows: DataFrame, code, body) -> DataFrame:

@@ -85,7 +85,7 @@ def disagreements(stored: DataFrame, fresh: DataFrame, item: str) -> DataFrame:
 
 def audit_class(parses: Column, covered: Column, reasons: Column, source: Column) -> Column:
     """Exclusive classes, the gravest first."""
-    return F.when(F.size(reasons) > 0, "secret_quarantined").when(source.isNull() | (F.trim(source) == ""), "invalid_source").when(~covered, "coverage_failed").when(parses, "syntactically_valid").otherwise("parser_fallback")
+    return F.when(F.size(reasons) > 0, "secret_quarantined").when(source.isNull() | ~source.rlike(r"\S"), "invalid_source").when(~covered, "coverage_failed").when(parses, "syntactically_valid").otherwise("parser_fallback")
 
 
 def fingerprint(rows: DataFrame, hash_: str, *by: str) -> DataFrame:
@@ -147,3 +147,8 @@ def cohort(parts: list[DataFrame], key: list[str], high_water=None, column: str
     """Rows of several sources, each once, none beyond a high-water mark that was pinned before reading."""
     rows = reduce(DataFrame.unionByName, parts)
     return (rows.where(F.col(column) <= high_water) if column else rows).dropDuplicates(key)
+
+
+def high_water(rows: DataFrame, column: str):
+    """The highest key there is now: read it before a cohort is, so that all parts end at the same place."""
+    return rows.agg(F.max(column)).first()[0]

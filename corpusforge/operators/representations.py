@@ -83,6 +83,26 @@ def chunk_code(text: str | None, target: int = TARGET, lines: int = 60) -> list[
     return [("\n".join(rows[a:b]), how, a + 1) for a, b in packs]
 
 
+def chunk_lines(text: str | None, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[str, str, int]]:
+    """(text, method, first line) of each chunk: whole lines up to the target, after as many of the last as the overlap holds."""
+    text = normal(text or "")
+    if len(text) <= target * PER_TOKEN:
+        return [(text, "single", 1)] if text else []
+    rows, out, first, begin = text.split("\n"), [], 0, 0
+    size = -1
+    for i, row in enumerate(rows):
+        if i > begin and size + len(row) + 1 >= target * PER_TOKEN:
+            out.append((first, i))
+            first, room = i, overlap * PER_TOKEN
+            while first > begin and len(rows[first - 1]) + 1 <= room:
+                first, room = first - 1, room - len(rows[first - 1]) - 1
+            begin, size = i, sum(len(x) + 1 for x in rows[first:i]) - 1
+        size += len(row) + 1
+    out.append((first, len(rows)))
+    made = [("\n".join(rows[a:b]).strip(), "window", a + 1) for a, b in out]
+    return [c for c in made if c[0]]
+
+
 def coverage_ok(text: str, chunks: list[str]) -> bool:
     """No character kind of the text is missing from its chunks, and they are together as long."""
     whole = "".join(normal(text).split())
@@ -90,11 +110,11 @@ def coverage_ok(text: str, chunks: list[str]) -> bool:
     return set(whole) <= set(joined) and len(joined) >= len(whole)
 
 
-def chunked(docs: DataFrame, text: str, keys: list[str], code: bool = False, **how) -> DataFrame:
+def chunked(docs: DataFrame, text: str, keys: list[str], code: bool = False, lines: bool = False, **how) -> DataFrame:
     """One row per chunk, with its hash; keys carry over."""
     rows = docs.select(*keys, F.col(text).alias("_t"))
     names = [*keys, "chunk_index", "chunk_text", "method", "start"]
-    cut = chunk_code if code else chunk_prose
+    cut = chunk_code if code else chunk_lines if lines else chunk_prose
 
     def run(frames):
         for pdf in frames:

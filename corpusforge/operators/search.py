@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.text import clip
 from corpusforge.plans.query import MAX_ARMS, POOL, RANK_TOKENS, SQL_TOKENS, distinctive, like_arms, variants
+from corpusforge.sources.tables import written
 
 #: Points of a hit.
 TITLE, BODY, CONTEXT, APPROVED, PARSEABLE, PHRASE = 5, 3, 3, 4, 3, 2
@@ -16,12 +17,16 @@ AND_ENOUGH = 3
 
 
 def score(query: str, title="title", body="body", context="context", approved: Column | None = None, parseable: Column | None = None) -> Column:
-    """Points for each distinct token, in any of its spellings, per field; more for approved, parseable and phrase."""
+    """Points for each distinct token, in any of its spellings, per field; more for approved, parseable and phrase.
+
+    Fields whose names begin with low_ are in lower case already.
+    """
     total = F.lit(0)
     seen = dict.fromkeys(t.casefold() for t in distinctive(query, RANK_TOKENS))
 
     def has(field, needle: str) -> Column:
-        return F.coalesce(F.contains(F.lower(F.col(field) if isinstance(field, str) else field), F.lit(needle)), F.lit(False))
+        at = F.col(field) if isinstance(field, str) else field
+        return F.coalesce(F.contains(at if isinstance(field, str) and field.startswith("low_") else F.lower(at), F.lit(needle)), F.lit(False))
 
     for token in seen:
         for field, points in ((title, TITLE), (body, BODY), (context, CONTEXT)):
@@ -61,14 +66,17 @@ def pool(rows: DataFrame, n: int = POOL) -> DataFrame:
 
 
 def page(rows: DataFrame, limit: int, offset: int = 0, by: str = "relevance") -> DataFrame:
-    """A page in a total order, with the total, its number and what comes next."""
+    """A page in a total order, with the total, its number and what comes next.
+
+    What is ranked is written once, so that the total and the page don't read the corpus twice; give narrow rows.
+    """
     recent, points = F.desc_nulls_last("created_at"), F.desc("score")
     first = [points, recent] if by == "relevance" else [recent, points]
     order = [*first, F.desc("kind"), F.desc("item_id")]
-    best = rows.orderBy(*order).limit(offset + limit)
-    n = rows.agg(F.count(F.lit(1)).alias("total"))
-    ranked = best.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") > offset)
-    out = ranked.crossJoin(F.broadcast(n))  # one row
+    hits = written(rows, "page")
+    n = F.lit(hits.count())
+    best = hits.orderBy(*order).limit(offset + limit)
+    out = best.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") > offset).withColumn("total", n)
     return out.withColumns({"page": F.lit(offset // limit + 1), "pages": F.ceil(F.col("total") / limit), "has_more": F.col("total") > offset + limit, "next_offset": F.when(F.col("total") > offset + limit, offset + limit)})
 
 
@@ -91,3 +99,9 @@ def envelope(rows: DataFrame, failed: list[str] | None = None, scopes: int = 3)
         raise RuntimeError("every scope failed: " + "; ".join(failed))
     warnings = F.array(*map(F.lit, failed)) if failed else F.array().cast("array<string>")
     return rows.agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("kind") == "distillation") == 0).alias("nudge")).withColumn("warnings", F.array_join(warnings, "; "))
+
+
+def page_json(hits: DataFrame, *columns: str) -> DataFrame:
+    """One row with a page (of `page`, so of limited size) as a JSON list in the order of its places."""
+    items = F.array_sort(F.collect_list(F.struct("place", *columns)))
+    return hits.agg(F.to_json(items).alias("page"))

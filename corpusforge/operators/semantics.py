@@ -61,3 +61,16 @@ def tags_text(metadata: Column) -> Column:
     v = F.try_parse_json(metadata)
     both = [F.coalesce(F.try_variant_get(v, p, "array<string>"), F.array().cast("array<string>")) for p in ("$.tags", "$.summary.tags")]
     return F.array_join(F.array_distinct(F.concat(*both)), " ")
+
+
+def strip_generated(body: Column) -> Column:
+    """A body without the semantics that were put behind it."""
+    lines = F.regexp_replace(F.coalesce(body, F.lit("")), "\r\n?", "\n")
+    return F.when(lines.rlike(f"(?m)^{MARK}"), F.regexp_replace(F.regexp_replace(lines, rf"(?ms)^{MARK}.*\z", ""), r"\s+\z", "")).otherwise(F.trim(lines))
+
+
+def strip_title(body: Column, title: Column) -> Column:
+    """A body, without generated semantics, that does not begin with its title and an empty line."""
+    clean, head = strip_generated(body), F.trim(F.coalesce(title, F.lit("")))
+    said = (head != "") & ((clean == head) | clean.startswith(F.concat(head, F.lit("\n\n"))))
+    return F.when(said, F.regexp_replace(F.substring(clean, F.length(head) + 1, F.length(clean)), r"\A\s+", "")).otherwise(clean)

@@ -56,17 +56,26 @@ class WebQuery:
                 groups[-1].append((words, bool(minus)))
         return cls([g for g in groups if g])
 
+    def _test(self, term) -> Column:
+        def both(group) -> Column:
+            return reduce(lambda a, b: a & b, [~term(w) if no else term(w) for w, no in group])
+
+        return F.coalesce(reduce(lambda a, b: a | b, map(both, self.any_of)), F.lit(False)) if self.any_of else F.lit(False)
+
     def matches(self, token_array: Column) -> Column:
         """Whether a token array satisfies the query; false for a query without terms."""
         line = F.concat(F.lit(" "), F.array_join(token_array, " "), F.lit(" "))
+        return self._test(lambda words: F.array_contains(token_array, words[0]) if len(words) == 1 else line.contains(" " + " ".join(words) + " "))
 
-        def term(words: tuple[str, ...]) -> Column:
-            return F.array_contains(token_array, words[0]) if len(words) == 1 else line.contains(" " + " ".join(words) + " ")
+    def matches_lines(self, *lines: str) -> Column:
+        """The same for columns that hold the tokens of successive fields with blanks between and around."""
+        whole = F.concat(*[F.col(c) if i == 0 else F.substring(c, 2, 1 << 30) for i, c in enumerate(lines)])
 
-        def both(group) -> Column:
-            return reduce(lambda a, b: a & b, [~term(w) if no else term(w) for w, no in group])
+        def term(words: tuple[str, ...]) -> Column:
+            said = " " + " ".join(words) + " "
+            return reduce(lambda a, b: a | b, [F.col(c).contains(said) for c in lines]) if len(words) == 1 else whole.contains(said)
 
-        return F.coalesce(reduce(lambda a, b: a | b, map(both, self.any_of)), F.lit(False)) if self.any_of else F.lit(False)
+        return self._test(term)
 
     @property
     def positive(self) -> list[str]:

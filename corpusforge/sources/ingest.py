@@ -87,17 +87,19 @@ def caption_lines(vtt: str) -> list[str]:
 def roll_up(lines: list[str]) -> list[str]:
     """Rolling captions repeat and grow: a line that extends the last replaces it, an overlap is said once."""
     out: list[str] = []
+    last = ""  # as it was shown, with what it had in common with the one before
     for line in lines:
-        last = out[-1] if out else ""
         if last and (line == last or last.startswith(line)):
             continue
         if last and line.startswith(last):
-            out[-1] = line
+            out[-1] += line[len(last) :]
+            last = line
             continue
         words, before = line.split(), last.split()
         n = next((k for k in range(min(len(words), len(before)), 0, -1) if before[-k:] == words[:k]), 0)
         if rest := words[n:]:
             out.append(" ".join(rest))
+            last = line
     return out
 
 

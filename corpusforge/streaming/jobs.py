@@ -24,13 +24,17 @@ def latest_state(events: DataFrame, late: str = "30 days") -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str, name: str | None = None) -> DataFrame:
-    """Run a stream over what is there now and give its result."""
+    """Run a stream over what is there now and give its result, by way of a table in the shared folder."""
     from corpusforge.sources.tables import shared_dir
 
     spark, name = stream.sparkSession, name or f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    at = f"{shared_dir(spark)}/{name}"
+
+    def write(batch: DataFrame, number: int) -> None:  # a batch that is run again replaces its own rows
+        batch.write.mode("overwrite").parquet(f"{at}/rows" if mode == "complete" else f"{at}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
 def run_jobs(stream: DataFrame, path: str, checkpoint: str, identity: list[str], order: list[str]) -> None:
