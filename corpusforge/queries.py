@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions import text as X
 from corpusforge.functions import vectors as V
 from corpusforge.operators import contribute, evaluation, feed, lexical, lifecycle, quality, representations, search, search_index, semantic, semantics
+from corpusforge.plans import retrievers
 from corpusforge.plans.query import Filters
 from corpusforge.sources import ingest
 from corpusforge.streaming import jobs
@@ -306,6 +307,24 @@ def _(s, d):
     return lexical.fts_arm(_index(s, d).where(f.predicate()), QUERY).select("entity_type", "item_id")
 
 
+CASE_QUERIES = ["the stupid", "of the", "worthless", "zzzz nothing"]
+_CASES = "cases AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}', '{q.replace(' ', '')}', {q.split()})" for i, q in enumerate(CASE_QUERIES)) + ") t(case_id, query, name, words))"
+
+
+@query("retrieve_cases", FEED + f""", x AS (SELECT entity_type, item_id, {COMPACT.format("coalesce(title, '')")} AS t, {COMPACT.format("coalesce(body, '')")} AS b, {TOKENS.format("coalesce(title, '')")} AS tt, {T2} AS bt FROM feed), {_CASES},
+    y AS (SELECT case_id, entity_type, item_id, greatest(CASE WHEN contains(t, name) THEN 0.95 WHEN contains(b, name) THEN CASE WHEN entity_type = 'resource' THEN 0.93 ELSE 0.9 END END, CASE WHEN list_has_all(bt, words) THEN least(0.89, 0.75 + 0.12 * len(list_intersect(words, tt)) / len(words)) END) AS points FROM x, cases),
+    r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY points DESC, entity_type, item_id) AS rank FROM y WHERE points IS NOT NULL) SELECT case_id :: BIGINT AS case_id, rank, concat(entity_type, ':', item_id) AS key FROM r WHERE rank <= 10""")
+def _(s, d):
+    cases = s.createDataFrame(list(enumerate(CASE_QUERIES)), "case_id long, query string")
+    return retrievers.REGISTRY["lexical"](_index(s, d), cases, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("retrieve_legacy", FEED + f", {_CASES}, y AS (SELECT case_id, entity_type, item_id, CASE WHEN contains(lower(title), query) THEN 1.0 WHEN contains(lower(body), query) THEN 0.5 END AS points FROM feed, cases), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY points DESC, entity_type, item_id) AS rank FROM y WHERE points IS NOT NULL) SELECT case_id :: BIGINT AS case_id, rank, concat(entity_type, ':', item_id) AS key FROM r WHERE rank <= 10")
+def _(s, d):
+    cases = s.createDataFrame(list(enumerate(CASE_QUERIES)), "case_id long, query string")
+    return retrievers.REGISTRY["legacy"](_index(s, d), cases, 10).withColumn("rank", F.col("rank").cast("long"))
+
+
 # Identifiers and text -------------------------------------------------------------------------------------------------
 
 

@@ -59,7 +59,7 @@ def test_query_planning(spark):
 def test_lexical_bands_and_collapse(spark):
     rows = [("article", "s", "1", "Wan 2.2 guide", "text", None, None), ("message", "s", "2", None, "use wan2.2 now", "bo", "chan"), ("article", "s", "3", "t", "about wan-2_2", None, None), ("article", "s", "4", "x", "none", None, None)]
     feed = spark.createDataFrame(rows, "kind string, source string, item_id string, title string, body string, author string, context string").withColumn("created_at", F.lit(None).cast("timestamp_ntz")).withColumn("url", F.lit(""))
-    got = {r.item_id: r["rank"] for r in lexical.banded(lexical.typed(feed), "wan2.2").collect()}
+    got = {r.item_id: r["rank"] for r in lexical.banded(feed, "wan2.2").collect()}
     assert got == {"1": pytest.approx(0.95), "2": pytest.approx(0.90), "3": pytest.approx(0.93)}
     found = lexical.search(feed, "wan2.2").collect()
     assert len({(r.entity_type, r.item_id) for r in found}) == len(found) and [r.keyword_rank for r in sorted(found, key=lambda r: r.keyword_rank)] == list(range(1, len(found) + 1))
@@ -188,3 +188,76 @@ def test_lsh_recall(spark):
     asked = rows.where("vec_id % 30 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
     got = semantic.recall(semantic.lsh_candidates(rows, asked, 64), semantic.nearest_batch(rows, asked, 10, 64)).toPandas()["recall"]
     assert len(got) == 20 and got.mean() >= 0.9
+
+
+def test_line_chunks_overlap():
+    text = "\n".join(f"line {i} " + "x" * (i % 7) for i in range(200))
+    got = representations.chunk_lines(text, target=50, overlap=10)
+    rows = text.split("\n")
+    assert len(got) > 5 and all(len(c[0]) <= 50 * 4 for c in got) and {c[1] for c in got} == {"window"}
+    covered = set()
+    for t, _, first in got:
+        assert t.split("\n") == [x.strip() if i in (0, len(t.split("\n")) - 1) else x for i, x in enumerate(rows[first - 1 : first - 1 + len(t.split("\n"))])] or t.replace(" ", "") == "\n".join(rows[first - 1 : first - 1 + len(t.split("\n"))]).replace(" ", "")
+        covered |= set(range(first - 1, first - 1 + len(t.split("\n"))))
+    assert covered == set(range(200)) and all(b[2] < a[2] + len(a[0].split("\n")) for a, b in zip(got, got[1:]))
+    assert representations.chunk_lines("one\ntwo") == [("one\ntwo", "single", 1)] and representations.chunk_lines(None) == []
+    assert [c[0] for c in representations.chunk_lines("y" * 5000 + "\nend", target=50)] == ["y" * 5000, "end"]
+
+
+def test_captions_that_come_twice():
+    assert ingest.roll_up(["we go", "we go home", "go home now", "go home now", "home now then"]) == ["we go home", "now", "then"]
+
+
+def test_composed_and_decomposed_letters_are_one(spark):
+    for f in (X.compact, X.preserve, X.query_form, X.text_hash):
+        assert one(spark, f(F.lit("Cafe\u0301 X"))) == one(spark, f(F.lit("Caf\u00e9 X")))
+    assert one(spark, X.compact(F.lit(None).cast("string"))) is None and one(spark, X.nfc(F.lit("\uac00 \u1100\u1161"))) == "\uac00 \uac00"
+
+
+def test_stores_and_limits(spark, tmp_path):
+    from corpusforge.operators import contribute
+    from corpusforge.plans.protocols import ParquetStore, RateLimiter
+
+    store = ParquetStore(spark, f"{tmp_path}/store")
+    store.write(spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "d")], "item long, chunk int, t string"))
+    store.replace(spark.createDataFrame([(1, 0, "new")], "item long, chunk int, t string"), ["item"])
+    store.drop(spark.createDataFrame([(2,)], "item long"), ["item", "chunk"])
+    assert sorted(map(tuple, store.read().collect())) == [(1, 0, "new"), (3, 0, "d")]
+    now, slept = [0.0], []
+    limit = RateLimiter(2, 10, lambda: now[0], slept.append)
+    assert [limit.wait() for _ in range(3)] == [0, 0, 10] and slept == [10]
+    key, row = contribute.issue_key(7)
+    known = spark.createDataFrame([(row["api_key_hash"], 7, None)], "api_key_hash string, id long, revoked_at string")
+    asked = spark.createDataFrame([(1, key), (2, key + "x")], "n int, api_key string")
+    assert [(r.n, r.author_id) for r in contribute.authorised(asked, known).collect()] == [(1, 7)]
+
+
+def test_search_documents_follow_their_sources(spark, tmp_path):
+    from corpusforge.operators import search_index
+
+    docs = spark.createDataFrame([(1, "The stupid. Text", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, "item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first = search_index.refresh(spark, str(tmp_path))
+    assert first == search_index.refresh(spark, str(tmp_path)) and spark.read.parquet(first).count() == 3
+    docs.withColumn("doc_id", F.lit(2).cast("long")).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    second = search_index.refresh(spark, str(tmp_path))
+    assert second != first and spark.read.parquet(second).count() == 4
+
+
+def test_retrievers_answer_all_cases_in_one_plan(spark):
+    from corpusforge.plans import retrievers as R
+
+    rows = [("article", "s", "1", "Wan 2.2 guide", "text", None, None), ("message", "s", "2", None, "use wan2.2 now", "bo", "chan"), ("article", "s", "3", "t", "guide about it", None, None)]
+    feed = spark.createDataFrame(rows, "kind string, source string, item_id string, title string, body string, author string, context string").withColumn("created_at", F.lit(None).cast("timestamp_ntz")).withColumn("url", F.lit(""))
+    cases = spark.createDataFrame([(1, "wan2.2"), (2, "guide"), (3, "nowhere"), (4, None)], "case_id long, query string")
+    got = {(r.case_id, r["rank"], r.key) for r in R.REGISTRY["lexical"](feed, cases, 5).collect()}
+    assert got == {(1, 1, "resource:1"), (1, 2, "message:2"), (2, 1, "resource:1"), (2, 2, "resource:3")}
+    kept = R.fixture(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (9, 1, "c")], "case_id long, rank int, key string"))
+    assert [tuple(r) for r in kept(None, cases, 1).collect()] == [(1, 1, "a")]
+    v = [[1.0, 0.0], [0.9, 0.1], [0.0, 1.0]]
+    corpus = spark.createDataFrame([(f"k{i}", x) for i, x in enumerate(v)], "key string, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.05])], "case_id long, embedding array<double>")
+    for near in (R.by_vectors(2), R.by_vectors(2, approximate=True)):
+        assert near(corpus, asked, 1).first()["key"] == "k0" or near(corpus, asked, 1).first()["key"] == "k1"
