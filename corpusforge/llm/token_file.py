@@ -25,19 +25,24 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import Stored, arrow_rows
+from corpusforge.llm.common import Stored, arrow_rows, lean
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17
 END_ID = 2
 STRIDE = 512
-#: Entries of a worker's cache of encoded words, some 200 bytes each.
-CACHE = 1_200_000
+#: Words that a worker remembers, some 50 bytes each, and bytes of text that it encodes together.
+CACHE = 1_000_000
+TOGETHER = 1 << 22
+_TOKENS = 1 << 20
 _HEAD = "<4sIQI"
 #: Marks that are taken off the end of a word.
 MARKS = ".,;:!?"
+#: Words whose lower-casing is by character, and which are composed: letters up to U+024F but for the dotted capital I.
+_NAMED = f"^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[{MARKS}]*$"
 
 
 def pack_levels(ids: np.ndarray) -> bytes:
@@ -126,6 +131,13 @@ class Segment:
         return self.tokens(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def _gathered(ids: np.ndarray, starts: np.ndarray, lens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The pieces of ids numbered `at`, one behind the other."""
+    n = lens[at]
+    end = np.cumsum(n)
+    return ids[np.repeat(starts[at] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+
+
 class WordEncoder:
     """A tokenizers-library encoder that remembers words between blanks.
 
@@ -138,60 +150,94 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.bare, self.letters = (Tokenizer.from_file(path) for _ in range(3))
-        self.bare.normalizer = self.letters.normalizer = None
+        self.whole = Tokenizer.from_file(path)
+        self.bare, self.letters = (Tokenizer(self.whole.model) for _ in range(2))  # one vocabulary for all three
+        self.bare.pre_tokenizer = self.whole.pre_tokenizer
         # A word of letters alone is never split further, so blanks suffice to cut a line of them.
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if any(" " in a.content or "\n" in a.content for a in self.whole.get_added_tokens_decoder().values()):
             raise ValueError("this tokenizer has added tokens with blanks")
-        self.cache: dict[str, bytes] = {}
+        self._forget()
         probe = "It's a Test, ünder\n10 x1."
         if self._library([probe])[0] != b"".join(self._library(probe.replace("\n", " ").split(" "))):
             raise ValueError("this tokenizer looks across white space")
 
+    def _forget(self) -> None:
+        """Empty the memory: the known words, and where the ids of each are and how many."""
+        self.known = pa.array([], pa.string())
+        self.ids, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        plain, odd = [], []
-        for w in words:
-            # Up to U+024F lower-casing is by character and composed letters stay as they are.
-            (plain if w.isprintable() and "<" not in w and (w.isascii() or (max(w) < "ɐ" and unicodedata.is_normalized("NFC", w))) else odd).append(w)
-        # A word of letters and the marks behind it are always apart, so words are encoded without their marks.
-        ends, cores = [], []
-        for w in plain:
-            core = w.rstrip(MARKS)
-            if core and len(core) < len(w) and core.lower().isalpha():
-                ends.append((w, core.lower(), w[len(core) :]))
-        for w, core, mark in ends:
-            cores += [x for x in (core, mark) if x not in self.cache]
-        apart = {w for w, _, _ in ends}
-        plain = list(dict.fromkeys([*cores, *(w for w in plain if w not in apart)]))
-        for alone, encode in ((True, lambda part: self.letters.encode(" ".join(part), add_special_tokens=False)), (False, lambda part: self.bare.encode(part, is_pretokenized=True, add_special_tokens=False))):
-            group = [w for w in plain if w.lower().isalpha() is alone]
-            for at in range(0, len(group), 4096):
-                part = group[at : at + 4096]
-                e = encode([w.lower() for w in part])
-                ids = np.array(e.ids, "<u4").tobytes()
-                cut = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
-                self.cache.update(zip(part, [ids[x:y] for x, y in zip(cut, cut[1:])]))
-        for w, core, mark in ends:
-            self.cache[w] = self.cache[core] + self.cache[mark]
-        if odd:
-            self.cache.update(zip(odd, self._library(odd)))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers. The words of all are learnt together."""
-        lists = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if new := set().union(*lists) - self.cache.keys():
-            self._learn(list(new))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    @staticmethod
+    def _encode(words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
+        ids, lens = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            e = encode(part)
+            ids.append(np.array(e.ids, np.uint32))
+            lens.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def _apart(self, part: list[str]):
+        return self.bare.encode([w.lower() for w in part], is_pretokenized=True, add_special_tokens=False)
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Remember distinct new words; the number of each."""
+        named = pc.match_substring_regex(new, _NAMED).to_numpy(zero_copy_only=False)
+        # Words of letters and the marks behind them are always apart: each is encoded once.
+        fast, slow = new.filter(pa.array(named)), new.filter(pa.array(~named))
+        cores = pc.utf8_lower(pc.utf8_rtrim(fast, MARKS)).dictionary_encode()
+        marks = pc.replace_substring_regex(fast, f"^[^{MARKS}]+", "").dictionary_encode()
+        core_ids, core_lens = self._encode(cores.dictionary.to_pylist(), lambda part: self.letters.encode(" ".join(part), add_special_tokens=False))
+        mark_ids, mark_lens = self._encode(marks.dictionary.to_pylist(), self._apart)
+        n = len(fast)
+        at = np.stack((cores.indices.to_numpy(), marks.indices.to_numpy() + len(core_lens)), axis=1).ravel()
+        lens = np.concatenate((core_lens, mark_lens))
+        ids = [_gathered(np.concatenate((core_ids, mark_ids)), np.cumsum(lens) - lens, lens, at)]
+        lens = [lens[at].reshape(n, 2).sum(axis=1)]
+        # The others: plain ones pass without the normaliser, the rest through all of the library.
+        words = slow.to_pylist()
+        plain = np.array([w.isprintable() and "<" not in w and (w.isascii() or (max(w) < "ɐ" and unicodedata.is_normalized("NFC", w))) for w in words], bool)
+        bare_ids, bare_lens = self._encode([w for w, p in zip(words, plain) if p], self._apart)
+        odd = self._library([w for w, p in zip(words, plain) if not p])
+        ids += [bare_ids, np.frombuffer(b"".join(odd), "<u4")]
+        lens += [bare_lens, np.fromiter(map(len, odd), np.int64, len(odd)) // 4]
+        first, number = len(self.known), np.empty(len(new), np.int64)
+        order = np.concatenate((np.flatnonzero(named), np.flatnonzero(~named)[plain], np.flatnonzero(~named)[~plain]))
+        number[order] = first + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+        lens = np.concatenate(lens)
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lens) - lens))
+        self.lens, self.ids = np.concatenate((self.lens, lens)), np.concatenate((self.ids, *ids))
+        return number
+
+    def encode_all(self, texts) -> list[np.ndarray]:
+        """The ids of each text (an Arrow array of strings, null is empty). The words of all are learnt together."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        if len(self.known) > CACHE:
+            self._forget()
+        found = pc.index_in(words, value_set=self.known)
+        new = found.is_null()
+        number = found.fill_null(0).to_numpy().astype(np.int64)
+        if found.null_count:
+            number[new.to_numpy(zero_copy_only=False)] = self._learn(words.filter(new))
+        code, ends = coded.indices.to_numpy(), [np.zeros(1, np.int64)]
+        out = []
+        for lo in range(0, len(code), _TOKENS):  # bounds the memory for long texts
+            at = number[code[lo : lo + _TOKENS]]
+            out.append(_gathered(self.ids, self.starts, self.lens, at))
+            ends.append(np.cumsum(self.lens[at]) + ends[-1][-1])
+        ids = np.concatenate(out) if out else np.empty(0, np.uint32)
+        cut = np.concatenate(ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return np.split(ids, cut[1:-1]) if len(texts) else []
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -203,6 +249,23 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def _joined(batches, size: int):
+    """Batches of `size` bytes or little more."""
+    held, have = [], 0
+
+    def whole():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    for b in batches:
+        held.append(b)
+        have += b.nbytes
+        if have >= size:
+            yield from whole()
+            held, have = [], 0
+    if held:
+        yield from whole()
+
+
 def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segment: int = SEGMENT, name: str = "token-segments") -> Stored:
     """Encode all texts and write the segments, in ascending doc_id over parts and in them."""
     arrow_rows(docs.sparkSession)
@@ -221,9 +284,9 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segmen
                 names=["part", "seq", "part_start", "n_docs", "n_tokens", "data"],
             )
 
-        for b in batches:
-            for d, coded in zip(b.column(0).to_pylist(), enc.encode_all([t or "" for t in b.column(1).to_pylist()])):
-                x = np.concatenate((np.frombuffer(coded, "<u4"), end))
+        for b in _joined(batches, TOGETHER):
+            for d, coded in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1))):
+                x = np.concatenate((coded, end))
                 if held and held + len(x) > segment:
                     yield flush()
                     seq, done, ids, parts, held = seq + 1, done + held, [], [], 0
@@ -234,13 +297,13 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segmen
             yield flush()
 
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return Stored(rows.mapInArrow(pack, "part int, seq int, part_start long, n_docs int, n_tokens long, data binary"), name)
+    return Stored(rows.mapInArrow(lean(pack), "part int, seq int, part_start long, n_docs int, n_tokens long, data binary"), name)
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
     """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read by rank."""
     spark = segments.sparkSession
-    arrow_rows(spark, 8)
+    arrow_rows(spark)
     sums = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per write task
     bases, at = [], 0
     for r in sums:
@@ -257,7 +320,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                     names=["part", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    rows = segments.select("part", "part_start", "data").mapInArrow(read, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = segments.select("part", "part_start", "data").mapInArrow(lean(read), "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     base = spark.createDataFrame(bases, "part int, base long")
     return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
