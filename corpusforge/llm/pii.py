@@ -47,19 +47,40 @@ LOOSE = {
 }
 
 
+def _let(value, use):
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values, combine, start):
+    """combine of each value with all before it, in log n passes: what is combined over 2^k places is over 2^(k + 1) next."""
+
+    def wider(held, k):
+        return F.transform(held, lambda x, i: combine(x, F.coalesce(F.get(held, i - F.pow(F.lit(2), k).cast("int")), F.lit(start))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int")), values, wider)
+
+
 def spans(text, pattern: str):
-    """Array of (s, e, m): start, end and text of each match, in order."""
+    """Array of (s, e, m, b) of each match, in order: start, end, text, and what stands before it.
+
+    b goes back to the third match before, 64 characters at most; it begins with a blank where the text begins.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    pairs = F.filter(F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g"))), lambda p: p["m"].isNotNull())
 
-    def step(acc, p):
-        s = acc["at"] + p["g"]
-        e = s + F.length(p["m"])
-        return F.struct(F.when(p["m"].isNull(), acc["at"]).otherwise(e).alias("at"), F.when(p["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), p["m"].alias("m")))).alias("out"))
+    def placed(p):
+        ends = _running(F.transform(p, lambda x: F.length(x["g"]) + F.length(x["m"])), lambda x, y: x + y, 0)
+        tail = lambda c: F.substring(c, -64, 64)
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        def before(x, i):
+            one, two = F.get(p, i - 1), F.get(p, i - 2)
+            head = F.when(i <= 2, " ").otherwise("")
+            return tail(F.concat(head, *[F.coalesce(part, F.lit("")) for part in (tail(two["g"]), two["m"], tail(one["g"]), one["m"], tail(x["g"]))]))
+
+        return F.zip_with(F.transform(p, lambda x, i: F.struct(x["m"].alias("m"), before(x, i).alias("b"))), ends, lambda x, e: F.struct((e - F.length(x["m"])).alias("s"), e.alias("e"), x["m"].alias("m"), x["b"].alias("b")))
+
+    return _let(pairs, placed)
 
 
 def _digits(m):
@@ -78,7 +99,7 @@ def luhn(digits):
 
 def base_spans(text) -> dict:
     """The spans of each kind that pass their check."""
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    none = F.array().cast("array<struct<s:int,e:int,m:string,b:string>>")
     joined = F.regexp_replace(F.translate(text, _JOIN, "x"), r"(?<=[0-9])[\x20-](?=[0-9])", _JOIN)
     small = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
     return {
@@ -90,33 +111,45 @@ def base_spans(text) -> dict:
 
 
 def loose_spans(text) -> dict:
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    none = F.array().cast("array<struct<s:int,e:int,m:string,b:string>>")
     guard = {"email": text.rlike(r"@|\(at\)|\[at\]|\{at\}"), "ip": text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "card": text.rlike("[0-9][0-9 -]{10}"), "phone": text.rlike("[0-9][) .-]{1,2}[0-9]{3}")}
     return {k: F.when(guard[k], spans(text, LOOSE[k])).otherwise(none) for k in KINDS}
 
 
-def _context(text, start):
-    """The two words before a place, in lower case and without punctuation at their ends."""
-    before = F.substring(text, F.greatest(start - 63, F.lit(1)), F.least(start, F.lit(64)))
-    two = F.regexp_extract(F.lower(before), r"(?:^|\s)(\S+\s+\S+)\s*$", 1)
+def _context(before):
+    """The two words before a place, in lower case and without punctuation at their ends; none if they take over 60 characters."""
+    two = F.regexp_extract(F.lower(F.translate(before, _JOIN, " ")), r"\s(\S+\s+\S+)\s*$", 1)
     return F.regexp_replace(F.regexp_replace(two, r"[^\p{L}\p{N}\s]+", ""), r"\s+", " ")
 
 
-def _tagged(text, found: dict):
-    return F.array_sort(F.concat(*[F.transform(found[k], _tag(text, n)) for n, k in enumerate(KINDS)]))
+def _tagged(found: dict):
+    return F.array_sort(F.concat(*[F.transform(found[k], _tag(n)) for n, k in enumerate(KINDS)]))
+
+
+def _tag(n: int):
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), x["e"].alias("e"), F.lower(F.regexp_replace(x["m"], f"[\\s{_JOIN}-]+", "")).alias("v"), _context(x["b"]).alias("c"))
+
+
+def _apart(base, loose):
+    """The loose spans that overlap no base span, by running ends from the left and starts from the right."""
+    most = (1 << 31) - 1
 
+    def placed(every):
+        ends = _running(F.transform(every, lambda x: F.when(x["t"] == 0, x["x"]["e"]).otherwise(-1)), lambda x, y: F.greatest(x, y), -1)
+        starts = F.reverse(_running(F.transform(F.reverse(every), lambda x: F.when(x["t"] == 0, x["s"]).otherwise(most)), lambda x, y: F.least(x, y), most))
+        free = F.zip_with(F.zip_with(every, ends, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), starts, lambda p, s: F.when((p["x"]["t"] == 1) & (p["e"] <= p["x"]["s"]) & (s >= p["x"]["x"]["e"]), p["x"]["x"]))
+        return F.filter(free, lambda x: x.isNotNull())
 
-def _tag(text, n: int):
-    return lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("k"), x["e"].alias("e"), F.lower(F.regexp_replace(x["m"], f"[\\s{_JOIN}-]+", "")).alias("v"), _context(text, x["s"]).alias("c"))
+    of = lambda spans_, t: F.transform(spans_, lambda x: F.struct(x["s"].alias("s"), F.lit(t).alias("t"), x.alias("x")))
+    return _let(F.array_sort(F.concat(of(base, 0), of(loose, 1))), placed)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and loose: arrays of (s, k, e, v, c): start, kind number, end, value and context, in order."""
     text = F.col("_text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    rows = rows.withColumn("base", _tagged(text, base_spans(text))).withColumn("loose", _tagged(text, loose_spans(text)))
-    apart = F.filter("loose", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return rows.select("doc_id", "base", apart.alias("loose"))
+    rows = rows.withColumn("base", _tagged(base_spans(text))).withColumn("loose", _tagged(loose_spans(text)))
+    return rows.select("doc_id", "base", F.when(F.size("loose") > 0, _apart(F.col("base"), F.col("loose"))).otherwise(F.col("loose")).alias("loose"))
 
 
 def confident_patterns(found: DataFrame) -> DataFrame:
