@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import arrow_rows
+from corpusforge.llm.common import arrow_rows, lean, unused
 
 BUCKETS = 1 << 15
 SMOOTH = 0.2
@@ -31,6 +31,8 @@ ROUNDS = 10
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
 _BLOCK = 1 << 20
+#: Cells of all languages that a worker infers over at a time.
+_CELLS = 1 << 21
 
 
 @lru_cache(1)
@@ -85,11 +87,12 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "cell", "n"])
 
-    rows = docs.where("lang IS NOT NULL").select("text", "lang").mapInArrow(count, "lang string, cell int, n long")
+    few = docs.where("lang IS NOT NULL").select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if few > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} values of lang; the model is bounded to them")
+    rows = docs.where("lang IS NOT NULL").select("text", "lang").mapInArrow(lean(count), "lang string, cell int, n long")
     model = rows.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(model.column("lang").to_pylist()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} values of lang; the model is bounded to {MAX_LANGUAGES}")
     counts = np.zeros((BUCKETS, len(names)))
     of = {x: i for i, x in enumerate(names)}
     counts[model.column("cell").to_numpy(), [of[x] for x in model.column("lang").to_pylist()]] = model.column("n").to_numpy()
@@ -155,12 +158,30 @@ def infer(grams: list[tuple[np.ndarray, np.ndarray]], log_p: np.ndarray) -> np.n
     return out
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """All columns of docs with lang_pred (the language of the largest proportion) and score (that proportion)."""
+def _parts(grams: list, some: list[int], languages: int):
+    """Runs of the numbers `some` whose documents have _CELLS cells of all languages together, or one document."""
+    part, size = [], 0
+    for i in some:
+        n = len(grams[i][0]) * languages
+        if part and size + n > _CELLS:
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += n
+    if part:
+        yield part
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of docs with `pred` (the language of the largest proportion) and `score` (that proportion).
+
+    Columns of docs that are called so are replaced.
+    """
+    out = pred, score
     spark = docs.sparkSession
     arrow_rows(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
     docs = docs.select(*names)
 
     def each(batches):
@@ -169,15 +190,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             grams = [trigrams(t) if langs else None for t in b.column("text").to_pylist()]
             some = [i for i, g in enumerate(grams) if g]
             pred, score = [UNDETERMINED] * len(grams), [0.0] * len(grams)
-            for at in range(0, len(some), 64):
-                part = some[at : at + 64]
+            for part in _parts(grams, some, len(langs)):
                 for i, row in zip(part, infer([grams[i] for i in part], log_p)):
                     best = int(row.argmax())
                     pred[i], score[i] = langs[best], min(1.0, float(row[best]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, *out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(each, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(lean(each), f"{schema}, `{out[0]}` string, `{out[1]}` double")
 
 
 def held_out(doc_id, parts: int, part: int):
@@ -187,5 +207,6 @@ def held_out(doc_id, parts: int, part: int):
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents that are mostly in one language: those without a letter, or with no language at `least`, go."""
     model = train(docs)
-    known = identify(docs, model)
-    return known.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select(*docs.columns)
+    pred, score = unused(docs.columns, "lang_pred", "score")
+    known = identify(docs, model, pred, score)
+    return known.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)
