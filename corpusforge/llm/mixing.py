@@ -21,9 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusforge.llm.common import unused
+
 BLOCK = 64
 TEMPERATURE = 0.7
 RESOLUTION = 10_000
+#: Most slots of a period that are broadcast, some 60 bytes each; beyond, the schedule is joined by a shuffle.
+BROADCAST_SLOTS = 500_000
 #: Rows of a source that one task orders at a time.
 BUCKET = 20_000
 
@@ -58,30 +62,35 @@ def period(weights: dict) -> list:
     return out
 
 
-def ranked(docs: DataFrame) -> DataFrame:
-    """docs with `_key` (source, null apart), `_rank` (from 0 in its source) and `_n` (rows of the source).
+def _key():
+    return F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+
+
+def ranked(docs: DataFrame, key: str, rank: str) -> DataFrame:
+    """docs with `key` (source, null apart) and `rank` (from 0 in its source).
 
     Order in a source: a hash of the row. Buckets of the hash are counted first, then ordered each by itself, so a hot
     source is spread over many tasks.
     """
-    rows = docs.withColumn("_key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
-    rows = rows.withColumn("_h", F.xxhash64(F.lit("mix"), "doc_id", "text"))
+    h, b, row, c, ahead = unused([*docs.columns, key, rank], "_h", "_b", "_row", "_c", "_before")
+    rows = docs.withColumn(key, _key()).withColumn(h, F.xxhash64(F.lit("mix"), "doc_id", "text"))
     buckets = max(64, -(-docs.count() // BUCKET))
-    rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    sizes = rows.groupBy("_key", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    ahead = Window.partitionBy("_key").orderBy("_b")
-    before = sizes.select("_key", "_b", (F.sum("_c").over(ahead) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy("_key")).alias("_n"))
-    inner = Window.partitionBy("_key", "_b").orderBy("_h", "doc_id")
-    rows = rows.withColumn("_row", F.row_number().over(inner))
-    return rows.join(before, ["_key", "_b"]).withColumn("_rank", F.col("_before") + F.col("_row") - 1).drop("_b", "_h", "_before", "_row")
+    rows = rows.withColumn(b, F.pmod(h, F.lit(buckets)))
+    sizes = rows.groupBy(key, b).agg(F.count(F.lit(1)).alias(c))
+    before = sizes.select(key, b, (F.sum(c).over(Window.partitionBy(key).orderBy(b)) - F.col(c)).alias(ahead))
+    rows = rows.withColumn(row, F.row_number().over(Window.partitionBy(key, b).orderBy(h, "doc_id")))
+    return rows.join(before, [key, b]).withColumn(rank, F.col(ahead) + F.col(row) - 1).drop(b, h, ahead, row)
 
 
-def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
-    """docs, once for each time it is scheduled, with slot, epoch, block_no and place (its row in the block).
+def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, names: tuple = ("slot", "epoch", "block_no", "place")) -> DataFrame:
+    """docs, once for each time it is scheduled, with its slot, epoch, block_no and place (its row in the block).
 
-    weights: by source (None for null source); sizes to the power TEMPERATURE if not given.
+    weights: by source (None for null source); sizes to the power TEMPERATURE if not given. names: of the four columns;
+    columns of docs that are called so are replaced.
     """
     spark = docs.sparkSession
+    slot, epoch, block_no, place = names
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in {n.lower() for n in names}])
     sizes = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     if weights is None:
         weights = {k: n**TEMPERATURE for k, n in sizes.items()}
@@ -94,22 +103,26 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -
     horizon = max((-(-blocks[k] * total // share[k]) for k in sizes), default=0)
     seen: dict = {k: 0 for k in share}
     rows = []
-    for slot, k in enumerate(period(share) if share else []):
-        rows.append(("n" if k is None else f"s{k}", seen[k], slot, share[k], blocks[k]))
+    for at, k in enumerate(period(share) if share else []):
+        rows.append(("n" if k is None else f"s{k}", seen[k], at, share[k], blocks[k]))
         seen[k] += 1
-    form = T.StructType([T.StructField(n, t) for n, t in (("_key", T.StringType()), ("_i", T.LongType()), ("_slot", T.LongType()), ("_w", T.LongType()), ("_blocks", T.LongType()))])
+    key, rank, i, s, w, n, turn = unused([*docs.columns, *names], "_key", "_rank", "_i", "_slot", "_w", "_n", "_turn")
+    form = T.StructType([T.StructField(name, t) for name, t in ((key, T.StringType()), (i, T.LongType()), (s, T.LongType()), (w, T.LongType()), (n, T.LongType()))])
     table = spark.createDataFrame(rows, form)
-    per = table.groupBy("_key").agg(F.first("_w").alias("_w"), F.first("_blocks").alias("_blocks"))
-    out = ranked(docs).join(F.broadcast(per), "_key")
-    out = out.withColumn("block_no", F.floor(F.col("_rank") / block)).withColumn("place", F.col("_rank") % block)
+    few = len(rows) <= BROADCAST_SLOTS
+    per = table.groupBy(key).agg(F.first(w).alias(w), F.first(n).alias(n))
+    out = ranked(docs, key, rank).join(F.broadcast(per) if few else per, key)
+    out = out.withColumn(block_no, F.floor(F.col(rank) / block)).withColumn(place, F.col(rank) % block)
     # Turns of the block: block_no, block_no + blocks, ... as long as its source gets that many slots by the horizon.
-    most = F.floor(F.lit(horizon) * F.col("_w") / F.lit(max(total, 1))) + 1
-    out = out.withColumn("_turn", F.explode(F.sequence(F.col("block_no"), F.greatest(most, F.col("block_no")), F.col("_blocks"))))
-    out = out.withColumn("_i", F.col("_turn") % F.col("_w")).join(F.broadcast(table.select("_key", "_i", "_slot")), ["_key", "_i"])
-    out = out.withColumn("slot", F.floor(F.col("_turn") / F.col("_w")) * total + F.col("_slot")).withColumn("epoch", F.floor(F.col("_turn") / F.col("_blocks")))
-    return out.where((F.col("slot") < horizon) | (F.col("epoch") == 0)).select(*docs.columns, "slot", "epoch", "block_no", "place")
+    most = F.floor(F.lit(horizon) * F.col(w) / F.lit(max(total, 1))) + 1
+    out = out.withColumn(turn, F.explode(F.sequence(F.col(block_no), F.greatest(most, F.col(block_no)), F.col(n))))
+    slots = table.select(key, i, s)
+    out = out.withColumn(i, F.col(turn) % F.col(w)).join(F.broadcast(slots) if few else slots, [key, i])
+    out = out.withColumn(slot, F.floor(F.col(turn) / F.col(w)) * total + F.col(s)).withColumn(epoch, F.floor(F.col(turn) / F.col(n)))
+    return out.where((F.col(slot) < horizon) | (F.col(epoch) == 0)).select(*docs.columns, *names)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK) -> DataFrame:
     """The mixture, a row for each time that a document is scheduled; columns of docs."""
-    return schedule(docs, weights, block).select(*docs.columns)
+    names = tuple(unused(docs.columns, "slot", "epoch", "block_no", "place"))
+    return schedule(docs, weights, block, names).select(*docs.columns)
