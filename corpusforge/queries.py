@@ -622,9 +622,9 @@ def _(s, d):
     return quality.missing_chunks(c, ["conv_id"])
 
 
-@query("duplicate_chunk_hash", "SELECT sha256(text) AS chunk_hash, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
+@query("duplicate_chunk_hash", "SELECT sha256(text) AS chunk_hash, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def _(s, d):
-    return feed.read(s, d, "conversations").groupBy(F.sha2("text", 256).alias("chunk_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return feed.read(s, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("chunk_hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("distinct_embeddable", "SELECT sha256(text) AS chunk_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
