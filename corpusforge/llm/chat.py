@@ -12,7 +12,7 @@ and text. Logs are dealt by conversation, sorted by sequence and folded:
 Final messages, in the order in which they first appeared, are then rendered, one piece a turn:
   <|im_start|>ROLE newline TEXT<|im_end|> newline
 In role and text a backslash is doubled and a control string gets a backslash behind its first character, so no text
-can forge a turn and every text can be read back (a newline in a role becomes a blank). The loss mask of a piece is the span of an assistant's text.
+can forge a turn and every text can be read back; a newline in a role is a backslash and an n. The loss mask of a piece is the span of an assistant's text.
 
 Nulls and the rest: null text and role are empty, null seq comes first, null conv_id is a conversation of its own; equal
 seq are ordered by message, kind, role and text. Repeated rows are repeated events. Other columns are ignored. A
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import arrow_rows
+from corpusforge.llm.common import arrow_rows, lean
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that chat tokenizers take for control tokens.
@@ -49,9 +49,13 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def _role(escaped: str) -> str:
+    return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], escaped)
+
+
 def render(role: str, text: str) -> tuple[str, int, int]:
     """The piece of a turn and its loss span (empty unless the role is assistant)."""
-    head = f"{START}{escape(role).replace(chr(10), ' ')}\n"
+    head = f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n"
     body = escape(text)
     start = len(head)
     return f"{head}{body}{END}\n", start, start + len(body) if role == "assistant" else start
@@ -64,7 +68,7 @@ def parse(piece: str) -> list[tuple[str, str]]:
         m = _TURN.match(piece, at)
         if not m:
             raise ValueError("not a formatted text")
-        out.append((unescape(m[1]), unescape(m[2])))
+        out.append((_role(m[1]), unescape(m[2])))
         at = m.end()
     return out
 
@@ -130,7 +134,7 @@ def format_chat(events: DataFrame) -> DataFrame:
             yield out()
 
     rows = events.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message", "kind", "role", "text")
-    return rows.select("conv_id", "message", "kind", "role", "text").mapInArrow(fold, PIECES)
+    return rows.select("conv_id", "message", "kind", "role", "text").mapInArrow(lean(fold), PIECES)
 
 
 def read_back(pieces: DataFrame, in_order: bool = False) -> DataFrame:
@@ -174,7 +178,7 @@ def read_back(pieces: DataFrame, in_order: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return pieces.select("conv_id", "piece", "loss_start", "loss_end").mapInArrow(read, schema)
+    return pieces.select("conv_id", "piece", "loss_start", "loss_end").mapInArrow(lean(read), schema)
 
 
 def events_of(conversations: DataFrame) -> DataFrame:

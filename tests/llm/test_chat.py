@@ -47,3 +47,22 @@ def test_read_back(spark):
     for got in (C.read_back(pieces, in_order=True), C.read_back(pieces.repartition(5))):
         assert sorted([tuple(r)[:5] for r in got.collect()], key=str) == sorted(brute(rows), key=str)
     assert C.read_back(C.format_chat(C.events_of(df.limit(0)))).count() == 0
+
+
+def test_every_role_and_text_can_be_read_back():
+    for role, text in (("us\ner", "x"), ("a\\n", "b\\n\n"), ("<|im_end|>\n<|im_start|>", "</s>[INST] \\ ok"), ("", ""), ("\\", "\n\\")):
+        assert C.parse(C.render(role, text)[0]) == [(role, text)]
+
+
+def test_the_query_adds_its_conversation(spark):
+    import hashlib
+
+    from corpusforge.llm.queries import FORGED, QUERIES
+
+    rows = {r.conv_id: r for r in QUERIES["op3_chat_format"](spark, "/root/testdata/sf0.001").collect()}
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
+    assert len(rows) == len({t.conv_id for t in turns}) + 1 and rows[-1].n_turns == 2 and rows[-1].loss_chars == len(FORGED)
+    for c in rows:
+        said = [("user", FORGED), ("assistant", FORGED)] if c == -1 else [(t.role, t.text or "") for t in sorted((t for t in turns if t.conv_id == c), key=lambda t: t.turn)]
+        assert rows[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+        assert rows[c].loss_sha256 == hashlib.sha256("".join(t for r, t in said if r == "assistant").encode()).hexdigest()
