@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.functions.text import text_hash, token_estimate
@@ -52,17 +52,26 @@ def coverage_gates(samples: DataFrame) -> DataFrame:
     )
 
 
+def chunk_gaps(chunks: DataFrame, item: list[str]) -> DataFrame:
+    """first and last of each run of chunk numbers that an item lacks below its highest; a wild number makes one row."""
+    w = Window.partitionBy(*item).orderBy("chunk_index")
+    seen = chunks.select(*item, F.col("chunk_index").cast("long").alias("chunk_index")).distinct()
+    seen = seen.withColumn("_before", F.coalesce(F.lag("chunk_index").over(w), F.lit(-1)))
+    return seen.where(F.col("chunk_index") > F.col("_before") + 1).select(*item, (F.col("_before") + 1).alias("first"), (F.col("chunk_index") - 1).alias("last"))
+
+
 def release_invariants(chunks: DataFrame, owners: DataFrame, item: list[str]) -> DataFrame:
     """Orphan chunks, repeated chunk hashes within an item, and gaps in chunk numbers."""
     orphans = chunks.join(owners.select(*item).distinct(), item, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
-    per = chunks.groupBy(*item).agg((F.count(F.lit(1)) - F.countDistinct("chunk_hash")).alias("repeated"), F.size(F.array_except(F.sequence(F.lit(0), F.max("chunk_index")), F.collect_set("chunk_index"))).alias("gaps"))
-    return orphans.crossJoin(per.agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated_hashes"), F.count_if(F.col("gaps") > 0).alias("items_with_gaps")))
+    per = chunks.groupBy(*item).agg((F.count(F.lit(1)) - F.countDistinct("chunk_hash")).alias("repeated"))
+    gaps = chunk_gaps(chunks, item).select(*item).distinct().agg(F.count(F.lit(1)).alias("items_with_gaps"))
+    return orphans.crossJoin(per.agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated_hashes"))).crossJoin(gaps)  # one row each
 
 
-def missing_chunks(chunks: DataFrame, item: list[str]) -> DataFrame:
-    """Numbers below the highest that an item lacks."""
-    seen = chunks.groupBy(*item).agg(F.max("chunk_index").alias("top"), F.collect_set("chunk_index").alias("have"))
-    return seen.select(*item, F.explode(F.array_except(F.sequence(F.lit(0), "top"), "have")).alias("missing"))
+def missing_chunks(chunks: DataFrame, item: list[str], block: int = 10_000) -> DataFrame:
+    """Numbers below the highest that an item lacks; long runs are told a block at a time."""
+    runs = chunk_gaps(chunks, item).withColumn("_at", F.explode(F.sequence("first", "last", F.lit(block).cast("long"))))
+    return runs.select(*item, F.explode(F.sequence("_at", F.least(F.col("_at") + block - 1, "last"))).alias("missing"))
 
 
 def count_mismatch(state: DataFrame, chunks: DataFrame, item: list[str]) -> DataFrame:
