@@ -16,7 +16,7 @@ from corpusforge.functions import vectors as V
 from corpusforge.operators import contribute, evaluation, feed, lexical, lifecycle, quality, representations, search, search_index, semantic, semantics
 from corpusforge.plans import retrievers
 from corpusforge.plans.query import Filters
-from corpusforge.sources import ingest
+from corpusforge.sources import ingest, tables
 from corpusforge.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1094,3 +1094,103 @@ def _(s, d):
     worked = c.select("conv_id").distinct().where("conv_id % 4 > 0").withColumn("outcome", F.when(i == 1, "completed").when(i == 2, "dropped").otherwise("source_changed"))
     new = c.select("conv_id").distinct().select("conv_id", F.lit(0).cast(c.schema["turn"].dataType).alias("turn"), F.lit("new").alias("version"))
     return lifecycle.finalize(c, worked, new, ["conv_id"])
+
+
+# Small rules, each by itself ------------------------------------------------------------------------------------------
+
+
+@query("item_ids_filter", FEED + "SELECT entity_type, item_id, title FROM feed WHERE entity_type = 'distillation' AND kind = 'distillation' AND item_id IN ('0', '1', '4', '7', '999999')")
+def _(s, d):
+    f = Filters(kinds=["distillation"], item_ids=["0", "1", "4", "7", "999999"])
+    f.check()
+    return _feed(s, d).where(f.predicate()).select("entity_type", "item_id", "title")
+
+
+@query("soft_deleted_view", "SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0")
+def _(s, d):
+    i = F.col("doc_id") % 3
+    rows = feed.read(s, d, "documents").select("doc_id", "lang", F.when(i == 0, True).when(i == 1, False).alias("is_deleted"), F.lit("p").alias("payload"))
+    return contribute.public_view(rows).select("doc_id", "lang")
+
+
+@query("cite_parse", "SELECT p_partkey, concat('resource:', p_partkey, ',distillation:7') AS cites FROM part")
+def _(s, d):
+    """Repeated and malformed parts are dropped, blanks around a part don't matter."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("resource:"), k, F.lit(" ,distillation:7, bad, :x,resource:"), k, F.lit(",page:1,message:"))
+    said = F.transform(X.cites(text), lambda c: F.concat_ws(":", c["kind"], c["id"]))
+    return feed.read(s, d, "part").select("p_partkey", F.array_join(said, ",").alias("cites"))
+
+
+@query("body_truncation", "SELECT doc_id, CASE WHEN length(text) > 700 THEN concat(left(text, 700), '…') ELSE text END AS body FROM documents")
+def _(s, d):
+    return feed.read(s, d, "documents").select("doc_id", X.truncate_body("text").alias("body"))
+
+
+@query("error_redaction", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('call failed: bearer [redacted] ', event_id) WHEN 1 THEN concat('password=[redacted] at ', event_id) WHEN 2 THEN concat('get https://[redacted]@host/', event_id) ELSE repeat('x', 500) END AS error FROM events")
+def _(s, d):
+    i = F.col("event_id").cast("string")
+    e = F.col("event_id") % 4
+    said = F.when(e == 0, F.concat(F.lit("call failed: Bearer abc.def "), i)).when(e == 1, F.concat(F.lit("password=hunter2 at "), i)).when(e == 2, F.concat(F.lit("get https://me:secret@host/"), i)).otherwise("x" * 600)
+    return feed.read(s, d, "events").select("event_id", X.redact_error(said).alias("error"))
+
+
+@query("query_forms", f"SELECT p_partkey, trim(regexp_replace(nfc_normalize({ACCENTED.format('p_partkey', 'p_name')}), '\\s+', ' ', 'g')) AS form FROM part")
+def _(s, d):
+    rows = feed.read(s, d, "part").withColumn("q", F.concat(F.lit("  "), F.regexp_replace(_accented("p_partkey", "p_name"), " ", " \n "), F.lit("\t")))
+    return rows.select("p_partkey", X.query_form("q").alias("form"))
+
+
+@query("tags_text", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('a t', event_id % 5) WHEN 1 THEN 'b c' ELSE '' END AS tags FROM events")
+def _(s, d):
+    i = F.col("event_id")
+    text = F.when(i % 3 == 0, F.concat(F.lit('{"tags": ["a", "t'), (i % 5).cast("string"), F.lit('"], "summary": {"tags": ["a"]}}'))).when(i % 3 == 1, F.lit('{"summary": {"tags": ["b", "c", "b"]}}')).otherwise(F.lit('{"tags": 5'))
+    return feed.read(s, d, "events").select("event_id", semantics.tags_text(text).alias("tags"))
+
+
+@query("semantics_lines", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat('media=video', chr(10), 'task=text_to_video', chr(10), 'families=wan', chr(10), 'aliases=wan, text_to_video, video, text to video', chr(10), 'nodes=A, K', chr(10), 'models=m') ELSE concat('models=m') END AS lines, p_partkey % 2 = 0 AS appended FROM part")
+def _(s, d):
+    even = F.col("p_partkey") % 2 == 0
+    rows = feed.read(s, d, "part").select("p_partkey", F.when(even, "wan t2v").otherwise("-").alias("title"), F.when(even, "b").otherwise(f"x {semantics.MARK} y").alias("body"), F.when(even, F.array(F.lit("K"), F.lit("A"), F.lit("K"))).otherwise(F.array().cast("array<string>")).alias("nodes"), F.array(F.lit("m")).alias("models"))
+    made = semantics.with_semantics(rows, "title", "body", "nodes", "models")
+    return made.select("p_partkey", F.regexp_replace(semantics.projection(), "(?m)^(media|task)=unknown\n", "").alias("lines"), (semantics.append_to_body("body") != F.col("body")).alias("appended"))
+
+
+@query("stale_semantics", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0")
+def _(s, d):
+    i = F.col("p_partkey") % 3
+    return semantics.stale(feed.read(s, d, "part").select("p_partkey", F.when(i == 0, semantics.VERSION).when(i == 1, 0).alias("semantics_version"))).select("p_partkey")
+
+
+@query("contract_gate", "SELECT vec_id, asked FROM embeddings, (SELECT 'active' AS asked)")
+def _(s, d):
+    """Hits of the one active contract pass; another contract, or none, gives nothing."""
+    hits = feed.read(s, d, "embeddings").select("vec_id")
+    contracts = s.createDataFrame([(1, "active"), (2, "superseded")], "id long, status string")
+    parts = [semantic.gated(hits, contracts, k).withColumn("asked", F.lit(name)) for k, name in ((1, "active"), (2, "superseded"), (None, "none"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("contract_switch", "SELECT count(*) > 0 AS forward, false AS backward FROM embeddings")
+def _(s, d):
+    """A contract that covers all identities may follow one that covers a part of them, not the other way round."""
+    v = feed.read(s, d, "embeddings").select(F.lit("resource").alias("entity_type"), F.col("vec_id").alias("item_id"), F.explode(F.when(F.col("vec_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))).alias("contract_id"))
+    return s.range(1).select(F.lit(lifecycle.switch_allowed(v, 1, 2)).alias("forward"), F.lit(lifecycle.switch_allowed(v, 2, 1)).alias("backward"))
+
+
+@query("embedding_cache_misses", "SELECT DISTINCT sha256(text) AS hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")
+def _(s, d):
+    r = feed.read(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("hash"))
+    cache = tables.compact_cache(r.where("doc_id % 2 = 0").select("hash"), ["hash"])
+    return tables.cache_misses(r, cache, ["hash"]).select("hash")
+
+
+@query("text_entropy", "WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch FROM part), n AS (SELECT p_partkey, ch, count(*) AS k FROM c GROUP BY 1, 2), t AS (SELECT p_partkey, sum(k) AS n FROM n GROUP BY 1) SELECT p_partkey, round(-sum(k / t.n * log2(k / t.n)), 6) AS bits FROM n JOIN t USING (p_partkey) GROUP BY 1")
+def _(s, d):
+    return _six(feed.read(s, d, "part").select("p_partkey", X.entropy("p_name").alias("bits")))
+
+
+@query("scope_pool", "SELECT event_id FROM events WHERE event_type = 'click' ORDER BY ts DESC NULLS LAST, CAST(event_id AS VARCHAR) DESC LIMIT 100")
+def _(s, d):
+    e = feed.read(s, d, "events").where("event_type = 'click'").select("event_id", F.col("event_id").cast("string").alias("item_id"), F.col("ts").alias("created_at"))
+    return search.pool(e).select("event_id")
