@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import Stored, arrow_rows, stored
+from corpusforge.llm.common import Stored, arrow_rows, lean, stored
 
 #: Bytes of context; seven at most, as a context and its byte are one 64-bit number.
 DEPTH = 6
@@ -296,7 +296,7 @@ def _context_counts(docs: DataFrame, buckets: int) -> DataFrame:
         columns = [[x.tobytes() for x in np.split(c[by], first[1:])] for c in (keys, n.astype("<u4"), m.astype("<u4"))]
         return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "keys", "n", "m"])
 
-    return docs.select("text", "held_out").mapInArrow(count, "bucket int, keys binary, n binary, m binary")
+    return docs.select("text", "held_out").mapInArrow(lean(count), "bucket int, keys binary, n binary, m binary")
 
 
 def _bucketed(batches, form: str):
@@ -332,7 +332,7 @@ def context_costs(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names=["bucket", "keys", "n", "m", "names", "logs", "short", "counts"])
 
     form = "bucket int, keys binary, n binary, m binary, names array<long>, logs array<double>, short array<long>, counts array<long>"
-    leaves = Stored(counted.mapInArrow(grow, form), "ctw-leaves")
+    leaves = Stored(counted.mapInArrow(lean(grow), form), "ctw-leaves")
 
     def summed(key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
         got = leaves.df.select(F.explode(F.arrays_zip(key, value)).alias("x")).groupBy(f"x.{key}").agg(F.sum(f"x.{value}").alias("v")).toArrow()
@@ -347,7 +347,7 @@ def context_costs(docs: DataFrame) -> DataFrame:
         for _, keys, n, m in _bucketed(batches, "<i8"):
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(costs(keys, n, shared.value)), pa.array(m)], names=["key", "cost", "m"])
 
-    out = stored(leaves.df.select("bucket", "keys", "n", "m").mapInArrow(cost, "key long, cost double, m long"), "ctw-costs")
+    out = stored(leaves.df.select("bucket", "keys", "n", "m").mapInArrow(lean(cost), "key long, cost double, m long"), "ctw-costs")
     leaves.drop()
     return out
 
@@ -374,7 +374,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield from merged().to_batches()
 
-    rows = docs.select("text").mapInArrow(count, "word string, n long").where("word != ''")
+    rows = docs.select("text").mapInArrow(lean(count), "word string, n long").where("word != ''")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -477,7 +477,7 @@ def score_documents(docs: DataFrame, head: int = HEAD, word_head: int = WORD_HEA
 
     ids = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id", "held_out")
-    parts = stored(rows.mapInArrow(look_up, ", ".join(f"{f} {t}" for f, t in fields.items())), "lm-parts")
+    parts = stored(rows.mapInArrow(lean(look_up), ", ".join(f"{f} {t}" for f, t in fields.items())), "lm-parts")
     bytes_ = parts.where("key IS NOT NULL").select("row", "key").join(each.select("key", "cost"), "key").groupBy("row").agg(F.sum("cost").alias("more"))
     n = F.coalesce("n", F.lit(0))
     odd = parts.where("word IS NOT NULL").select("row", "word", "k").join(words, "word", "left").groupBy("row")

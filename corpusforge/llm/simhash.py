@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import arrow_rows, components, stored, without
+from corpusforge.llm.common import arrow_rows, components, lean, stored, without
 
 RADIUS = 3
 SEED = 42
@@ -32,28 +32,37 @@ LARGE = 2048
 _STEP = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The unsigned 64-bit SimHash of a text."""
+def shingle_hashes(text: str | None, words: int = 3):
+    """XXH64 of a text's shingles, repeats included, some _STEP at a time; none for a text without a word."""
     from xxhash import xxh64_intdigest as h
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    if len(w) < words:
-        return h(b" ".join(w), SEED)
-    ones, n = np.zeros(64, np.int64), len(w) - words + 1
-    for at in range(0, n, _STEP):
+    if w and len(w) < words:
+        yield np.array([h(b" ".join(w), SEED)], np.uint64)
+    for at in range(0, len(w) - words + 1, _STEP):
         part = w[at : at + _STEP + words - 1]
         line = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         m = len(part) - words + 1
-        got = np.fromiter([h(line[s:e], SEED) for s, e in zip(starts[:m].tolist(), ends[words - 1 :].tolist())], np.uint64, m)
-        bits = np.unpackbits(got.view(np.uint8).reshape(m, 8), axis=1, bitorder="little")
+        yield np.fromiter([h(line[s:e], SEED) for s, e in zip(starts[:m].tolist(), ends[words - 1 :].tolist())], np.uint64, m)
+
+
+def folded(hashes) -> int:
+    """The SimHash of hashes, given in arrays: a bit is set if it is set in over half of them; zero for none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for got in hashes:
+        bits = np.unpackbits(got.view(np.uint8).reshape(len(got), 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
+        n += len(got)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a text."""
+    return folded(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
     arrow_rows(docs.sparkSession)
@@ -64,7 +73,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(each), f"doc_id {kind}, fp long")
 
 
 class BKTree:
@@ -174,8 +183,8 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held and (out := flush()):
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
-    arrow_rows(values.sparkSession, 10_000)
-    return keyed.repartition(n, "shard", "bits").sortWithinPartitions("shard", "bits", "fp").mapInArrow(search, "u long, v long")
+    arrow_rows(values.sparkSession)
+    return keyed.repartition(n, "shard", "bits").sortWithinPartitions("shard", "bits", "fp").mapInArrow(lean(search), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

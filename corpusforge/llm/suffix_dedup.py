@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import arrow_rows, stored
+from corpusforge.llm.common import arrow_rows, lean, stored
 
 LENGTH = 200
 GRAM = 64
@@ -318,7 +318,7 @@ def _find_anchors(rows: DataFrame) -> DataFrame:
             more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n - 1))).astype(np.int32)), values, mask=pa.array(n == 1))
             yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array(at[first]), pa.array(h[first].view(np.int64)), pa.array(r[first].view(np.int64)), pa.array(n), more], names=["row", "at", "a", "r", "n", "more"])
 
-    return rows.select("row", "text").mapInArrow(find, "row long, at int, a long, r long, n long, more array<struct<row: long, at: int>>")
+    return rows.select("row", "text").mapInArrow(lean(find), "row long, at int, a long, r long, n long, more array<struct<row: long, at: int>>")
 
 
 def _regions(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def _regions(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["a", "row", "start", "part"])
 
     per_row = wanted.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("at", "a", "hot")).alias("w"))
-    return rows.join(per_row, F.col("row") == F.col("_row")).select("row", "text", "w").mapInArrow(cut, "a long, row long, start int, part binary")
+    return rows.join(per_row, F.col("row") == F.col("_row")).select("row", "text", "w").mapInArrow(lean(cut), "a long, row long, start int, part binary")
 
 
 def _sort_regions(regions: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def _sort_regions(regions: DataFrame) -> DataFrame:
         if parts:
             yield flush()
 
-    return regions.repartition("a").sortWithinPartitions("a", "row", "start").mapInArrow(work, "row long, low int, high int")
+    return regions.repartition("a").sortWithinPartitions("a", "row", "start").mapInArrow(lean(work), "row long, low int, high int")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -433,4 +433,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole_rows = rows.join(lists, F.col("row") == F.col("_row"), "left").select("doc_id", "text", "runs")
-    return whole_rows.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return whole_rows.mapInArrow(lean(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
