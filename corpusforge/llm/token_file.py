@@ -35,8 +35,8 @@ SEGMENT = 1 << 17
 END_ID = 2
 STRIDE = 512
 #: Words that a worker remembers, some 50 bytes each, and bytes of text that it encodes together.
-CACHE = 1_000_000
-TOGETHER = 1 << 22
+CACHE = 300_000
+TOGETHER = 1 << 20
 _TOKENS = 1 << 20
 _HEAD = "<4sIQI"
 #: Marks that are taken off the end of a word.
@@ -240,15 +240,6 @@ class WordEncoder:
         return self.encode_all(pa.array([text], pa.string()))[0]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 def _joined(batches, size: int):
     """Batches of `size` bytes or little more."""
     held, have = [], 0
@@ -274,7 +265,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segmen
         from pyspark import TaskContext
 
         part, seq, done = TaskContext.get().partitionId(), 0, 0
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4")
+        enc, end = WordEncoder(tokenizer), np.array([end_id], "<u4")
         ids, parts, held = [], [], 0
 
         def flush():
