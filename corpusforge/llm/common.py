@@ -71,6 +71,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables that were written and not dropped, in order.
+_LIVE: list[Stored] = []
+
+
+def mark() -> int:
+    """A place among the tables written, for drop_since."""
+    return len(_LIVE)
+
+
+def drop_since(place: int, *but) -> None:
+    """Drop the tables that were written since then, but for these: nothing may read them any more."""
+    for s in [s for s in _LIVE[place:] if s not in but]:
+        s.drop()
+
+
 class Stored:
     """A table written to the shared folder: it cuts the lineage and survives lost executors."""
 
@@ -80,9 +95,12 @@ class Stored:
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_remove, spark, self.path)
+        _LIVE.append(self)
 
     def drop(self) -> None:
         _remove(self.spark, self.path)
+        if self in _LIVE:
+            _LIVE.remove(self)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
