@@ -36,7 +36,9 @@ TOP = 3
 #: Most contexts and bytes, and words, that are looked up without a join.
 HEAD, WORD_HEAD = 1 << 21, 1 << 18
 #: Bytes of text that are coded at a time, and distinct contexts that a task holds before it merges them.
-_PIECE, _HELD = 1 << 22, 1 << 22
+_PIECE, _HELD = 1 << 20, 1 << 22
+#: Contexts that are counted before they are merged with those that a task holds, and handed on at a time.
+_FRESH, _SENT = 1 << 20, 1 << 18
 _EMPTY = np.uint64((1 << 64) - 1)  # no context: 255 is not a byte of UTF-8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LN2 = float(np.log(2))
@@ -111,7 +113,7 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple:
     """The distinct keys, sorted, and the sums of their counts."""
     if not len(keys):
         return keys, *counts
-    by = np.argsort(keys)
+    by = np.argsort(keys, kind="stable")  # runs that are sorted already
     keys = keys[by]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], *(np.add.reduceat(c[by], first) for c in counts)
@@ -267,34 +269,39 @@ def _context_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """bucket and packed: sorted contexts and bytes, how often each comes in training documents, and how often in all."""
 
     def count(batches):
-        held, size = [], 0
+        held, fresh = [], 0
 
         def merged():
-            return _summed(*(np.concatenate(x) for x in zip(*held)))
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()  # the parts would stay in memory beside the whole
+            keys, *counts = _summed(*columns)
+            return keys, *(c.astype("<u4") for c in counts)
 
         for b in batches:
             texts, out = _bytes(b.column(0)), b.column(1).to_pylist()
             for kind in (False, True):
                 for piece in _pieces([t for t, o in zip(texts, out) if o is kind]):
                     keys, n = np.unique(keys_of([x for _, x in piece])[0], return_counts=True)
-                    held.append((keys, n * (not kind), n))
-                    size += len(keys)
-                    if size > _HELD:
-                        held = [merged()]
-                        size = len(held[0][0])
-                        if size > _HELD // 2:
-                            yield packed(*held[0])
-                            held, size = [], 0
+                    n = n.astype("<u4")
+                    held.append((keys, n * np.uint32(not kind), n))
+                    fresh += len(keys)
+                    if fresh > _FRESH:
+                        held, fresh = [merged()], 0
+                        if len(held[0][0]) > _HELD // 2:
+                            yield from packed(*held.pop())
         if held:
-            yield packed(*merged())
+            held = [merged()]
+            yield from packed(*held.pop())
 
     def packed(keys, n, m):
         bucket = ((keys >> np.uint64(64 - 8 * TOP)) * _MIX >> np.uint64(20)) % np.uint64(buckets)
         by = np.argsort(bucket, kind="stable")
         bucket = bucket[by]
         first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        columns = [[x.tobytes() for x in np.split(c[by], first[1:])] for c in (keys, n.astype("<u4"), m.astype("<u4"))]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "keys", "n", "m"])
+        bucket, ends = bucket[first].astype(np.int32), np.append(first[1:], len(by))
+        for some in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first // _SENT)) + 1):
+            columns = [pa.array([c[by[first[i] : ends[i]]].tobytes() for i in some], pa.binary()) for c in (keys, n, m)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[some]), *columns], names=["bucket", "keys", "n", "m"])
 
     return docs.select("text", "held_out").mapInArrow(lean(count), "bucket int, keys binary, n binary, m binary")
 

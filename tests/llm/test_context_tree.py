@@ -157,3 +157,33 @@ def test_model_beats_the_base_on_held_out_documents(spark):
 
     rows = [r for r in QUERIES["op7_context_tree"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+class Worker:
+    """Stands for a DataFrame, to run a map function here."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, work, form):
+        return work
+
+
+def test_counts_go_on_in_small_batches():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = ["".join(chr(97 + rng.randrange(26)) for _ in range(9000)) + " the end" for _ in range(100)]
+    table = pa.table({"text": texts, "held_out": [i % 5 == 1 for i in range(100)]})
+    got = list(C._context_counts(Worker(), 64)(iter(table.to_batches(max_chunksize=10))))
+    assert len(got) > 1 and all(b.nbytes < 6 << 20 for b in got)
+    of = {}
+    for b in got:
+        for k, n, m in zip(*(c.to_pylist() for c in b.columns[1:])):
+            for key, i, j in zip(np.frombuffer(k, "<u8").tolist(), np.frombuffer(n, "<u4").tolist(), np.frombuffer(m, "<u4").tolist()):
+                x, y = of.get(key, (0, 0))
+                of[key] = x + i, y + j
+    every, m = np.unique(C.keys_of(lines_of(texts))[0], return_counts=True)
+    learnt, n = np.unique(C.keys_of(lines_of(t for i, t in enumerate(texts) if i % 5 != 1))[0], return_counts=True)
+    assert {k: y for k, (_, y) in of.items()} == dict(zip(every.tolist(), m.tolist()))
+    assert {k: x for k, (x, _) in of.items() if x} == dict(zip(learnt.tolist(), n.tolist()))
