@@ -34,11 +34,15 @@ from corpusforge.llm.common import Stored, arrow_rows, lean
 SEGMENT = 1 << 17
 END_ID = 2
 STRIDE = 512
-#: Words that a worker remembers, some 50 bytes each, and bytes of text that it encodes together.
-CACHE = 300_000
+#: Bytes of words and their ids that a task remembers, some 40 a word, and bytes of text that it encodes together.
+CACHE = 24 << 20
 TOGETHER = 1 << 20
+#: Words that pass the library together: some of its work goes with memory that long lines drop out of a core's cache.
+LINE = 1024
 _TOKENS = 1 << 20
 _HEAD = "<4sIQI"
+#: What models put behind the last token of a word.
+_WORD_END = "</w>"
 #: Marks that are taken off the end of a word.
 MARKS = ".,;:!?"
 #: Words whose lower-casing is by character, and which are composed: letters up to U+024F but for the dotted capital I.
@@ -157,6 +161,9 @@ class WordEncoder:
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if any(" " in a.content or "\n" in a.content for a in self.whole.get_added_tokens_decoder().values()):
             raise ValueError("this tokenizer has added tokens with blanks")
+        # Tokens that end a word, where the model marks them so.
+        self.last = np.zeros(max(self.whole.get_vocab().values()) + 1, bool)
+        self.last[[i for w, i in self.whole.get_vocab().items() if w.endswith(_WORD_END)]] = True
         self._forget()
         probe = "It's a Test, ünder\n10 x1."
         if self._library([probe])[0] != b"".join(self._library(probe.replace("\n", " ").split(" "))):
@@ -165,7 +172,7 @@ class WordEncoder:
     def _forget(self) -> None:
         """Empty the memory: the known words, and where the ids of each are and how many."""
         self.known = pa.array([], pa.string())
-        self.ids, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -174,13 +181,29 @@ class WordEncoder:
     def _encode(words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
         ids, lens = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+        for at in range(0, len(words), LINE):
+            part = words[at : at + LINE]
             e = encode(part)
             ids.append(np.array(e.ids, np.uint32))
             lens.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
         return np.concatenate(ids), np.concatenate(lens)
 
+    def _encode_letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone, lower-cased and composed: lines of them, without the library's places of tokens."""
+        ids, lens = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        ends = [*range(0, len(words), LINE), len(words)]
+        for line, n in zip(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), " "), np.diff(ends)):
+            (e,) = self.letters.encode_batch_fast([line.as_py()], add_special_tokens=False)
+            got = np.array(e.ids, np.uint32)
+            last = np.flatnonzero(self.last[got])
+            if len(last) == n and last[-1] == len(got) - 1:
+                ids.append(got)
+                lens.append(np.diff(last, prepend=-1))
+            else:  # a model without such marks
+                for kept, more in zip((ids, lens), self._encode(line.as_py().split(" "), lambda part: self.letters.encode(" ".join(part), add_special_tokens=False))):
+                    kept.append(more)
+        return np.concatenate(ids), np.concatenate(lens)
+
     def _apart(self, part: list[str]):
         return self.bare.encode([w.lower() for w in part], is_pretokenized=True, add_special_tokens=False)
 
@@ -189,9 +212,11 @@ class WordEncoder:
         named = pc.match_substring_regex(new, _NAMED).to_numpy(zero_copy_only=False)
         # Words of letters and the marks behind them are always apart: each is encoded once.
         fast, slow = new.filter(pa.array(named)), new.filter(pa.array(~named))
-        cores = pc.utf8_lower(pc.utf8_rtrim(fast, MARKS)).dictionary_encode()
-        marks = pc.replace_substring_regex(fast, f"^[^{MARKS}]+", "").dictionary_encode()
-        core_ids, core_lens = self._encode(cores.dictionary.to_pylist(), lambda part: self.letters.encode(" ".join(part), add_special_tokens=False))
+        bare = pc.utf8_rtrim(fast, MARKS)
+        cores = pc.utf8_lower(bare).dictionary_encode()
+        marked = pc.not_equal(pc.binary_length(fast), pc.binary_length(bare))
+        marks = pc.replace_with_mask(pa.repeat("", len(fast)), marked, pc.replace_substring_regex(fast.filter(marked), f"^[^{MARKS}]+", "")).dictionary_encode()
+        core_ids, core_lens = self._encode_letters(cores.dictionary)
         mark_ids, mark_lens = self._encode(marks.dictionary.to_pylist(), self._apart)
         n = len(fast)
         at = np.stack((cores.indices.to_numpy(), marks.indices.to_numpy() + len(core_lens)), axis=1).ravel()
@@ -211,6 +236,7 @@ class WordEncoder:
         self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
         lens = np.concatenate(lens)
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lens) - lens))
+        lens = lens.astype(np.int32)
         self.lens, self.ids = np.concatenate((self.lens, lens)), np.concatenate((self.ids, *ids))
         return number
 
@@ -219,7 +245,7 @@ class WordEncoder:
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
-        if len(self.known) > CACHE:
+        if self.known.nbytes + self.ids.nbytes + self.starts.nbytes + self.lens.nbytes > CACHE:
             self._forget()
         found = pc.index_in(words, value_set=self.known)
         new = found.is_null()

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,35 @@ def test_words_encode_as_whole_texts():
         assert enc.encode((x or "").encode("utf-16", "surrogatepass").decode("utf-16")).tolist() == want, x
 
 
+def test_words_are_encoded_once(monkeypatch):
+    enc, sent = K.WordEncoder(tokenizer_path()), []
+    learn = K.WordEncoder._learn
+    monkeypatch.setattr(K.WordEncoder, "_learn", lambda self, new: sent.append(len(new)) or learn(self, new))
+    rng = random.Random(3)
+    words = list({"".join(rng.choices("abcdefgh", k=7)) for _ in range(420_000)})
+    batches = [pa.array([" ".join(words[at : at + 5000])]) for at in range(0, 320_000, 5000)]
+    first = [enc.encode_all(b)[0] for b in batches]
+    again = [enc.encode_all(b)[0] for b in batches]
+    assert sum(sent) == 320_000
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+    monkeypatch.setattr(K, "CACHE", 100_000)  # little memory: words are forgotten, not lost
+    assert all((enc.encode_all(b)[0] == a).all() for a, b in zip(first, batches)) and len(enc.known) <= 5000
+
+
+def test_letters_pass_without_places():
+    """Words of letters get the same ids, and each its own, by the library's quick way, and where no token ends a word."""
+    enc, marks = K.WordEncoder(tokenizer_path()), K.WordEncoder(tokenizer_path())
+    marks.last[:] = False
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("aeinrstäöñçéœȷ", k=rng.randint(1, 30))) for _ in range(3000)} | {"a" * 400})
+    want = [e.ids for e in enc.whole.encode_batch(words, add_special_tokens=False)]
+    for by in (enc, marks):
+        ids, lens = by._encode_letters(pa.array(words))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+    none = enc._encode_letters(pa.array([], pa.string()))
+    assert [len(x) for x in none] == [0, 0]
+
+
 def test_token_file(spark):
     from tokenizers import Tokenizer
 
