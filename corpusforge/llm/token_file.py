@@ -164,12 +164,12 @@ class WordEncoder:
         # Tokens that end a word, where the model marks them so.
         self.last = np.zeros(max(self.whole.get_vocab().values()) + 1, bool)
         self.last[[i for w, i in self.whole.get_vocab().items() if w.endswith(_WORD_END)]] = True
-        self._forget()
+        self.forget()
         probe = "It's a Test, ünder\n10 x1."
         if self._library([probe])[0] != b"".join(self._library(probe.replace("\n", " ").split(" "))):
             raise ValueError("this tokenizer looks across white space")
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Empty the memory: the known words, and where the ids of each are and how many."""
         self.known = pa.array([], pa.string())
         self.ids, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
@@ -246,7 +246,7 @@ class WordEncoder:
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
         if self.known.nbytes + self.ids.nbytes + self.starts.nbytes + self.lens.nbytes > CACHE:
-            self._forget()
+            self.forget()
         found = pc.index_in(words, value_set=self.known)
         new = found.is_null()
         number = found.fill_null(0).to_numpy().astype(np.int64)
@@ -266,6 +266,17 @@ class WordEncoder:
         return self.encode_all(pa.array([text], pa.string()))[0]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder, knowing no words: the library does not give back all memory of one that goes, so tasks share it."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    _encoders[path].forget()
+    return _encoders[path]
+
+
 def _joined(batches, size: int):
     """Batches of `size` bytes or little more."""
     held, have = [], 0
@@ -291,7 +302,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segmen
         from pyspark import TaskContext
 
         part, seq, done = TaskContext.get().partitionId(), 0, 0
-        enc, end = WordEncoder(tokenizer), np.array([end_id], "<u4")
+        enc, end = encoder(tokenizer), np.array([end_id], "<u4")
         ids, parts, held = [], [], 0
 
         def flush():
@@ -312,6 +323,7 @@ def write_segments(docs: DataFrame, tokenizer: str, end_id: int = END_ID, segmen
                 held += len(x)
         if ids:
             yield flush()
+        enc.forget()  # the words go with the task
 
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return Stored(rows.mapInArrow(lean(pack), "part int, seq int, part_start long, n_docs int, n_tokens long, data binary"), name)

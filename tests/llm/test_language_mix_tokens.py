@@ -149,6 +149,24 @@ def test_letters_pass_without_places():
     assert [len(x) for x in none] == [0, 0]
 
 
+def test_tasks_leave_no_memory():
+    """What a worker holds after a task does not grow with the number of tasks that it has run."""
+    from corpusforge.llm.common import give_back
+
+    rng, held = random.Random(5), []
+    texts = pa.array([" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(60_000))])
+    for _ in range(9):
+        enc = K.encoder(tokenizer_path())
+        enc.encode_all(texts)
+        enc.forget()
+        assert len(enc.known) == len(enc.ids) == len(enc.starts) == len(enc.lens) == 0
+        del enc
+        give_back()
+        with open("/proc/self/smaps_rollup") as f:
+            held.append(sum(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) / 1024)
+    assert held[-1] - held[2] < 8, held
+
+
 def test_token_file(spark):
     from tokenizers import Tokenizer
 
