@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, columns: dict) -> DataFrame:
+    """Rows of the driver as a table, by Arrow: Spark turns lists of tuples into rows in Python workers of their own on the executors, which stay.
+
+    columns: values and Arrow type by name.
+    """
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table([pa.array(x, t) for x, t in columns.values()], names=list(columns)))
+
+
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Keep Arrow batches small: some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

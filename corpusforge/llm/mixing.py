@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusforge.llm.common import unused
+from corpusforge.llm.common import small_table, unused
 
 BLOCK = 64
 TEMPERATURE = 0.7
@@ -107,8 +107,7 @@ def schedule(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, n
         rows.append(("n" if k is None else f"s{k}", seen[k], at, share[k], blocks[k]))
         seen[k] += 1
     key, rank, i, s, w, n, turn = unused([*docs.columns, *names], "_key", "_rank", "_i", "_slot", "_w", "_n", "_turn")
-    form = T.StructType([T.StructField(name, t) for name, t in ((key, T.StringType()), (i, T.LongType()), (s, T.LongType()), (w, T.LongType()), (n, T.LongType()))])
-    table = spark.createDataFrame(rows, form)
+    table = small_table(spark, {name: ([r[at] for r in rows], pa.int64() if at else pa.string()) for at, name in enumerate((key, i, s, w, n))})
     few = len(rows) <= BROADCAST_SLOTS
     per = table.groupBy(key).agg(F.first(w).alias(w), F.first(n).alias(n))
     out = ranked(docs, key, rank).join(F.broadcast(per) if few else per, key)

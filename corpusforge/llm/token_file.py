@@ -18,6 +18,7 @@ follow one another in order of their text. An empty table gives no segment.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import unicodedata
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import Stored, arrow_rows, lean
+from corpusforge.llm.common import Stored, arrow_rows, lean, small_table
 
 SEGMENT = 1 << 17
 END_ID = 2
@@ -334,10 +335,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
     spark = segments.sparkSession
     arrow_rows(spark)
     sums = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row per write task
-    bases, at = [], 0
-    for r in sums:
-        bases.append((r["part"], at))
-        at += r["n"]
+    bases = [0, *itertools.accumulate(r["n"] for r in sums)][: len(sums)]
 
     def read(batches):
         for b in batches:
@@ -350,7 +348,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 )
 
     rows = segments.select("part", "part_start", "data").mapInArrow(lean(read), "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    base = spark.createDataFrame(bases, "part int, base long")
+    base = small_table(spark, {"part": ([r["part"] for r in sums], pa.int32()), "base": (bases, pa.int64())})
     return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -167,6 +167,19 @@ def test_tasks_leave_no_memory():
     assert held[-1] - held[2] < 8, held
 
 
+def test_small_tables_start_no_python_workers(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", "l", ["a", "b", None][i % 3], 0.0) for i in range(30)], DOCS)
+    want = sorted(map(str, M.schedule(docs).collect()))
+
+    def raises(*args, **how):
+        raise AssertionError("rows of the driver went through Python workers")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", raises)
+    assert sorted(map(str, M.schedule(docs).collect())) == want and len(want) >= 30
+    assert K.tokenize(docs, tokenizer_path()).count() == 30
+    assert M.schedule(docs.limit(0)).count() == K.tokenize(docs.limit(0), tokenizer_path()).count() == 0
+
+
 def test_token_file(spark):
     from tokenizers import Tokenizer
 
