@@ -42,3 +42,33 @@ def test_lsh_found_is_what_lsh_candidates_lists(spark):
     want = {tuple(r) for r in semantic.lsh_candidates(rows, asked, 8, **how).collect()}
     got = [tuple(r) for r in semantic.lsh_found(pairs, rows, asked, 8, **how).collect()]
     assert set(got) == want and len(got) == len(want) and 0 < len(got) < 4000
+
+
+def test_search_documents_write_no_bodies(spark, tmp_path, monkeypatch):
+    from corpusforge.operators import lexical, search_index
+
+    said = ["Wan-2.2 and more" + " of the text" * 400, "o f the", None, ""]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(said)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "of.the"), (1, 1, "user", "often")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, "item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(search_index, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    rows = search_index.search_documents(spark, str(tmp_path))
+    assert {r.item_id for r in lexical.banded(rows, "of the").collect()} == {"0", "1", "1-0"}
+    assert {r.item_id for r in lexical.ident_arm(rows, "of the").collect()} == {"1", "1-0"}  # the first sentence of document 0 ends before it
+    assert not (tmp_path / "shared").exists()
+    stored = spark.read.parquet(search_index.refresh(spark, str(tmp_path)))
+    assert not set(search_index.OF_BODIES) & set(stored.columns)
+    both = [{tuple(r) for r in search_index.prepared(x).select(*sorted(rows.columns)).collect()} for x in (stored, rows)]
+    assert both[0] == both[1] and len(both[0]) == 7
+
+
+def test_compact_contains_is_compact_that_contains(spark):
+    from pyspark.sql import functions as F
+
+    from corpusforge.functions import text as X
+
+    said = ["of the", "OF- the", "o.f(t)he", "often", "of\x1cthe", "caf é x", "a+b", "aab", "\U0001f600 \U0001f600", "", None]
+    for key in ("ofthe", "café", "a+b", "\U0001f600\U0001f600", "é"):
+        rows = spark.createDataFrame([(x,) for x in said], "t string").select(X.compact_contains("t", key).alias("a"), X.compact("t").contains(key).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
