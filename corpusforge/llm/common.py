@@ -81,6 +81,8 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes of a row group of a stored table: each task that writes holds one in its heap, 128 MB by default.
+ROW_GROUP = 16 << 20
 #: Tables that were written and not dropped, in order.
 _LIVE: list[Stored] = []
 
@@ -102,7 +104,7 @@ class Stored:
     def __init__(self, df: DataFrame, name: str):
         spark = df.sparkSession
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_remove, spark, self.path)
         _LIVE.append(self)

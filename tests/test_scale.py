@@ -72,3 +72,19 @@ def test_compact_contains_is_compact_that_contains(spark):
     for key in ("ofthe", "café", "a+b", "\U0001f600\U0001f600", "é"):
         rows = spark.createDataFrame([(x,) for x in said], "t string").select(X.compact_contains("t", key).alias("a"), X.compact("t").contains(key).alias("b")).collect()
         assert [r.a for r in rows] == [r.b for r in rows]
+
+
+def test_stored_tables_have_small_row_groups(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from corpusforge.llm.common import ROW_GROUP, Stored
+
+    said = F.concat(*[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{i}")), 256) for i in range(16)])
+    table = Stored(spark.range(0, 60_000, 1, 1).select("id", said.alias("text")), "groups")  # some 60 MB in one task
+    meta = pq.read_metadata(glob.glob(f"{table.path}/*.parquet")[0])
+    sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    assert len(sizes) > 1 and max(sizes) < 1.5 * ROW_GROUP and table.df.count() == 60_000
+    table.drop()
